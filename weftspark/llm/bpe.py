@@ -240,7 +240,9 @@ class Vocabulary:
         return self.bytes[np.repeat(self.starts[ids] - edge[:-1], size) + np.arange(edge[-1])], edge
 
 
-vocabulary = functools.lru_cache(maxsize=2)(Vocabulary)
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 def code_points(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
