@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, decontaminate
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_bpe": bpe.op5_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
+}
