@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, lines, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op10_lines": lines.op10_lines,
     "op5_bpe": bpe.op5_bpe,
 }
 ORACLES = {
+    "op10_lines": lines.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
 }
