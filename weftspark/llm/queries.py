@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lines, quality, simhash
+from . import bpe, decontaminate, language, lines, quality, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op8_language": language.op8_language,
     "op9_quality": quality.op9_quality,
     "op10_lines": lines.op10_lines,
     "op5_bpe": bpe.op5_bpe,
