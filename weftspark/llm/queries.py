@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, lines, quality, simhash
+from . import bpe, decontaminate, fingerprint, language, lines, quality, simhash
 
 QUERIES = {
+    "op1_fingerprint": fingerprint.op1_fingerprint,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op8_language": language.op8_language,
