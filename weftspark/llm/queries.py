@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, language, lines, quality, simhash
+from . import bpe, decontaminate, fingerprint, language, lines, lm, quality, simhash
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op6_lm": lm.op6_lm,
     "op8_language": language.op8_language,
     "op9_quality": quality.op9_quality,
     "op10_lines": lines.op10_lines,
