@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, language, lines, lm, quality, simhash
+from . import bpe, decontaminate, fingerprint, language, lines, lm, quality, simhash, suffix
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -12,6 +12,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_quality": quality.op9_quality,
     "op10_lines": lines.op10_lines,
+    "op4_suffix": suffix.op4_suffix,
     "op5_bpe": bpe.op5_bpe,
 }
 ORACLES = {
