@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, language, lines, lm, quality, simhash, suffix
+from . import bpe, decontaminate, fingerprint, fm, language, lines, lm, quality, simhash, suffix
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op2_simhash": simhash.op2_simhash,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op6_lm": lm.op6_lm,
+    "op7_fm_index": fm.op7_fm_index,
     "op8_language": language.op8_language,
     "op9_quality": quality.op9_quality,
     "op10_lines": lines.op10_lines,
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
 }
 ORACLES = {
+    "op7_fm_index": fm.ORACLE,
     "op10_lines": lines.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
 }
