@@ -1,7 +1,54 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, token ids out. Part of the corpus operators in weftspark.llm."""
 
-STAGES: list = []
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from weftspark.llm import bpe, common, decontaminate, lines, quality, simhash
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest-neighbour classifier rejects go."""
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels").where(~quality.held_out()))
+    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on over half of a source's documents go from the texts."""
+    return lines.dedup_documents(docs)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest id stays."""
+    return simhash.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    hit = decontaminate.contamination(rows, common.table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
+    return docs.join(hit.distinct(), docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each text."""
+    return bpe.digests(bpe.encode(docs), keep=True)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("line dedup", without_boilerplate),
+    ("near-dedup", without_copies),
+    ("decontamination", without_benchmark),
+    ("bpe", tokens),
+]
+#: No SQL: the classifier, the fingerprints and the tokenizer are beyond it. tests/llm has brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

@@ -328,8 +328,8 @@ def decode(tokens: DataFrame, ranks: str | None = None, id_col: str = "doc_id",
     return tokens.select(F.col(id_col).cast("long").alias("doc_id"), ids_col).mapInArrow(run, "doc_id long, bytes binary")
 
 
-def digests(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
-    """Of encode()'s rows: the number of ids, their SHA-256 as little-endian 32-bit numbers, and that of the decoded bytes."""
+def digests(tokens: DataFrame, ranks: str | None = None, keep: bool = False) -> DataFrame:
+    """Of encode()'s rows: the number of ids, their SHA-256 as little-endian 32-bit numbers, that of the decoded bytes, and if `keep`, the ids."""
     path = ranks or default_ranks()
 
     def run(batches):
@@ -346,9 +346,10 @@ def digests(tokens: DataFrame, ranks: str | None = None) -> DataFrame:
                     count.append(b - a)
                     one.append(hashlib.sha256(data[4 * a : 4 * b]).hexdigest())
                     two.append(hashlib.sha256(plain[at[a] : at[b]]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), c.strings(one), c.strings(two)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [batch.column(0), pa.array(count, pa.int64()), c.strings(one), c.strings(two), column]
+            yield pa.RecordBatch.from_arrays(cols[: 4 + keep], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep])
 
-    return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
