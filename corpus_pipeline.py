@@ -11,7 +11,7 @@ from weftspark.llm import bpe, common, decontaminate, lines, quality, simhash
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour classifier rejects go."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels").where(~quality.held_out()))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    return quality.score(docs, model, "__quality").where(F.col("__quality") >= quality.THRESHOLD).select(docs.columns)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

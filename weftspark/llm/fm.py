@@ -107,7 +107,10 @@ class Bits:
 
 
 class Index:
-    """FM-index of codes whose suffixes are in order up to `depth` places; it finds patterns up to that length."""
+    """FM-index of codes whose suffixes are in order up to `depth` places; it finds patterns up to that length.
+
+    The last code has to be 0, which no pattern holds.
+    """
 
     def __init__(self, code: np.ndarray, depth: int):
         rank = code.astype(np.int64)

@@ -145,8 +145,9 @@ def fit(docs: DataFrame, rate: float = RATE) -> Model:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score (0 to 1: the share of n-grams in the language, as a share of what its own texts have).
 
-    "und" with score 0 if the text is null or has no letter; of languages with equal shares, the one with more text.
+    Columns of these names are replaced. "und" with score 0 if the text is null or has no letter; of languages with equal shares, the one with more text.
     """
+    docs = docs.drop("lang_pred", "score")
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

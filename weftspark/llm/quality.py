@@ -145,9 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score` (0 to 1, higher: label 1 likelier) added last. Null and empty texts get the share of label 1."""
-    shared, schema, at = docs.sparkSession.sparkContext.broadcast(model), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]), docs.columns.index("text")
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a score (0 to 1, higher: label 1 likelier) as last column, in place of one of that name. Null and empty texts
+    get the share of label 1."""
+    docs = docs.drop(name)
+    shared, schema, at = docs.sparkSession.sparkContext.broadcast(model), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
