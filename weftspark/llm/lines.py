@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 RATIO, MIN_PAGES = 0.5, 4
+#: A host's pages meet its boilerplate in so many parts, so that a host with a third of all pages is no single task.
+SALTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -43,7 +45,9 @@ def marked(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, m
     c.prepare(pages.sparkSession)
     rows = pages.withColumn("__line_host", F.coalesce(host, F.lit(""))).withColumn("__line_list", F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)))
     bad = boilerplate(rows.select(F.col("__line_host").alias("host"), F.col("__line_list").alias("lines")), ratio, min_pages)
-    rows = rows.join(bad.withColumnsRenamed({"host": "__line_host", "bad": "__line_bad"}), "__line_host", "left")
+    bad = bad.select(F.col("host").alias("__line_host"), F.col("bad").alias("__line_bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__line_salt"))
+    rows = rows.withColumn("__line_salt", F.pmod(F.xxhash64("__line_list"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(bad, ["__line_host", "__line_salt"], "left").drop("__line_salt")
     return rows.withColumn("__line_bad", F.coalesce("__line_bad", F.array().cast("array<bigint>")))
 
 
