@@ -25,7 +25,9 @@ PARTS = 3
 #: One in so many words ends a paragraph.
 CUT = np.uint64(16)
 #: Text that one bucket of neighbouring documents holds, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 2 << 20
+#: The driver holds one id a bucket; over so many, buckets grow instead. A task reads its buckets as a stream.
+MAX_BUCKETS = 1 << 16
 END = np.zeros(256, bool)
 END[[0x21, 0x2E, 0x3F]] = True  # ! . ?
 
@@ -230,7 +232,7 @@ def edited_neighbours(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> Data
     c.prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + total // bucket_bytes
+    n = min(1 + total // bucket_bytes, MAX_BUCKETS)
     bounds = np.unique(rows.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []).astype(np.int64)
 
     @F.pandas_udf("int")
