@@ -372,6 +372,15 @@ def test_lm_learns_context(spark, odd):
     assert out.count() == odd.count() and {(r["n_tokens"], r["log_likelihood"]) for r in out.where("doc_id in (0, 1, 2)").collect()} == {(0, 0.0)}
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 5000])
+def test_cutoff_keeps_the_most_frequent(spark, size):
+    rng = random.Random(size)
+    rows = [(i, int(rng.paretovariate(0.3)) % 10**9 + 1) for i in range(3000)]
+    counts = spark.createDataFrame(rows, "word long, n long")
+    left = counts.where(F.col("n") >= lm.cutoff(counts, size)).orderBy(F.desc("n"), "word").limit(size).collect()
+    assert [tuple(r) for r in left] == sorted(rows, key=lambda r: (-r[1], r[0]))[:size]
+
+
 # ---------------------------------------------------------------- all
 
 

@@ -8,7 +8,6 @@ their words, at every place of a document.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
