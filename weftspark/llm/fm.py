@@ -20,7 +20,7 @@ from . import exchange as x
 #: Words of a window, and of the k-grams that make anchors.
 WINDOW, K = 13, 5
 LEVELS = 8  # bits of a code; 0 ends a piece
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 CUT = "range int, chunk int, id binary, at binary, size binary, content binary, code binary, hash binary, n_more binary, more binary, other binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans binary"
