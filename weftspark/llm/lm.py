@@ -75,11 +75,23 @@ class Vocabulary:
         return np.where(self.keys[at] == hashes, at, rare)
 
 
+def cutoff(counts: DataFrame, size: int) -> int:
+    """The largest of some steps of n that at least `size` words reach, so a top-k sort sees little more than k rows; the steps
+    are the numbers to 1024 and then eighths of a power of two."""
+    step = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 8) / 8)))
+    words = 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):  # some hundred rows
+        words += r["words"]
+        if words >= size:
+            return int(r["step"])
+    return 0
+
+
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     """From docs (text): the `size` most frequent words of all documents are known (the report's bound, not a sample)."""
     c.prepare(docs.sparkSession)
     counts = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
-    known = counts.orderBy(F.desc("n"), "word").limit(size).toArrow()
+    known = counts.where(F.col("n") >= cutoff(counts, size)).orderBy(F.desc("n"), "word").limit(size).toArrow()
     keys, n = known.column("word").to_numpy().view(np.uint64), known.column("n").to_numpy()
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
