@@ -72,7 +72,7 @@ def coefficients(df: DataFrame, group: str, targets: list[str], nuisances: list[
 
 def residualized(df: DataFrame, group: str, targets: list[str], nuisances: list[str]) -> DataFrame:
     """df with e_<target>: what is left of the rank-z target after least squares on the rank-z nuisances, over its deviation."""
-    df = rank_z(df, group, *targets, *nuisances)
+    df = kept(rank_z(df, group, *targets, *nuisances))  # read twice: for the sums, and for what is left
     beta = coefficients(df, group, targets, nuisances).select(F.col("group").alias(group), F.concat(F.lit("b_"), "target").alias("name"), "beta")
     beta = beta.groupBy(group).pivot("name", [f"b_{t}" for t in targets]).agg(F.first("beta"))
     df, w = df.join(beta, group), Window.partitionBy(group)

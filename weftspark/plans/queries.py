@@ -145,7 +145,8 @@ def spearman(spark, sf):
 @query(f"""WITH {projected('lineitem', ['l_returnflag'], ['l_extendedprice'], ['l_quantity', 'l_discount', 'l_tax'], ['l_orderkey', 'l_linenumber'])}
 SELECT l_orderkey, l_linenumber, {r('v_l_extendedprice / stddev_pop(v_l_extendedprice) OVER (PARTITION BY l_returnflag)')} AS residual FROM p_last""")
 def residualize_ranked(spark, sf):
-    got = rk.residualized(read(spark, sf, "lineitem"), "l_returnflag", ["l_extendedprice"], ["l_quantity", "l_discount", "l_tax"])
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    got = rk.residualized(rows, "l_returnflag", ["l_extendedprice"], ["l_quantity", "l_discount", "l_tax"])
     return rounded(got.select("l_orderkey", "l_linenumber", F.col("e_l_extendedprice").alias("residual")), "residual")
 
 
