@@ -15,7 +15,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on over half of a source's documents go from the texts."""
+    """Lines on over one in a hundred of a source's texts go from the texts."""
     return lines.dedup_documents(docs)
 
 

@@ -287,6 +287,17 @@ def test_line_dedup(spark, odd):
     assert out.columns == odd.columns and out.count() == odd.count()
 
 
+def test_line_dedup_of_sources(spark):
+    """Planted boilerplate on 4 % of a source's documents goes; unique lines, copied documents and near copies stay."""
+    own = lambda i: "\n".join(f"line {k} of document {i}" for k in range(4))
+    rows = [(i, own(i) + ("\nAll rights  reserved." if i % 25 == 0 else ""), "en", "a") for i in range(200)]
+    rows += [(300 + i, "a text that is copied\nwith two lines", "en", "a") for i in range(20)]
+    rows += [(400 + i, own(500) + f"\nedit {i}", "en", "a") for i in range(20)]
+    rows += [(600, "a text that is copied\n" + own(600), "en", "a"), (700, None, None, None), (701, "", "en", "a")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_documents(documents(spark, rows)).collect()}
+    assert got == {d: t and t.removesuffix("\nAll rights  reserved.") for d, t, *_ in rows}
+
+
 def test_hosts(spark):
     urls = ["http://u:p@WWW.Example.org:80/x?y", "https://a.b", "no url", None, "ftp://h#f"]
     got = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").select("i", lines.host_of(F.col("u")).alias("h")).orderBy("i").collect()

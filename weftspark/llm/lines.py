@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 RATIO, MIN_PAGES = 0.5, 4
+#: The same for the sources of documents. A source mixes unlike documents, so a line that one in a hundred texts repeats is boilerplate.
+SOURCE_RATIO, SOURCE_LEAST = 0.01, 4
 #: A host's pages meet its boilerplate in so many parts, so that a host with a third of all pages is no single task.
 SALTS = 64
 
@@ -28,23 +30,27 @@ def text_of(html: Column) -> Column:
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, bad: array of line hashes) for pages (host, lines) with lines on over `ratio` of the host's pages, and on
-    at least `min_pages` of them. A line counts once a page; blank lines never count."""
+    at least `min_pages` of them. A line counts once a page; blank lines never count. With a column copy, pages of one host
+    and one value of it count as one page."""
     distinct = F.array_distinct(F.transform("lines", lambda x: F.when(x != "", F.xxhash64(x))))
-    lines = pages.select("host", F.explode(distinct).alias("line")).where("line is not null").groupBy("host", "line").agg(F.count("*").alias("n"))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    copy = [x for x in pages.columns if x == "copy"]
+    count = F.count_distinct("copy") if copy else F.count("*")
+    lines = pages.select("host", *copy, F.explode(distinct).alias("line")).where("line is not null").groupBy("host", "line").agg(count.alias("n"))
+    hosts = pages.groupBy("host").agg(count.alias("pages"))
     found = lines.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") > ratio * F.col("pages"))
     return found.groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 
-def marked(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def marked(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """pages with __line_list (trimmed) and __line_bad (hashes of its host's boilerplate; empty without any).
 
     A null host counts as the empty one, a null text as no line. Every row stays, repeated ones too; other columns are
-    carried along, whatever their names.
+    carried along, whatever their names. With copies_once, equal lists of lines of a host count as one page.
     """
     c.prepare(pages.sparkSession)
     rows = pages.withColumn("__line_host", F.coalesce(host, F.lit(""))).withColumn("__line_list", F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)))
-    bad = boilerplate(rows.select(F.col("__line_host").alias("host"), F.col("__line_list").alias("lines")), ratio, min_pages)
+    copy = [F.xxhash64("__line_list").alias("copy")] if copies_once else []
+    bad = boilerplate(rows.select(F.col("__line_host").alias("host"), F.col("__line_list").alias("lines"), *copy), ratio, min_pages)
     bad = bad.select(F.col("host").alias("__line_host"), F.col("bad").alias("__line_bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__line_salt"))
     rows = rows.withColumn("__line_salt", F.pmod(F.xxhash64("__line_list"), F.lit(SALTS)).cast("int"))
     rows = rows.join(bad, ["__line_host", "__line_salt"], "left").drop("__line_salt")
@@ -56,14 +62,18 @@ def kept(lines: str = "__line_list", bad: str = "__line_bad") -> Column:
     return F.filter(lines, lambda x: ~F.array_contains(F.col(bad), F.xxhash64(x)))
 
 
-def dedup_documents(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_documents(docs: DataFrame, ratio: float = SOURCE_RATIO, min_pages: int = SOURCE_LEAST) -> DataFrame:
     """documents with the boilerplate lines of their source taken out of text, and n_chars as of the new text.
 
-    A text without such a line stays as it is, and so does a null one.
+    Copies of a text count once. A text that would lose over half of its characters is a near copy of others rather than a
+    text with boilerplate, and taking its lines out would lose them with all copies: it stays whole for the near-dedup stage.
+    So do a text without such a line and a null one.
     """
-    rows = marked(docs, F.col("source"), F.col("text"), ratio, min_pages)
+    rows = marked(docs, F.col("source"), F.col("text"), ratio, min_pages, copies_once=True)
     keep = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__line_bad"), F.xxhash64(F.trim(x))))
-    rows = rows.withColumn("text", F.when(F.size("__line_bad") > 0, F.array_join(keep, "\n")).otherwise(F.col("text")))
+    size = lambda lines: F.length(F.array_join(lines, ""))
+    cut = (F.size("__line_bad") > 0) & (2 * size(kept()) >= size(F.col("__line_list")))
+    rows = rows.withColumn("text", F.when(cut, F.array_join(keep, "\n")).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
