@@ -237,6 +237,40 @@ def test_one_of_each(spark):
     assert got == [(False, 0), (False, 0)] + [(True, i) for i in range(20)]
 
 
+def jaccard_groups(rows, similarity=0.8, n=5):
+    """{doc_id: the smallest that it reaches by links of this similarity}"""
+    sets = {d: {tuple(w[i : i + n]) for w in [t.lower().split()] for i in range(max(1, len(w) - n + 1))} for d, t in rows}
+    least = {d: d for d in sets}
+    for _ in sets:
+        before = dict(least)
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+                    least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            return least
+
+
+@pytest.mark.parametrize("max_part", [2048, 5])
+def test_near_duplicates_by_jaccard(spark, max_part):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    shared = words(24)
+    texts = [" ".join(words(84) + shared * 10) for _ in range(2)]  # a repeated passage, otherwise unlike
+    texts += [" ".join(x) for base in [words(200)] for k in (1, 10) for x in [base + shared * k]]
+    for size in (3, 5, 6, 8, 12, 20, 40, 70, 150, 300):  # edits at both sides of the threshold
+        for _ in range(4):
+            base = words(size)
+            texts.append(" ".join(base))
+            for edits in (0.01, 0.02, 0.03, 0.04):
+                texts.append(" ".join(w if rng.random() > edits else "edited" for w in base))
+            texts += [" ".join(base + words(max(1, size // k))) for k in (3, 4, 5, 6, 9)]
+    rows = list(enumerate(texts))
+    df = documents(spark, [(d, t, "en", "s") for d, t in rows])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, max_part=max_part).collect()}
+    assert got == jaccard_groups(rows) and got[0] != got[1]
+
+
 # ---------------------------------------------------------------- decontamination
 
 

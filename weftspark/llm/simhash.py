@@ -3,6 +3,9 @@
 Fingerprints that agree on the bits of a table's key are compared in blocks of 64: the blocks' bit planes lie upright,
 carry-save counters add up 64 distances at a time, and a query leaves a block once all its distances pass the radius.
 A task returns a spanning forest of the links it finds, never all pairs; star contraction joins the forests.
+
+Near-duplicates by Jaccard similarity take these groups, at a wider radius, as proposals only: the sets of shingles of each
+group's texts meet in a task (a large group's in pairs of parts), which joins those that are similar indeed.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -19,6 +22,10 @@ from . import common as c
 SEED = 42
 #: Rows of one key that are compared in one task; more are dealt out as pairs of parts.
 MAX_KEY = 1 << 16
+#: Texts of one proposed group whose shingles are compared in one task; more are dealt out as pairs of parts.
+MAX_PART = 2048
+#: Sets of so few shingles are also proposed by their least hashes, as fingerprints say little about them.
+FEW = 64
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -184,6 +191,19 @@ def linked(radius: int, words: int):
     return run
 
 
+def links(nodes: DataFrame, cols: list[str], radius: int, tables: list[list[int]], max_key: int = MAX_KEY) -> DataFrame:
+    """(a, b): a spanning forest a task of the nodes (node, fingerprint in cols) within the radius."""
+    schema = "key long, node long, " + ", ".join(f"{x} long" for x in cols)
+    rows = nodes.select("node", *cols).mapInArrow(keyed(tables, len(cols)), schema)
+    hot = rows.groupBy("key").count().where(F.col("count") > max_key).checkpoint()
+    if not hot.isEmpty():
+        rows = rows.join(hot.select("key", F.ceil(F.col("count") / max_key).cast("int").alias("parts")), "key", "left")
+        part, other = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))), F.col("other")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        rows = rows.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(part, other), F.greatest(part, other))).alias("key"), "node", *cols)
+    return rows.repartition(F.col("key")).mapInArrow(linked(radius, len(cols)), "a long, b long")
+
+
 def groups(prints: DataFrame, radius: int = 3, tables: list[list[int]] | None = None, max_key: int = MAX_KEY) -> DataFrame:
     """(doc_id, f0 .., component_id): the smallest doc_id that each row reaches by fingerprints within the radius.
 
@@ -197,23 +217,14 @@ def groups(prints: DataFrame, radius: int = 3, tables: list[list[int]] | None =
     node = F.col("f0") if len(cols) == 1 else F.xxhash64(*cols)
     prints = prints.withColumn("node", node).checkpoint()
     nodes = prints.groupBy("node", *cols).agg(F.min("doc_id").alias("least"))
-    schema = "key long, node long, " + ", ".join(f"{x} long" for x in cols)
-    rows = nodes.select("node", *cols).mapInArrow(keyed(tables, len(cols)), schema)
-    hot = rows.groupBy("key").count().where(F.col("count") > max_key).checkpoint()
-    if not hot.isEmpty():
-        rows = rows.join(hot.select("key", F.ceil(F.col("count") / max_key).cast("int").alias("parts")), "key", "left")
-        part, other = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))), F.col("other")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        rows = rows.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(part, other), F.greatest(part, other))).alias("key"), "node", *cols)
-    edges = rows.repartition(F.col("key")).mapInArrow(linked(radius, len(cols)), "a long, b long")
-    found = c.components(edges)
+    found = c.components(links(nodes, cols, radius, tables, max_key))
     merged = nodes.select("node", "least").join(found, "node")
     named = merged.join(merged.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     alone = nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(alone, "node", "left").select("doc_id", *cols, "component_id")
 
 
-def plan_for(similarity: float, words: int, rows: int, miss: float = 0.01, slack: float = 1.5) -> tuple[int, list[list[int]]]:
+def plan_for(similarity: float, words: int, rows: int, miss: float = 0.001, slack: float = 4) -> tuple[int, list[list[int]]]:
     """(radius, tables) for shingle sets of at least this Jaccard similarity, by fingerprints of 64 * words bits.
 
     Two sets' bits differ with probability acos(2 s / (1 + s)) / pi; the radius lies `slack` standard deviations over the
@@ -226,15 +237,123 @@ def plan_for(similarity: float, words: int, rows: int, miss: float = 0.01, slack
     return int(bits * p + slack * np.sqrt(bits * p * (1 - p))), sampled(bits, key_bits, tables)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8) -> DataFrame:
-    """(doc_id, component_id) for docs (doc_id, text): groups of texts whose sets of word shingles are about that similar.
+def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct hashes in order, and the first of each row and the end."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=len(first) - 1)))).astype(np.int64)
+
+
+def sets_of(column: pa.Array, shingle: int):
+    """(first row, last row + 1, distinct shingle hashes, first of each text and the end) of slices of a column of texts."""
+    for lo, hi, data, at in c.slices(*c.texts_of(column)):
+        plain, at = data.tobytes(), at.tolist()
+        yield lo, hi, *distinct(*shingle_hashes([plain[a:b] for a, b in zip(at, at[1:])], shingle))
 
-    Found by 512-bit fingerprints: at a similarity of 0.8 about nine in ten links, over 0.85 nearly all; under 0.7 few, and
-    none of unlike texts. Equal texts always meet. Null and empty texts are one group.
+
+def sketched(shingle: int, words: int, similarity: float):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, hashes, first in sets_of(batch.column(2), shingle):
+                size = np.diff(first)
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(c.mix(hashes), dtype=np.uint64)))
+                node = c.mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64))
+                prefix = np.where((size > 0) & (size <= FEW), size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
+                edge = np.concatenate(([0], np.cumsum(prefix)))
+                least = hashes[np.repeat(first[:-1] - edge[:-1], prefix) + np.arange(edge[-1])]
+                cols = [majority(c.mix(hashes + np.uint64(j)) if j else hashes, first).view(np.int64) for j in range(words)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(node.view(np.int64)), *map(pa.array, cols), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(least.view(np.int64)))],
+                    names=["key", "doc_id", "node", *(f"f{j}" for j in range(words)), "least"],
+                )
+
+    return run
+
+
+def shingled(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, hashes, first in sets_of(batch.column(0), shingle):
+                rest = [x.slice(lo, hi - lo) for x in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))], names=[*batch.schema.names[1:], "hashes"])
+
+    return run
+
+
+def alike(hashes: np.ndarray, first: np.ndarray, similarity: float) -> np.ndarray:
+    """For rows of distinct hashes, the first row that each reaches by links of at least this Jaccard similarity."""
+    n, size = len(first) - 1, np.diff(first)
+    label, asked = np.arange(n), np.zeros(n, bool)
+    _, ids = np.unique(hashes, return_inverse=True)
+    edge = np.concatenate(([0], np.cumsum(np.bincount(ids))))
+    rows = np.repeat(np.arange(n), size)[np.argsort(ids, kind="stable")]
+
+    def ask(i: int) -> None:
+        asked[i] = True
+        own = ids[first[i] : first[i + 1]]
+        many = edge[own + 1] - edge[own]
+        common = np.bincount(rows[np.repeat(edge[own] - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=n)
+        near = np.flatnonzero(common >= similarity * (size[i] + size - common) - 1e-9)
+        c.merge_labels(label, np.full(len(near), i), near)
+
+    for i in range(n):
+        if label[i] == i:
+            ask(i)
+    one = int(np.argmax(np.bincount(label)[label]))  # of the largest group; a link between two groups has a row outside of it
+    for i in range(n):
+        if label[i] != label[one] and not asked[i]:
+            ask(i)
+    return label
+
+
+def confirmed(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        node, at = np.unique(np.asarray(table.column("node")), return_index=True)
+        lists = table.column("hashes").combine_chunks().take(pa.array(at))
+        label = alike(np.asarray(lists.flatten()), np.asarray(lists.offsets).astype(np.int64), similarity)
+        child = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": node[child], "b": node[label[child]]})
+
+    return run
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row of documents by its id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, max_part: int = MAX_PART) -> DataFrame:
+    """(key, doc_id, component_id) for docs (doc_id, text), key as of row_key(): groups of texts that links join, a link being a
+    Jaccard similarity of at least `similarity` of two texts' sets of word shingles.
+
+    Fingerprints of the distinct shingles propose groups, and sets of few shingles also by a common one of their least; each
+    group's sets are then compared (by 64-bit hashes of shingles), so no group has a text without such a link. A link at the
+    threshold is missed with probability 0.001, one over it still less, one of few shingles never. Equal sets always meet.
+    Null and empty texts are one group. Null ids are a component's id only where it has no other.
     """
-    prints = fingerprints(docs, shingle, words).checkpoint()
+    c.prepare(docs.sparkSession)
+    docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cols = [f"f{j}" for j in range(words)]
+    prints = docs.mapInArrow(sketched(shingle, words, similarity), "key long, doc_id long, node long, " + "".join(f"{x} long, " for x in cols) + "least array<long>").checkpoint()
+    nodes = prints.groupBy("node", *cols).agg(F.min("key").alias("key"))
     radius, tables = plan_for(similarity, words, prints.count())
-    return groups(prints, radius, tables).select("doc_id", "component_id")
+    few = prints.select("node", F.explode("least").alias("hash")).distinct()
+    lead = few.groupBy("hash").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("hash", "b")
+    proposed = c.components(links(nodes, cols, radius, tables).union(few.join(lead, "hash").where("node <> b").select("node", "b")))
+    proposed = proposed.select("node", F.col("component").alias("block")).checkpoint()
+    parts = proposed.groupBy("block").agg(F.ceil(F.count("*") / max_part).cast("int").alias("parts"))
+    rows = nodes.select("node", "key").join(proposed, "node").join(parts, "block").select("key", "node", "block", "parts")
+    rows = docs.select("key", "text").join(rows, "key").select("text", "node", "block", "parts")
+    rows = rows.mapInArrow(shingled(shingle), "node long, block long, parts int, hashes array<long>")
+    part, other = F.pmod(F.xxhash64("node"), F.col("parts")), F.col("other")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least(part, other), F.greatest(part, other))).alias("block"), "node", "hashes")
+    found = c.components(rows.groupBy("block").applyInArrow(confirmed(similarity), "a long, b long"))
+    named = prints.select("key", "doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "doc_id", "component").checkpoint()
+    return named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("key", "doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
