@@ -26,9 +26,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    hit = decontaminate.contamination(rows, common.table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
-    return docs.join(hit.distinct(), docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti").select(docs.columns)
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,6 +237,14 @@ def test_one_of_each(spark):
     assert got == [(False, 0), (False, 0)] + [(True, i) for i in range(20)]
 
 
+def test_one_of_each_decides_by_row(spark):
+    texts = [" ".join(f"w{k * 40 + i}" for i in range(40)) for k in range(4)]
+    near = texts[0] + " end"
+    rows = [(1, texts[0]), (7, near), (7, texts[1]), (7, texts[2]), (7, texts[2]), (9, texts[1] + " end"), (None, texts[3])]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.one_of_each(documents(spark, [(d, t, "en", "s") for d, t in rows])).collect())
+    assert got == Counter([(1, texts[0]), (7, texts[1]), (7, texts[2]), (None, texts[3])])
+
+
 def jaccard_groups(rows, similarity=0.8, n=5):
     """{doc_id: the smallest that it reaches by links of this similarity}"""
     sets = {d: {tuple(w[i : i + n]) for w in [t.lower().split()] for i in range(max(1, len(w) - n + 1))} for d, t in rows}
@@ -310,6 +318,16 @@ def test_decontamination(spark, odd, block):
     assert decontaminate.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_clean_decides_by_row(spark, odd, block):
+    items = [(f"i{k}", " ".join(f"v{k * 20 + i}" for i in range(12))) for k in range(5)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(d, t, "en", "s") for d in (None, 4) for t in [f"so: {items[0][1]} it is", items[3][1].upper(), "a clean text", None]]
+    df = documents(spark, rows).union(odd)
+    got = decontaminate.clean(df, bench, block_bytes=block)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, documents(spark, [r for r in rows if r[1] in ("a clean text", None)]).union(odd).collect()))
+
+
 # ---------------------------------------------------------------- lines
 
 

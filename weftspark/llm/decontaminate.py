@@ -164,6 +164,42 @@ def joined(group: pa.Table) -> pa.Table:
     return pa.table({"row": group.column("row")[:1], "doc_id": group.column("doc_id")[:1], "n_words": [n], "n_hit": [int(hit.sum())], "spans": pa.array([flat], pa.list_(pa.int32())), "items": pa.array([items], pa.list_(pa.string()))})
 
 
+def indexes(benchmark: DataFrame, window: int, k: int, block_bytes: int, item_col: str, item_text_col: str):
+    """The benchmark's broadcast indexes, each of at most about block_bytes of text."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 + total // block_bytes
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        part = part.toArrow()
+        raw, off = c.texts_of(part.column("text"))
+        yield spark.sparkContext.broadcast(Index(part.column("item").to_pylist(), *words(raw, off), k, window))
+
+
+def unhit(index, at: int):
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, _, raw, off in c.slices(*c.texts_of(batch.column(at))):
+                hashes, first = words(raw, off)
+                for begin, _, _ in index.value.hits(hashes, first):
+                    keep[lo + np.searchsorted(first, begin, "right") - 1] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold a window of an item, as of contamination(). Each row is decided by its own text, so
+    rows with a null or a repeated id don't go with others; nothing is shuffled or joined."""
+    c.prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    for index in indexes(benchmark, window, k, block_bytes, item_col, item_text_col):
+        docs = docs.mapInArrow(unhit(index, at), docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items) for each row of docs.
 
@@ -172,20 +208,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     repeat; each row gives one row. Items are broadcast in blocks of at most about block_bytes of text, each one pass over
     the documents; the usual benchmark is one block.
     """
-    spark = docs.sparkSession
-    c.prepare(spark)
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
+    c.prepare(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        part = part.toArrow()
-        raw, off = c.texts_of(part.column("text"))
-        index = spark.sparkContext.broadcast(Index(part.column("item").to_pylist(), *words(raw, off), k, window))
+    out, blocks = None, 0
+    for index in indexes(benchmark, window, k, block_bytes, item_col, item_text_col):
         found = rows.mapInArrow(searched(index), RESULT)
-        out = found if out is None else out.union(found)
+        out, blocks = found if out is None else out.union(found), blocks + 1
     if blocks > 1:
         out = out.groupBy("row").applyInArrow(joined, RESULT)
     return out.drop("row")

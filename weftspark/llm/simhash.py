@@ -326,7 +326,8 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 8, max_part: int = MAX_PART) -> DataFrame:
-    """(key, doc_id, component_id) for docs (doc_id, text), key as of row_key(): groups of texts that links join, a link being a
+    """(key, doc_id, component_id, component) for docs (doc_id, text), key as of row_key(): groups of texts that links join, each
+    with its smallest doc_id and a number of its own (ids may repeat, so two groups can have one smallest id). A link is a
     Jaccard similarity of at least `similarity` of two texts' sets of word shingles.
 
     Fingerprints of the distinct shingles propose groups, and sets of few shingles also by a common one of their least; each
@@ -353,15 +354,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     rows = rows.select(F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least(part, other), F.greatest(part, other))).alias("block"), "node", "hashes")
     found = c.components(rows.groupBy("block").applyInArrow(confirmed(similarity), "a long, b long"))
     named = prints.select("key", "doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "doc_id", "component").checkpoint()
-    return named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("key", "doc_id", "component_id")
+    return named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("key", "doc_id", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest doc_id stays, of equal ids one row. Rows with
-    a null id stay, as nothing tells them apart."""
-    found = near_duplicates(docs, similarity)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
+    """docs without near-duplicates: of each group the row with the smallest doc_id stays, of rows with that id one, and of
+    equal rows one. Rows of one id with unlike texts are in several groups, so each stays. Rows with a null id stay, as
+    nothing tells them apart."""
+    found = near_duplicates(docs, similarity).where("doc_id is not null")
+    keep = found.groupBy("component_id", "component").agg(F.min(F.struct("doc_id", "key"))["key"].alias("__row_key")).select("__row_key").distinct()
+    rows = docs.where("doc_id is not null").withColumn("__row_key", row_key())
+    return rows.join(keep, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
