@@ -101,7 +101,8 @@ def test_bpe_round_trip(spark, odd):
 
 
 def repeated_bytes(rows, n=100):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    """rows: (doc_id, text, xxhash64 of the text)"""
+    rows = [r[:2] for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))]
     seen, out = set(), []
     for d, t in rows:
         b = (t or "").encode()
@@ -116,16 +117,34 @@ def repeated_bytes(rows, n=100):
     return Counter(out)
 
 
-@pytest.mark.parametrize("chunk", [3000, 1 << 22])
-def test_suffix_removes_what_starts_earlier(spark, chunk):
-    df = documents(spark, planted())
-    got = Counter(map(tuple, suffix.repeated_bytes(df, chunk).drop("spans").collect()))
-    assert got == repeated_bytes([tuple(r) for r in pairs(df)])
+def ordered(df):
+    return [tuple(r) for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()]
+
+
+def crowded():
+    """Many rows with a null id or one id, and a common line in unlike surroundings."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    line = "this is the very common line that stands between unlike words in about a third of all the texts, and it is long enough for windows"
+    rows = []
+    for i in range(240):
+        own = " ".join(word() for _ in range(25))
+        text = f"{own} {line} {' '.join(word() for _ in range(25))}" if i % 3 == 0 else own
+        rows.append(([None, 7, i][i % 3 if i % 2 else 2], text if i % 50 else None, "en", "s"))
+    return rows + rows[:40]
+
+
+@pytest.mark.parametrize("chunk, fan, hot", [(3000, 256, 1024), (1 << 22, 256, 1024), (2000, 3, 1024), (3000, 256, 5), (2000, 4, 0)])
+def test_suffix_removes_what_starts_earlier(spark, chunk, fan, hot):
+    for rows in (planted(), crowded()):
+        df = documents(spark, rows)
+        got = Counter(map(tuple, suffix.repeated_bytes(df, chunk, fan, hot).drop("spans").collect()))
+        assert got == repeated_bytes(ordered(df))
 
 
 def test_suffix_on_odd_rows(spark, odd):
     df = odd.where(F.length("text") < 1000).union(odd.where("text is null"))
-    assert Counter(map(tuple, suffix.repeated_bytes(df).drop("spans").collect())) == repeated_bytes([tuple(r) for r in pairs(df)])
+    assert Counter(map(tuple, suffix.repeated_bytes(df).drop("spans").collect())) == repeated_bytes(ordered(df))
     assert suffix.repeated_bytes(odd).where(f"n_bytes = {len(LONG)}").first()["n_removed"] == len(LONG) - 8
 
 
@@ -156,24 +175,41 @@ def repeated_words(rows, n=13):
     return Counter(out)
 
 
-@pytest.mark.parametrize("chunk", [3000, 1 << 22])
-def test_fm_index_removes_what_starts_in_an_earlier_document(spark, odd, chunk):
-    df = documents(spark, planted()).union(odd)
-    got = Counter(map(tuple, fm.repeated_words(df, chunk, 2 * chunk).drop("spans").collect()))
-    assert got == repeated_words([tuple(r) for r in pairs(df)])
+@pytest.mark.parametrize("chunk, hot", [(3000, 1024), (1 << 22, 1024), (3000, 3), (3000, 0)])
+def test_fm_index_removes_what_starts_in_an_earlier_document(spark, odd, chunk, hot):
+    for df in (documents(spark, planted()).union(odd), documents(spark, crowded())):
+        got = Counter(map(tuple, fm.repeated_words(df, chunk, 2 * chunk, hot).drop("spans").collect()))
+        assert got == repeated_words([tuple(r) for r in pairs(df)])
 
 
-def test_fm_index_search():
+def test_fm_index_gives_matching_statistics():
+    """The longest match that ends at each place, in texts with a smaller owner only, and where it is."""
     rng = np.random.default_rng(4)
-    text = np.append(rng.integers(1, 5, 3000), 0).astype(np.uint8)
-    index, start = fm.Index(text, 13), np.arange(0, 2900, 7)
-    low, high, matched = index.search(text, start, 5)
-    for s, a, b in zip(start.tolist(), low, high):
-        want = sorted(i for i in range(len(text) - 4) if (text[i : i + 5] == text[s : s + 5]).all())
-        assert sorted(index.suffix[a:b].tolist()) == want
-    assert (matched == 5).all()
-    missing = np.append(np.full(5, 9, np.uint8), text)
-    assert index.search(missing, np.array([0]), 5)[2][0] == 0
+    parts = [rng.integers(1, 5, n) for n in rng.integers(13, 60, 40)]
+    text = np.concatenate([np.append(p, 0) for p in parts])
+    owner = np.repeat(np.arange(40) % 17, [len(p) + 1 for p in parts])
+    index = fm.Index(text, owner, 13)
+    other = rng.integers(1, 6, 400)  # 5 is in no text
+    for below in (1, 6, 17):
+        end = np.arange(13, 400)
+        low, high, matched = index.search(other, end, 13, np.full(len(end), below))
+        for e, a, b, m in zip(end.tolist(), low, high, matched.tolist()):
+            places = lambda k: [i for i in range(len(text) - k + 1) if (text[i : i + k] == other[e - k : e]).all()]
+            least = lambda k: min((owner[i] for i in places(k)), default=99)
+            assert (m == 0 or least(m) < below) and (m == 13 or least(m + 1) >= below)
+            if m:
+                assert sorted(index.suffix[a:b].tolist()) == places(m)
+
+
+def test_fm_index_decides(monkeypatch):
+    """Windows that the backward search does not report stay."""
+    size, doc, key = np.array([40, 40]), np.array([3, 9]), np.array([1, 1], np.uint64)
+    code = np.array([*range(1, 41), *range(1, 31), *range(60, 70)])
+    s, e, first = fm.matches(code, size, doc, key)
+    assert (s.tolist(), e.tolist(), first.tolist()) == ([40], [40 + 18], [0, 0, 1])
+    search = fm.Index.search
+    monkeypatch.setattr(fm.Index, "search", lambda *a: (*search(*a)[:2], np.minimum(search(*a)[2], 12)))
+    assert not len(fm.matches(code, size, doc, key)[0])
 
 
 # ---------------------------------------------------------------- near-duplicates

@@ -1,11 +1,15 @@
 """What substring operators share: chunks of documents, anchors that equal passages have in common, and answers by chunk.
 
 A window's anchor is the place of its least k-gram hash, so equal windows have equal anchors at equal places. Each anchor
-stands for a run of windows, a piece. Only pieces whose anchor occurs twice in the corpus are exchanged.
+stands for a run of windows, a piece. Only pieces whose anchor occurs twice in the corpus are exchanged. An anchor with very
+many unlike pieces (a common line in unlike surroundings) is split: its pieces go as single windows, dealt by the hash of the
+whole window, and again only those that occur twice.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,23 +20,29 @@ from . import common as c
 
 #: Text in a chunk, and in what one range of anchors gathers, about.
 CHUNK_BYTES = 4 << 20
+#: Unlike pieces that one anchor gathers in a range; those of an anchor with more are split.
+HOT = 1024
 LOWEST = np.iinfo(np.int64).min
+KEYS = "key long, chunk int, n int"
+ONCE, SPLIT, WINDOW = range(3)  # kinds of known keys: of whole pieces, of pieces to be split, of single windows
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) and the number of chunks; all rows of an id are in one chunk."""
+    """(chunk, doc_id, tie, text) and the number of chunks. Rows are dealt by id and tie, a hash of the text, so that many
+    rows of one id are no single chunk; only rows that are equal are always together."""
     c.prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes
-    return rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(LOWEST))), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text"), n
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    return rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(LOWEST)), "tie"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "tie", "text"), n
 
 
-def laid(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk in order of id (null first) and text: (ids, ids with null as the lowest, bytes, offsets)."""
-    table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+def laid(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk in order of id (null first) and tie: (ids, ids with null as the lowest, ties, bytes, offsets)."""
+    table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("tie", "ascending")], null_placement="at_start"))
     ids = table.column("doc_id").combine_chunks()
     raw, off = c.texts_of(table.column("text"))
-    return ids, pc.fill_null(ids, LOWEST).to_numpy(), raw, off
+    return ids, pc.fill_null(ids, LOWEST).to_numpy(), table.column("tie").to_numpy(), raw, off
 
 
 def anchors(gram: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,47 +65,123 @@ def anchors(gram: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[n
     return at[new], start[new], start[np.append(new[1:], len(at)) - 1]
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+@dataclass
+class Pieces:
+    """Runs of windows: key and place of the anchor, first and last start; prefix sums of the bytes or words they are made of."""
+
+    key: np.ndarray
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    prefix: np.ndarray
+    window: int
+
+    def content(self) -> np.ndarray:
+        return c.span_hash(self.prefix, self.low, self.high + self.window) + c.mix((self.at - self.low).astype(np.uint64))
+
+    def singles(self, keys: np.ndarray) -> Pieces:
+        """Each window of the pieces with these keys as a piece of its own, by its hash."""
+        of = np.flatnonzero(among(self.key, keys))
+        n = (self.high - self.low + 1)[of]
+        start = np.repeat(self.low[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return Pieces(c.span_hash(self.prefix, start, start + self.window), np.repeat(self.at[of], n), start, start, self.prefix, self.window)
+
+    def of(self, keys: np.ndarray) -> Pieces:
+        there = among(self.key, keys)
+        return Pieces(self.key[there], self.at[there], self.low[there], self.high[there], self.prefix, self.window)
+
+    def known(self, keys: dict[int, np.ndarray]) -> Pieces:
+        """The pieces that are exchanged, in order of their starts."""
+        a, b = self.of(keys[ONCE]), self.singles(keys[SPLIT]).of(keys[WINDOW])
+        order = np.argsort(np.concatenate((a.low, b.low)), kind="stable")
+        return Pieces(*(np.concatenate((getattr(a, x), getattr(b, x)))[order] for x in ("key", "at", "low", "high")), self.prefix, self.window)
+
+
+def known_keys(table: pa.Table) -> dict[int, np.ndarray]:
+    key, kind = table.column("key").to_numpy().view(np.uint64), table.column("kind").to_numpy()
+    return {k: np.sort(key[kind == k]) for k in (ONCE, SPLIT, WINDOW)}
+
+
+def summed(found: list[Pieces], chunk: int) -> pa.Table:
+    """The keys of a chunk's pieces with their numbers of unlike pieces. A key that the chunk holds twice goes out with ~chunk."""
+    key, content = (np.concatenate(x) for x in zip(*((p.key, p.content()) for p in found))) if found else [np.zeros(0, np.uint64)] * 2
+    _, index, count = np.unique(content, return_index=True, return_counts=True)
+    keys, inverse, n = np.unique(key[index], return_inverse=True, return_counts=True)
+    total = np.bincount(inverse, count, len(keys))
+    return pa.table({"key": keys.view(np.int64), "chunk": np.where(total > 1, ~chunk, chunk).astype(np.int32), "n": n.astype(np.int32)})
+
+
 def keys_of(pieces):
-    """pieces(bytes, offsets) gives keys of a chunk's anchors, as the first of its results. A key that the chunk holds twice goes out with ~chunk."""
+    """pieces(bytes, offsets) gives a chunk's Pieces as the first of its results."""
 
     def run(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        _, _, raw, off = laid(table)
-        key, n = np.unique(np.concatenate([pieces(r, o)[0] for _, _, r, o in c.slices(raw, off)]), return_counts=True)
-        return pa.table({"key": key.view(np.int64), "chunk": np.where(n > 1, ~chunk, chunk).astype(np.int32)})
+        _, _, _, raw, off = laid(table)
+        return summed([pieces(r, o)[0] for _, _, r, o in c.slices(raw, off)], table.column("chunk")[0].as_py())
 
     return run
 
 
-def met(batches):
-    """(chunk, key) of the keys of a partition that occur twice."""
-    got = [(np.asarray(b.column("key")), np.asarray(b.column("chunk"))) for b in batches]
-    if not got:
-        return
-    key, chunk = (np.concatenate(x) for x in zip(*got))
-    order = np.argsort(key)
-    key, chunk = key[order], chunk[order]
-    again = chunk < 0
-    same = key[1:] == key[:-1]
-    again[1:] |= same
-    again[:-1] |= same
-    key, chunk = key[again], chunk[again]
-    chunk = np.where(chunk < 0, ~chunk, chunk)
-    for a in range(0, len(key), 1 << 17):
-        yield pa.RecordBatch.from_arrays([pa.array(chunk[a : a + (1 << 17)]), pa.array(key[a : a + (1 << 17)])], names=["chunk", "key"])
-
-
-def resolved(docs: DataFrame, pieces, cut, cut_schema: str, resolve, finish, finish_schema: str) -> DataFrame:
-    """docs (chunk, doc_id, text) -> finish(chunk, what resolve() says about it).
-
-    cut(chunk, sorted keys) makes rows with a column `range`, one for each range of keys; resolve() sees all rows of a range
-    and makes rows (chunk, start, end: binary). The text is shuffled once: the three uses of docs share its exchange.
+def windows_of(pieces):
+    """The same of the single windows of a chunk's pieces whose keys are to be split; most chunks have none."""
+
+    def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
+        if not docs.num_rows or not keys.num_rows:
+            return summed([], 0)
+        _, _, _, raw, off = laid(docs)
+        split = known_keys(keys)[SPLIT]
+        return summed([pieces(r, o)[0].singles(split) for _, _, r, o in c.slices(raw, off)], docs.column("chunk")[0].as_py())
+
+    return run
+
+
+def met(hot: int | None):
+    """(chunk, key, kind) of the keys of a partition that occur twice."""
+
+    def run(batches):
+        got = [tuple(np.asarray(b.column(x)) for x in ("key", "chunk", "n")) for b in batches]
+        if not sum(len(x[0]) for x in got):
+            return
+        key, chunk, n = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(key)
+        key, chunk, n = key[order], chunk[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        rows = np.diff(np.append(first, len(key)))
+        twice = np.repeat((rows > 1) | np.logical_or.reduceat(chunk < 0, first), rows)
+        kind = np.full(len(first), WINDOW) if hot is None else np.where(np.add.reduceat(n.astype(np.int64), first) > hot, SPLIT, ONCE)
+        key, chunk, kind = key[twice], chunk[twice], np.repeat(kind, rows)[twice].astype(np.int32)
+        chunk = np.where(chunk < 0, ~chunk, chunk)
+        for a in range(0, len(key), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 17)]) for x in (chunk, key, kind)], names=["chunk", "key", "kind"])
+
+    return run
+
+
+def resolved(docs: DataFrame, chunks: int, pieces, cut, cut_schema: str, resolve, finish, finish_schema: str, hot: int = HOT) -> DataFrame:
+    """docs (chunk, doc_id, tie, text) -> finish(chunk, what resolve() says about it).
+
+    cut(chunk, known keys) makes rows of cut_schema; resolve() turns their DataFrame into rows (chunk, start, end: binary). The
+    text is shuffled once: the four uses of docs share its exchange. A partition of keys has those of about 16 chunks.
     """
-    keys = docs.groupBy("chunk").applyInArrow(keys_of(pieces), "key long, chunk int")
-    twice = keys.repartition(F.col("key")).mapInArrow(met, "chunk int, key long")
-    rows = docs.groupBy("chunk").cogroup(twice.groupBy("chunk")).applyInArrow(cut, cut_schema)
-    spans = rows.groupBy("range").applyInArrow(resolve, "chunk int, start binary, end binary")
-    return docs.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(finish, finish_schema)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + chunks // 16)
+
+    def twice(keys: DataFrame, hot: int | None) -> DataFrame:
+        return keys.repartition(parts, "key").mapInArrow(met(hot), "chunk int, key long, kind int")
+
+    by_chunk_ = docs.groupBy("chunk")
+    keys = twice(by_chunk_.applyInArrow(keys_of(pieces), KEYS), hot)
+    split = twice(by_chunk_.cogroup(keys.where(F.col("kind") == SPLIT).groupBy("chunk")).applyInArrow(windows_of(pieces), KEYS), None)
+    rows = by_chunk_.cogroup(keys.union(split).groupBy("chunk")).applyInArrow(cut, cut_schema)
+    return by_chunk_.cogroup(resolve(rows).groupBy("chunk")).applyInArrow(finish, finish_schema)
+
+
+SPANS = "chunk int, start binary, end binary"
 
 
 def by_chunk(chunk: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
@@ -116,4 +202,5 @@ def covered(n: int, spans: pa.Table) -> np.ndarray:
 
 
 def range_of(key: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each key; in the order of keys."""
     return ((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)

@@ -1,9 +1,10 @@
 """Substring dedup with a compressed FM-index per shard.
 
-A shard is a range of anchors' hashes: it gets the pieces (runs of windows) whose anchors fall into it, as one-byte codes of
-words. Their text, with the order of suffixes up to a window's length, is kept as a wavelet matrix of packed bits. The pieces of
-all documents stream through it by backward search; where a whole window matches, the suffix interval's rows with the window's
-64-bit hash give the smallest document that has it.
+A shard is a range of anchors' hashes and gets the text of the pieces (runs of windows) whose anchors fall into it. Its words
+are numbered, and the pieces that a later document could repeat become an FM-index: a wavelet matrix of packed bits over the
+transform of their word numbers. The pieces that an earlier document could hold stream through it by backward search. At each
+place the search goes on to the left as long as the interval of suffixes has one of a document with a smaller id (a range
+minimum), so it ends with the matching statistic against smaller documents; places where that reaches a window are reported.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from . import exchange as x
 
 #: Words of a window, and of the k-grams that make anchors.
 WINDOW, K = 13, 5
-LEVELS = 8  # bits of a code; 0 ends a piece
+#: Text that a shard gathers, about.
 SHARD_BYTES = 4 << 20
+#: Places that one pass of the backward search works on.
+STEP = 1 << 16
 
-CUT = "range int, chunk int, id binary, at binary, size binary, content binary, code binary, hash binary, n_more binary, more binary, other binary"
+CUT = "range int, chunk int, id binary, key binary, at binary, bytes binary, text binary, n_more binary, more binary, other binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans binary"
 
 
@@ -40,50 +43,47 @@ def grams(word: np.ndarray, k: int) -> np.ndarray:
     return c.mix(out)
 
 
-def pieces(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, first start, last start, word hashes, words of each row) of the pieces of some rows."""
-    word, _, _, first = words(raw, off)
+def pieces(raw: np.ndarray, off: np.ndarray) -> tuple:
+    """(pieces by word, first byte of each word, byte after the last, first word of each row) of some rows."""
+    word, start, end, first = words(raw, off)
     gram = grams(word, K)
     at, low, high = x.anchors(gram, first, K, WINDOW)
-    return gram[at] if len(at) else gram[:0], low, high, word, first
+    return x.Pieces(gram[at] if len(at) else gram[:0], at, low, high, c.prefix_sums(word), WINDOW), start, end, first
+
+
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start:start+size] of all spans, one after another."""
+    return values[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
 def cut(shards: int):
     """A chunk's pieces by shard. Equal pieces of a chunk are one, with the places of the others and whether their document is another."""
 
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
-        chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
-        known = np.sort(keys.column("key").to_numpy().view(np.uint64)) if keys.num_rows else np.zeros(0, np.uint64)
         rows = {name.split()[0]: [] for name in CUT.split(", ")}
-        if docs.num_rows and len(known):
-            _, ids, raw, off = x.laid(docs)
+        if docs.num_rows and keys.num_rows:
+            chunk, known = docs.column("chunk")[0].as_py(), x.known_keys(keys)
+            _, ids, _, raw, off = x.laid(docs)
             found, base = [], 0
-            for lo, hi, part, o in c.slices(raw, off):
-                key, low, high, word, first = pieces(part, o)
-                there = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-                key, low, high = key[there], low[there], high[there]
-                doc = ids[lo + np.searchsorted(first, low, "right") - 1]
-                found.append((key, doc, low + base, high + base, word, c.span_hash(c.prefix_sums(word), low, high + WINDOW)))
-                base += len(word)
-            key, doc, low, high, word, content = map(np.concatenate, zip(*found))
-            window = grams(word, WINDOW)
+            for lo, _, part, o in c.slices(raw, off):
+                p, start, end, first = pieces(part, o)
+                p = p.known(known)
+                doc = ids[lo + np.searchsorted(first, p.low, "right") - 1]
+                found.append((p.key, doc, p.low + base, p.content(), start[p.low] + off[lo], end[p.high + WINDOW - 1] + off[lo]))
+                base += len(start)
+            key, doc, low, content, begin, end = map(np.concatenate, zip(*found))
             _, index, inverse, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
             place = np.argsort(inverse, kind="stable")  # of each content in order; the first has the smallest id
-            begin = np.cumsum(count) - count
+            head = np.cumsum(count) - count
             of = x.range_of(key[index], shards)
             order = np.argsort(of, kind="stable")
-            index, begin, count, of = index[order], begin[order], count[order], of[order]
+            index, head, count, of = index[order], head[order], count[order], of[order]
             edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist() if len(of) else []
-            code = (1 + (word >> np.uint64(40)) % np.uint64(255)).astype(np.uint8)
             for a, b in zip(edge, [*edge[1:], len(of)]):
                 i, extra = index[a:b], count[a:b] - 1
-                size = high[i] - low[i] + WINDOW
-                shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                full = np.repeat(low[i], size) + shift
-                has = shift <= np.repeat(high[i] - low[i], size)
-                more = place[np.repeat(begin[a:b] + 1, extra) + np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra)]
-                other = doc[more] != np.repeat(doc[i], extra)
-                values = (int(of[a]), chunk, doc[i], low[i].astype(np.int32), size.astype(np.int32), content[i], code[full], window[full[has]], extra.astype(np.int32), low[more].astype(np.int32), other)
+                more = gathered(place, head[a:b] + 1, extra)
+                size = end[i] - begin[i]
+                values = (int(of[a]), chunk, doc[i], key[i], low[i].astype(np.int32), size.astype(np.int32), gathered(raw, begin[i], size), extra.astype(np.int32), low[more].astype(np.int32), doc[more] != np.repeat(doc[i], extra))
                 for name, value in zip(rows, values):
                     rows[name].append(value if isinstance(value, int) else value.tobytes())
         kinds = {name.split()[0]: pa.int32() if name.endswith("int") else pa.binary() for name in CUT.split(", ")}
@@ -106,124 +106,155 @@ class Bits:
         return self.before[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
 
 
+class Minima:
+    """The least value of any range, from those of ranges of powers of two."""
+
+    def __init__(self, values: np.ndarray):
+        self.rows = [values.astype(np.int32)]
+        while 2 ** len(self.rows) <= len(values):
+            last, half = self.rows[-1], 2 ** (len(self.rows) - 1)
+            self.rows.append(np.minimum(last[:-half], last[half:]))
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For values[low:high], none of them empty."""
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        out = np.empty(len(low), np.int32)
+        for k in np.unique(level).tolist():
+            on = np.flatnonzero(level == k)
+            out[on] = np.minimum(self.rows[k][low[on]], self.rows[k][high[on] - 2**k])
+        return out
+
+
 class Index:
     """FM-index of codes whose suffixes are in order up to `depth` places; it finds patterns up to that length.
 
-    The last code has to be 0, which no pattern holds.
+    The last code has to be 0, which no pattern holds. owner[i] is a number of the text that place i is of.
     """
 
-    def __init__(self, code: np.ndarray, depth: int):
+    def __init__(self, code: np.ndarray, owner: np.ndarray, depth: int):
         rank = code.astype(np.int64)
         n, have = len(code), 1
         while have < depth:  # order by prefixes of twice the length, or what is missing
             step = min(have, depth - have)
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1
-            order = np.lexsort((after, rank)) if have == 1 else np.argsort(rank * (n + 2) + after, kind="stable")
+            order = np.argsort(rank * (rank.max() + 2) + after, kind="stable")
             a, b = rank[order], after[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate(([False], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
             have += step
         self.suffix = np.argsort(rank, kind="stable").astype(np.int32)
+        self.owners = Minima(owner[self.suffix])
         last = code[self.suffix - 1]
         last[self.suffix == 0] = code[-1]
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=1 << LEVELS)))).astype(np.int64)
+        codes = int(code.max()) + 1
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=codes)))).astype(np.int64)
+        self.depth = max(1, (codes - 1).bit_length())
         self.levels, self.zeros = [], []
-        for level in reversed(range(LEVELS)):
+        for level in reversed(range(self.depth)):
             bit = (last >> level & 1).astype(bool)
             self.levels.append(Bits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             last = np.concatenate((last[~bit], last[bit]))  # a wavelet matrix: zeros first
-        self.start_of = np.zeros(1 << LEVELS, np.int64)  # where a code's run begins on the last level
-        for code_ in range(1 << LEVELS):
-            at = 0
-            for k, level in enumerate(reversed(range(LEVELS))):
-                one = int(self.levels[k].rank(np.array([at]))[0])
-                at = self.zeros[k] + one if code_ >> level & 1 else at - one
-            self.start_of[code_] = at
+        self.start_of = np.zeros(codes, np.int64)  # where a code's run begins on the last level
+        self.start_of = self.rank(np.arange(codes), np.zeros(codes, np.int64))
 
     def rank(self, code: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How often each code stands in front of place i of the transform."""
-        for k, level in enumerate(reversed(range(LEVELS))):
+        for k, level in enumerate(reversed(range(self.depth))):
             one = self.levels[k].rank(i)
             i = np.where(code >> level & 1, self.zeros[k] + one, i - one)
         return i - self.start_of[code]
 
-    def search(self, text: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, end, matched) for patterns text[start:start+length]: the interval of suffixes that begin with the longest
-        matched ending of the pattern, and its length."""
-        low, high = np.zeros(len(start), np.int64), np.full(len(start), len(self.suffix), np.int64)
-        matched = np.zeros(len(start), np.int64)
-        live = np.arange(len(start))
-        for j in reversed(range(length)):
-            code = text[start[live] + j].astype(np.int64)
-            ends = self.rank(np.concatenate((code, code)), np.concatenate((low[live], high[live])))
+    def search(self, text: np.ndarray, end: np.ndarray, most: int, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, end, matched): for patterns that end before text[end], the length (up to `most`) of the longest that is in an
+        indexed text with an owner under `below`, and the interval of suffixes that begin with it. A code over the index's is in none."""
+        low, high = np.zeros(len(end), np.int64), np.full(len(end), len(self.suffix), np.int64)
+        matched = np.zeros(len(end), np.int64)
+        live = np.arange(len(end))
+        for j in range(1, most + 1):
+            code = text[end[live] - j]
+            inside = code < len(self.first) - 1
+            live, code = live[inside], code[inside]
+            ends = self.rank(np.concatenate((code, code)), np.concatenate((low[live], high[live]))) if j > 1 else np.concatenate((np.zeros(len(code), np.int64), self.first[code + 1] - self.first[code]))
             a, b = self.first[code] + ends[: len(live)], self.first[code] + ends[len(live) :]
-            good = b > a
+            good = np.flatnonzero(b > a)
+            good = good[self.owners.of(a[good], b[good]) < below[live[good]]]
             live = live[good]
             low[live], high[live] = a[good], b[good]
             matched[live] += 1
+            if not len(live):
+                break
         return low, high, matched
 
 
+def matches(code: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct pieces of words (code, one after another; size of each) of documents, with the keys of their anchors: (first,
+    end, first run of each piece and the end) of the runs of windows, by the first one's place, that a smaller document has.
+
+    Pieces with one window in common have one key. So of a key's pieces, those of the largest document need not be in the
+    index, and those of the smallest need not be searched for.
+    """
+    _, of = np.unique(key, return_inverse=True)
+    least, most = np.full(len(of), np.iinfo(np.int64).max), np.full(len(of), x.LOWEST)
+    np.minimum.at(least, of, doc)
+    np.maximum.at(most, of, doc)
+    kept, asked = np.flatnonzero(doc < most[of]), np.flatnonzero(doc > least[of])
+    begin = np.cumsum(size) - size
+    runs, none = np.zeros(len(size) + 1, np.int64), np.zeros(0, np.int64)
+    if not len(kept):
+        return none, none, runs
+    _, number = np.unique(doc, return_inverse=True)
+    edge = np.cumsum(size[kept] + 1)
+    text = np.zeros(edge[-1], np.int64)
+    text[np.arange(edge[-1] - len(kept)) + np.repeat(np.arange(len(kept)), size[kept])] = gathered(code, begin[kept], size[kept])
+    index = Index(text, np.repeat(number[kept], size[kept] + 1), WINDOW)
+    windows = size[asked] - WINDOW + 1
+    end = np.repeat(begin[asked] + WINDOW - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+    below = np.repeat(number[asked], windows)
+    gone = np.zeros(len(code), bool)
+    for a in range(0, len(end), STEP):
+        e = end[a : a + STEP]
+        gone[e[index.search(code, e, WINDOW, below[a : a + STEP])[2] == WINDOW] - WINDOW] = True
+    return c.spans(gone, np.append(begin, len(code)))
+
+
 def resolve(table: pa.Table) -> pa.Table:
-    kinds = {"id": np.int64, "at": np.int32, "size": np.int32, "content": np.uint64, "code": np.uint8, "hash": np.uint64, "n_more": np.int32, "more": np.int32, "other": np.bool_}
-    col = {name: np.concatenate([np.frombuffer(v, kind) for v in table.column(name).to_pylist()]) for name, kind in kinds.items()}
+    kinds = {"id": np.int64, "key": np.uint64, "at": np.int32, "bytes": np.int32, "text": np.uint8, "n_more": np.int32, "more": np.int32, "other": np.bool_}
+    col = {name: np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in kinds.items()}
     chunk = np.repeat(table.column("chunk").to_numpy(), [len(v) // 8 for v in table.column("id").to_pylist()]).astype(np.int64)
-    size = col["size"].astype(np.int64)
-    windows = size - WINDOW + 1
-    # the shard's text: each distinct piece once, for its smallest document
-    order = np.lexsort((col["id"], col["content"]))
-    content = col["content"][order]
-    head = np.concatenate(([True], content[1:] != content[:-1]))
+    found = [words(part, o) for _, _, part, o in c.slices(col["text"], np.concatenate(([0], np.cumsum(col["bytes"]))).astype(np.int64))]
+    size = np.concatenate([np.diff(first) for *_, first in found])
+    _, code = np.unique(np.concatenate([word for word, *_ in found]), return_inverse=True)
+    code += 1  # 0 ends a piece
+    begin = np.cumsum(size) - size
+    # equal pieces are one, of its smallest document
+    content = c.span_hash(c.prefix_sums(code), begin, begin + size)
+    order = np.lexsort((col["id"], content))
+    head = np.concatenate(([True], content[order][1:] != content[order][:-1]))
     own = np.empty(len(order), np.int64)
     own[order] = np.cumsum(head) - 1
     chosen = order[head]
-    text_size = size[chosen] + 1
-    edge = np.concatenate(([0], np.cumsum(text_size)))
-    where = np.arange(edge[-1]) - np.repeat(edge[:-1], text_size)
-    code_at, hash_at = np.cumsum(size) - size, np.cumsum(windows) - windows
-    text = np.zeros(edge[-1], np.uint8)
-    inside = where < np.repeat(size[chosen], text_size)
-    text[inside] = col["code"][(np.repeat(code_at[chosen], text_size) + where)[inside]]
-    starts = where < np.repeat(windows[chosen], text_size)
-    begin = np.flatnonzero(starts)
-    hashes = np.zeros(edge[-1], np.uint64)
-    hashes[begin] = col["hash"][(np.repeat(hash_at[chosen], text_size) + where)[starts]]
-    doc = np.repeat(col["id"][chosen], text_size)
-    # stream the windows of all distinct pieces through the index
-    index = Index(text, WINDOW)
-    found = np.zeros(len(begin), np.int64)
-    matched = np.zeros(len(begin), np.int64)
-    for a in range(0, len(begin), 1 << 16):
-        found[a : a + (1 << 16)], _, matched[a : a + (1 << 16)] = index.search(text, begin[a : a + (1 << 16)], WINDOW)
-    # an exact check: of the suffixes in an interval, those with the window's hash
-    hit = np.flatnonzero(matched == WINDOW)
-    key = c.mix(found[hit].astype(np.uint64)) ^ hashes[begin[hit]]
-    _, inverse = np.unique(key, return_inverse=True)
-    least = np.full(len(hit), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, doc[begin[hit]])
-    gone = np.zeros(edge[-1], bool)
-    gone[begin[hit]] = least[inverse] < doc[begin[hit]]
-    # runs of removed windows of the pieces that the index holds; all of an equal piece of another document is gone
-    s, e, first = c.spans(gone, edge)
+    s, e, first = matches(gathered(code, begin[chosen], size[chosen]), size[chosen], col["id"][chosen], col["key"][chosen])
+    base = np.cumsum(size[chosen]) - size[chosen]
     n_runs = np.diff(first)
+    # runs of matched windows of these; all of an equal piece of another document is gone
     follows = np.flatnonzero(col["id"] == col["id"][chosen][own])
     others = np.flatnonzero(col["id"] != col["id"][chosen][own])
     extra = np.repeat(np.arange(len(order)), col["n_more"])
-    more, other = col["more"].astype(np.int64), col["other"] | np.isin(extra, others)
+    more, other = col["more"].astype(np.int64), col["other"] | (col["id"] != col["id"][chosen][own])[extra]
     place = np.concatenate((col["at"][follows].astype(np.int64), more[~other]))
     whose = np.concatenate((follows, extra[~other]))
     n = n_runs[own[whose]]
     run = np.repeat(first[:-1][own[whose]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    shift = np.repeat(place - edge[:-1][own[whose]], n)
+    shift = np.repeat(place - base[own[whose]], n)
     at = np.concatenate((col["at"][others].astype(np.int64), more[other]))
     all_of = np.concatenate((others, extra[other]))
     return x.by_chunk(np.concatenate((chunk[np.repeat(whose, n)], chunk[all_of])), np.concatenate((s[run] + shift, at)), np.concatenate((e[run] + shift + WINDOW - 1, at + size[all_of])))
 
 
 def finish(docs: pa.Table, spans: pa.Table) -> pa.Table:
-    ids, _, raw, off = x.laid(docs)
+    ids, _, _, raw, off = x.laid(docs)
     total, out = 0, []
     for lo, hi, part, o in c.slices(raw, off):
         _, start, end, first = words(part, o)
@@ -246,7 +277,7 @@ def finish(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids, "n_words": np.diff(first), "n_removed": np.diff(removed), "kept_sha256": c.strings([hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]), "spans": pa.array([flat[a:b].tobytes() for a, b in zip(run, run[1:])], pa.binary())})
 
 
-def repeated_words(docs: DataFrame, chunk_bytes: int = x.CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_words(docs: DataFrame, chunk_bytes: int = x.CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = x.HOT) -> DataFrame:
     """For each row of docs (doc_id, text): the words covered by a window of WINDOW words that also starts in a document with a
     smaller id.
 
@@ -255,7 +286,8 @@ def repeated_words(docs: DataFrame, chunk_bytes: int = x.CHUNK_BYTES, shard_byte
     match each other, but each matches smaller ids.
     """
     rows, n = x.chunked(docs, chunk_bytes)
-    return x.resolved(rows, pieces, cut(1 + n * chunk_bytes // shard_bytes), CUT, resolve, finish, RESULT)
+    shards = 1 + n * chunk_bytes // shard_bytes
+    return x.resolved(rows, n, pieces, cut(shards), CUT, lambda cuts: cuts.groupBy("range").applyInArrow(resolve, x.SPANS), finish, RESULT, hot)
 
 
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

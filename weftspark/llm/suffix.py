@@ -4,6 +4,9 @@ The suffixes sorted are those at anchors whose first k bytes occur twice (so the
 cut where its piece ends. A chunk sorts its own and sends them front-coded, dealt by ranges of the hash of their first k
 bytes. A range merges its runs with a loser tree that compares common-prefix lengths first and never looks at known prefixes
 again. Neighbours' common prefixes, and those of the bytes before the anchors, give the classes of equal windows.
+
+With many chunks a run would be cut into as many ranges, down to single suffixes. So runs go through levels: at each, `fan` runs
+meet, are merged, and leave as one run cut into `fan` parts, which keeps a message at a chunk's size over `fan` at any scale.
 """
 
 from __future__ import annotations
@@ -21,14 +24,19 @@ from . import exchange as x
 WINDOW, K = 100, 24
 HEAD = 8  # bytes of the hash that stands before each suffix
 
-CUT = "range int, chunk int, id binary, at binary, left_size binary, right_size binary, common binary, tail binary, left binary, n_more binary, more binary"
+#: Runs that meet at a level, and parts that they leave in.
+FAN = 256
+#: One row a run; what is binary has a value a suffix (but for tail, left and more).
+KINDS = {"chunk": np.int32, "id": np.int64, "tie": np.int64, "key": np.uint64, "at": np.int32, "left_size": np.uint8, "right_size": np.uint8, "common": np.uint8, "n_more": np.int32}
+CUT = "range long, team int, " + ", ".join(f"{x} binary" for x in [*KINDS, "tail", "left", "more"])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
 
 
-def pieces(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, anchor, first start, last start, content) of the pieces of some rows."""
+def pieces(raw: np.ndarray, off: np.ndarray) -> tuple[x.Pieces]:
+    """The pieces of some rows, by byte."""
     if len(raw) < WINDOW:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))
+        none = np.zeros(0, np.int64)
+        return (x.Pieces(none.astype(np.uint64), none, none, none, np.zeros(1, np.uint64), WINDOW),)
     prefix = c.prefix_sums(raw)
     _, inverse = c.powers(len(prefix))
     gram = (prefix[K:] - prefix[:-K]) * inverse[: len(raw) - K + 1]
@@ -36,7 +44,7 @@ def pieces(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     gram *= np.uint64(0xD6E8FEB86659FD93)
     gram ^= gram >> np.uint64(29)
     at, low, high = x.anchors(gram, off, K, WINDOW)
-    return c.mix(gram[at]), at, low, high, c.span_hash(prefix, low, high + WINDOW) + c.mix((at - low).astype(np.uint64))
+    return (x.Pieces(c.mix(gram[at]), at, low, high, prefix, WINDOW),)
 
 
 def common_prefixes(strings: list[bytes], most: int) -> np.ndarray:
@@ -54,45 +62,53 @@ def common_prefixes(strings: list[bytes], most: int) -> np.ndarray:
     return out
 
 
-def cut(ranges: int):
-    """Sorted, front-coded runs of a chunk's suffixes, one row for each range. Equal pieces of a chunk are one, its later places with it."""
+def sent(cols: dict[str, np.ndarray], suffixes: list[bytes], lefts: list[bytes], more: np.ndarray, ranges: int, team: int) -> pa.Table:
+    """One row for each range of a sorted run: cols by suffix, with `common` as the prefix that each shares with the one before it."""
+    rows = {name.split()[0]: [] for name in CUT.split(", ")}
+    of = x.range_of(cols["key"], ranges)
+    edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else of
+    common = cols["common"].copy()
+    common[edge] = 0
+    cols = cols | {"common": common}
+    place = np.concatenate(([0], np.cumsum(cols["n_more"], dtype=np.int64)))
+    cuts = common.tolist()
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(of)]):
+        values = {"range": int(of[a]), "team": team, "tail": b"".join([s[k:] for s, k in zip(suffixes[a:b], cuts[a:b])]), "left": b"".join(lefts[a:b]), "more": more[place[a] : place[b]].astype(np.int32).tobytes()}
+        values |= {name: cols[name][a:b].astype(kind).tobytes() for name, kind in KINDS.items()}
+        for name in rows:
+            rows[name].append(values[name])
+    kinds = {name.split()[0]: {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[name.split()[1]] for name in CUT.split(", ")}
+    return pa.table({name: pa.array(v, kinds[name]) for name, v in rows.items()})
+
+
+def cut(ranges: int, fan: int):
+    """A chunk's sorted run of suffixes, a row for each range. Equal pieces of a chunk are one, its later places with it."""
 
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
-        chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
-        known = np.sort(keys.column("key").to_numpy().view(np.uint64)) if keys.num_rows else np.zeros(0, np.uint64)
-        rows = {name.split()[0]: [] for name in CUT.split(", ")}
-        if docs.num_rows and len(known):
-            _, ids, raw, off = x.laid(docs)
-            found = []
-            for lo, hi, part, o in c.slices(raw, off):
-                key, at, low, high, content = pieces(part, o)
-                there = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-                found.append([key[there], content[there], *(y[there] + off[lo] for y in (at, low, high))])
-            key, content, at, low, high = map(np.concatenate, zip(*found))
-            _, index, inverse, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
-            more = np.argsort(inverse, kind="stable")  # places of each content in order; the first is the one that is sent
-            begin = np.cumsum(count) - count
-            key, first, low, high = key[index], at[index], low[index], high[index] + WINDOW
-            data, heads = raw.tobytes(), key.astype(">u8").tobytes()
-            suffixes = [heads[8 * i : 8 * i + 8] + data[a:e] for i, (a, e) in enumerate(zip(first.tolist(), high.tolist()))]
-            order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-            suffixes = [suffixes[i] for i in order]
-            common = common_prefixes(suffixes, HEAD + WINDOW)
-            order = np.array(order, np.int64)
-            key, first, low, high, begin, count = (y[order] for y in (key, first, low, high, begin, count))
-            of = x.range_of(key, ranges)
-            edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else of
-            common[edge] = 0
-            doc = ids[np.searchsorted(off, first, "right") - 1]
-            kept = common.tolist()
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(of)]):
-                extra = count[a:b] - 1
-                places = more[np.repeat(begin[a:b] + 1, extra) + np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra)]
-                values = (int(of[a]), chunk, doc[a:b].tobytes(), first[a:b].astype(np.int32).tobytes(), (first[a:b] - low[a:b]).astype(np.uint8).tobytes(), (high[a:b] - first[a:b]).astype(np.uint8).tobytes(), common[a:b].astype(np.uint8).tobytes(), b"".join([s[k:] for s, k in zip(suffixes[a:b], kept[a:b])]), b"".join([data[p:q] for p, q in zip(low[a:b].tolist(), first[a:b].tolist())]), extra.astype(np.int32).tobytes(), at[places].astype(np.int32).tobytes())
-                for name, value in zip(rows, values):
-                    rows[name].append(value)
-        kinds = {name.split()[0]: pa.int32() if name.endswith("int") else pa.binary() for name in CUT.split(", ")}
-        return pa.table({name: pa.array(v, kinds[name]) for name, v in rows.items()})
+        none = np.zeros(0, np.int64)
+        if not docs.num_rows or not keys.num_rows:
+            return sent({name: none.astype(kind) for name, kind in KINDS.items()}, [], [], none, ranges, 0)
+        chunk, known = docs.column("chunk")[0].as_py(), x.known_keys(keys)
+        _, ids, tie, raw, off = x.laid(docs)
+        found = []
+        for lo, _, part, o in c.slices(raw, off):
+            p = pieces(part, o)[0].known(known)
+            found.append((p.key, p.content(), p.at + off[lo], p.low + off[lo], p.high + off[lo]))
+        key, content, at, low, high = map(np.concatenate, zip(*found))
+        _, index, inverse, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+        places = np.argsort(inverse, kind="stable")  # of each content in order; the first is the one that is sent
+        begin = np.cumsum(count) - count
+        key, first, low, high = key[index], at[index], low[index], high[index] + WINDOW
+        data, heads = raw.tobytes(), key.astype(">u8").tobytes()
+        suffixes = [heads[8 * i : 8 * i + 8] + data[a:e] for i, (a, e) in enumerate(zip(first.tolist(), high.tolist()))]
+        order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+        suffixes = [suffixes[i] for i in order]
+        order = np.array(order, np.int64)
+        key, first, low, high, begin, extra = (y[order] for y in (key, first, low, high, begin, count - 1))
+        doc = np.searchsorted(off, first, "right") - 1
+        more = places[np.repeat(begin + 1 - np.cumsum(extra) + extra, extra) + np.arange(extra.sum())]
+        cols = {"chunk": np.full(len(key), chunk), "id": ids[doc], "tie": tie[doc], "key": key, "at": first, "left_size": first - low, "right_size": high - first, "common": common_prefixes(suffixes, HEAD + WINDOW), "n_more": extra}
+        return sent(cols, suffixes, [data[p:q] for p, q in zip(low.tolist(), first.tolist())], at[more], ranges, chunk // fan)
 
     return run
 
@@ -168,23 +184,47 @@ def mismatch(a: bytes, b: bytes, k: int) -> int:
 
 
 def unpacked(table: pa.Table):
-    """The runs of a range with their columns, joined in the runs' order."""
-    columns: dict[str, list] = {name: [] for name in ("id", "at", "left_size", "right_size", "n_more", "more")}
-    kinds = {"id": np.int64, "at": np.int32, "left_size": np.uint8, "right_size": np.uint8, "n_more": np.int32, "more": np.int32}
-    runs, lefts, chunk, sizes = [], [], [], []
-    for row in table.to_pylist():
-        for name, kind in kinds.items():
-            columns[name].append(np.frombuffer(row[name], kind).astype(np.int64))
-        common = list(row["common"])
-        tail, left, a, b, last, strings = row["tail"], row["left"], 0, 0, b"", []
-        for k, n, m in zip(common, columns["right_size"][-1].tolist(), columns["left_size"][-1].tolist()):
-            last = last[:k] + tail[a : (a := a + HEAD + n - k)]
+    """The runs of a range as (suffixes, common prefixes), the bytes before the suffixes, and the columns, joined in the runs' order."""
+    cols = {name: np.frombuffer(b"".join(table.column(name).to_pylist()), kind).astype(kind if name == "key" else np.int64) for name, kind in [*KINDS.items(), ("more", np.int32)]}
+    sizes = [len(v) for v in table.column("common").to_pylist()]
+    runs, lefts, i = [], [], 0
+    for n, tail, left in zip(sizes, table.column("tail").to_pylist(), table.column("left").to_pylist()):
+        own, a, b, last, strings = slice(i, i + n), 0, 0, b"", []
+        common = cols["common"][own].tolist()
+        for k, r, m in zip(common, cols["right_size"][own].tolist(), cols["left_size"][own].tolist()):
+            last = last[:k] + tail[a : (a := a + HEAD + r - k)]
             strings.append(last)
-            lefts.append(left[b : (b := b + m)][::-1])
+            lefts.append(left[b : (b := b + m)])
         runs.append((strings, common))
-        chunk.append(row["chunk"])
-        sizes.append(len(strings))
-    return runs, lefts, np.repeat(chunk, sizes), {k: np.concatenate(v) for k, v in columns.items()}
+        i += n
+    return runs, lefts, cols
+
+
+def in_order(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each suffix in the runs' order, common prefix with the one before it) in merged order."""
+    run, common = merged(runs)
+    run = np.array(run, np.int64)
+    base = np.cumsum([0, *(len(s) for s, _ in runs)])[:-1]
+    seen = np.argsort(run, kind="stable")
+    within = np.empty(len(run), np.int64)
+    within[seen] = np.arange(len(run)) - np.repeat(np.searchsorted(run[seen], np.arange(len(runs))), np.bincount(run, minlength=len(runs)))
+    return base[run] + within, np.array(common, np.int64)
+
+
+def level(ranges: int, fan: int):
+    """Runs that meet, as one run cut by finer ranges for the next level."""
+
+    def run(table: pa.Table) -> pa.Table:
+        runs, lefts, cols = unpacked(table)
+        order, common = in_order(runs)
+        strings = [s for part, _ in runs for s in part]
+        place = np.cumsum(cols["n_more"]) - cols["n_more"]
+        extra = cols["n_more"][order]
+        more = cols["more"][np.repeat(place[order] - np.cumsum(extra) + extra, extra) + np.arange(extra.sum())]
+        numbers = order.tolist()
+        return sent({name: cols[name][order] for name in KINDS} | {"common": common}, [strings[i] for i in numbers], [lefts[i] for i in numbers], more, ranges, table.column("team")[0].as_py() // fan)
+
+    return run
 
 
 def duplicates(right: np.ndarray, order: np.ndarray, group: np.ndarray, lefts: list[bytes], left_size: np.ndarray, right_size: np.ndarray) -> np.ndarray:
@@ -215,37 +255,47 @@ def duplicates(right: np.ndarray, order: np.ndarray, group: np.ndarray, lefts: l
 
 
 def resolve(table: pa.Table) -> pa.Table:
-    runs, lefts, chunk, col = unpacked(table)
-    run, common = merged(runs)
-    base = np.cumsum([0, *(len(s) for s, _ in runs)])[:-1]
-    run = np.array(run, np.int64)
-    seen = np.argsort(run, kind="stable")
-    within = np.empty(len(run), np.int64)
-    within[seen] = np.arange(len(run)) - np.repeat(np.searchsorted(run[seen], np.arange(len(runs))), np.bincount(run, minlength=len(runs)))
-    order = base[run] + within
-    right = np.array(common, np.int64) - HEAD
+    runs, lefts, col = unpacked(table)
+    order, common = in_order(runs)
+    right = common - HEAD
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(right < K)
     many = np.bincount(group)[group] > 1
-    # members from the earliest: an id is in one chunk, where places go by its rows
-    rank = np.lexsort((col["at"], col["id"]))
+    # members from the earliest: by id and tie, equal rows are in one chunk, where places go by its rows
+    rank = np.lexsort((col["at"], col["tie"], col["id"]))
     rank = rank[many[rank]]
     number = np.full(len(order), -1)
     number[rank] = np.arange(len(rank))
     chosen = many[order]
     # those left out are alone in their groups, so the common prefixes of the others stay right up to a group's edge
-    again = duplicates(right[chosen], number[order[chosen]], group[rank], [lefts[i] for i in rank.tolist()], col["left_size"][rank], col["right_size"][rank])
+    again = duplicates(right[chosen], number[order[chosen]], group[rank], [lefts[i][::-1] for i in rank.tolist()], col["left_size"][rank], col["right_size"][rank])
     edges = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     m, o1 = np.nonzero(edges == 1)
     _, o2 = np.nonzero(edges == -1)
     at = col["at"][rank][m]
     extra = np.repeat(np.arange(len(order)), col["n_more"])
     more = col["more"]
-    return x.by_chunk(np.concatenate((chunk[rank][m], chunk[extra])), np.concatenate((at - o2 + 1, more - col["left_size"][extra])), np.concatenate((at - o1 + WINDOW, more + col["right_size"][extra])))
+    return x.by_chunk(np.concatenate((col["chunk"][rank][m], col["chunk"][extra])), np.concatenate((at - o2 + 1, more - col["left_size"][extra])), np.concatenate((at - o1 + WINDOW, more + col["right_size"][extra])))
+
+
+def resolved_in(levels: int, fan: int, chunks: int):
+    """Runs to spans: levels that merge and cut again, and a last one that resolves."""
+
+    def run(rows: DataFrame) -> DataFrame:
+        for k in range(2, levels + 1):
+            rows = rows.groupBy("team", "range").applyInArrow(level(ranges(k, levels, fan, chunks), fan), CUT)
+        return rows.groupBy("range").applyInArrow(resolve, x.SPANS)
+
+    return run
+
+
+def ranges(k: int, levels: int, fan: int, chunks: int) -> int:
+    """Ranges that a run is cut into for level k; the last has one a chunk."""
+    return chunks if k == levels else fan**k
 
 
 def finish(docs: pa.Table, spans: pa.Table) -> pa.Table:
-    ids, _, raw, off = x.laid(docs)
+    ids, _, _, raw, off = x.laid(docs)
     gone = x.covered(len(raw), spans)
     start, end, first = c.spans(gone, off)
     removed = np.concatenate(([0], np.cumsum(gone)))[off]
@@ -257,15 +307,19 @@ def finish(docs: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.table({"doc_id": ids, "n_bytes": np.diff(off), "n_removed": np.diff(removed), "n_spans": np.diff(first), "kept_sha256": c.strings([hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(edge, edge[1:])]), "spans": pa.array([flat[a:b].tobytes() for a, b in zip(first_, first_[1:])], pa.binary())})
 
 
-def repeated_bytes(docs: DataFrame, chunk_bytes: int = x.CHUNK_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, chunk_bytes: int = x.CHUNK_BYTES, fan: int = FAN, hot: int = x.HOT) -> DataFrame:
     """For each row of docs (doc_id, text): the bytes covered by a string of WINDOW bytes that also starts earlier.
 
     (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans: pairs of little-endian 32-bit first byte and byte after the last).
     Texts are UTF-8, null as empty; matches don't cross rows. Earlier is: smaller id, a null id before all; rows of one id go by
-    text, as if one followed the other. All work is dealt by chunks of documents and ranges of hashes, which grow in number only.
+    Spark's xxhash64 of their texts, as if one followed the other. All work is dealt by chunks of documents and ranges of
+    hashes, which grow in number only.
     """
     rows, n = x.chunked(docs, chunk_bytes)
-    return x.resolved(rows, pieces, cut(n), CUT, resolve, finish, RESULT)
+    levels = 1
+    while fan**levels < n:
+        levels += 1
+    return x.resolved(rows, n, pieces, cut(ranges(1, levels, fan, n), fan), CUT, resolved_in(levels, fan, n), finish, RESULT, hot)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
