@@ -456,28 +456,76 @@ def test_quality_held_out(spark, odd):
     assert quality.fit(docs.limit(50), labels, max_labelled=5).vectors.shape[1] <= 5
 
 
+def invented(rng, n, size=90):
+    """Sentences over some hundred words, each of which depends on the two before it."""
+    words = ["".join(random.Random(k).choices("abcdefgh", k=4 + k % 5)) + str(k) for k in range(400)]
+    texts = []
+    for _ in range(n):
+        at, text = rng.randrange(400), []
+        for _ in range(size):
+            text.append(words[at])
+            at = (at * 7 + rng.choice([1, 2, 3])) % 400
+        texts.append(" ".join(text))
+    return texts
+
+
 def test_lm_learns_context(spark, odd):
     rng = random.Random(1)
-    text = lambda: " ".join(random.Random(rng.random()).choice(["red apple pie", "blue ocean wave", "green forest tree"]) for _ in range(120))
-    docs = documents(spark, [(i, text(), "en", "s") for i in range(60)])
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(invented(rng, 150))])
     held = lm.vocabulary(docs)
-    net, plain = lm.train(docs, held), lm.Network(held.beyond + 1)
-    probe = documents(spark, [(1, "red apple pie blue ocean wave " * 5, "en", "s"), (2, "apple wave red tree ocean pie " * 5, "en", "s")]).union(odd)
-    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.score(probe, held, net).where("n_tokens = 30").collect()}
-    assert got[1] > got[2] + 1
-    before = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.score(probe, held, plain).where("n_tokens = 30").collect()}
-    assert got[1] > before[1] + 0.5
-    out = lm.score(odd, held, net)
+    net, plain = lm.train(docs, held), lm.Network(held)
+    fresh = invented(rng, 20)
+    mixed = [" ".join(rng.sample(t.split(), 90)) for t in fresh]
+    probe = documents(spark, [(i + 100, t, "en", "s") for i, t in enumerate(fresh + mixed)])
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.score(probe, net).collect()}
+    before = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.score(probe, plain).collect()}
+    mean = lambda x, ids: sum(x[i] for i in ids) / len(ids)
+    assert mean(got, range(100, 120)) > mean(got, range(120, 140)) + 1  # its words in another order
+    assert mean(got, range(100, 120)) > mean(before, range(100, 120)) + 1  # the shares of words alone
+    out = lm.score(odd, net)
     assert out.count() == odd.count() and {(r["n_tokens"], r["log_likelihood"]) for r in out.where("doc_id in (0, 1, 2)").collect()} == {(0, 0.0)}
 
 
-@pytest.mark.parametrize("size", [1, 7, 40, 5000])
-def test_cutoff_keeps_the_most_frequent(spark, size):
-    rng = random.Random(size)
-    rows = [(i, int(rng.paretovariate(0.3)) % 10**9 + 1) for i in range(3000)]
-    counts = spark.createDataFrame(rows, "word long, n long")
-    left = counts.where(F.col("n") >= lm.cutoff(counts, size)).orderBy(F.desc("n"), "word").limit(size).collect()
-    assert [tuple(r) for r in left] == sorted(rows, key=lambda r: (-r[1], r[0]))[:size]
+def test_lm_scores_by_brute_force(spark):
+    """Sums of conditional log-probabilities, each of them from softmaxes over all classes and all symbols of a class."""
+    texts = invented(random.Random(2), 30)
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    net = lm.train(docs, lm.vocabulary(docs), steps=3)
+    held, (e, a, b, u, w) = net.held, [x.astype(float) for x in net.weights]
+    rows = texts[:3] + ["UNKNOWN-words 12", "é"]
+    got = {r["doc_id"]: (r["n_tokens"], r["log_likelihood"]) for r in lm.score(documents(spark, [(i, t, "en", "s") for i, t in enumerate(rows)]), net).collect()}
+    log_softmax = lambda y: y - np.log(np.exp(y - y.max()).sum()) - y.max()
+    for i, text in enumerate(rows):
+        symbols = held.symbols(*fingerprint.joined([text]))[0].tolist()
+        line, total = [held.beyond] * 2 + symbols + [held.beyond] * 2, 0.0
+        for k, s in enumerate(symbols):
+            h = np.append(np.tanh(sum(e[line[k + 2 + p]] @ a[j] for j, p in enumerate(lm.WINDOW)) + b), 1)
+            every = [log_softmax(u @ h)[held.group[v]] + log_softmax(w[held.group[v]] @ h)[held.place[v]] for v in range(held.beyond)] if k == 0 else None
+            if every:
+                assert np.exp(every).sum() == pytest.approx(1)
+            total += log_softmax(u @ h)[held.group[s]] + log_softmax(w[held.group[s]] @ h)[held.place[s]]
+        assert got[i][0] == len(symbols) and got[i][1] == pytest.approx(total, rel=1e-4)
+
+
+def test_lm_symbols_tell_words_apart(spark):
+    """Each text's symbols can be read back, whether words are known or not."""
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(invented(random.Random(3), 40))])
+    held = lm.vocabulary(docs)
+    texts = ["", "a", "ab cd", "abcd", "abc d", "abcdefgh", "abcd efgh", "abcde fgh", "ünïcode wörds", *invented(random.Random(4), 5)]
+    symbols, first = held.symbols(*fingerprint.joined(texts))
+    seen = [tuple(symbols[a:b].tolist()) for a, b in zip(first, first[1:])]
+    assert len(set(seen)) == len(texts) and len(seen[-1]) == 90  # its words are known
+    assert seen == [tuple(held.symbols(*fingerprint.joined([t.upper() if t.isascii() else t]))[0].tolist()) for t in texts]
+    assert len(set(zip(held.group.tolist(), held.place.tolist()))) == held.beyond and held.place.max() < held.width
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(invented(random.Random(5), 60))])
+    scores = []
+    for df in (docs.repartition(1), docs.repartition(8)):
+        net = lm.train(df, lm.vocabulary(df), shard_bytes=8000, steps=5)
+        scores.append({r["doc_id"]: r["mean_log_likelihood"] for r in lm.score(df, net).collect()})
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6)
 
 
 # ---------------------------------------------------------------- all
@@ -486,11 +534,10 @@ def test_cutoff_keeps_the_most_frequent(spark, size):
 def test_empty_tables(spark, odd):
     none, pages = odd.limit(0), spark.createDataFrame([], "page_id long, url string, html string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    held = lm.vocabulary(none)
     frames = [
         suffix.repeated_bytes(none), fm.repeated_words(none), bpe.digests(bpe.encode(none)), bpe.decode(bpe.encode(none)), simhash.one_of_each(none), simhash.groups(simhash.fingerprints(none)),
         decontaminate.contamination(none, pages.select(F.col("page_id").alias("item_id"), F.col("html").alias("text"))), lines.dedup_documents(none), fingerprint.edited_neighbours(none),
-        language.predict(none, language.fit(none)), quality.score(none, quality.fit(none, labels)), lm.score(none, held, lm.train(none, held)),
+        language.predict(none, language.fit(none)), quality.score(none, quality.fit(none, labels)), lm.score(none, lm.train(none, lm.vocabulary(none))),
     ]
     assert [df.count() for df in frames] == [0] * len(frames)
 

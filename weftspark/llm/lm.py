@@ -1,9 +1,14 @@
 """LM scoring by masked pseudo-likelihood.
 
-A network sees a window of words on both sides of a masked one and predicts its class; a word's probability is its class's
-times its share of the class. The vocabulary and classes come from counts over all documents. Training is data-parallel: in
-each round every task trains numpy weights on its documents, and the weights are averaged by number of tokens; each document is
-in one round. A document's score is the sum of its words' conditional log-probabilities.
+Texts become symbols: words that the corpus has often enough, other words as chunks of four bytes, and other chunks as bytes, so
+that every word has a probability of its own and none is capped. A network sees the symbols on both sides of a masked one and
+gives the probability of each symbol: that of its class, times that of the symbol within the class, both by softmax on the
+hidden values. Classes are cut out of the embeddings, so they follow contexts. A document's score is the sum of the conditional
+log-probabilities of all its symbols.
+
+Training is data-parallel in rounds; each document is in one. A round's documents are dealt by hash into shards of a given size,
+each shard trains from the round's weights, and the weights are averaged. Neither shards nor rounds depend on how the input is
+partitioned, and both grow with it.
 """
 
 from __future__ import annotations
@@ -17,23 +22,45 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-VOCABULARY, RARE, CLASSES, WIDTH = 4096, 64, 64, 16
-#: Places of the window's words from the masked one.
+#: A word or chunk is known if it occurs at least total ** (2/3) / KNOWN times, so at most KNOWN * total ** (1/3) are.
+KNOWN = 280
+CHUNK = 4  # bytes
+EMBEDDED, HIDDEN = 16, 24
+#: Places of the window's symbols from the masked one.
 WINDOW = (-2, -1, 1, 2)
-ROUNDS, BATCH, RATE = 2, 4096, 0.1
-BLOCKS, FAN = 32, 256
+#: Training masks one in so many symbols, by place; scoring masks every one in turn.
+MASKED = 3
+BATCH, SCORED, RATE = 8192, 1 << 15, 0.1
+SHARD_BYTES = 8 << 20
+#: Steps that a shard makes at least, by going through a small one repeatedly.
+STEPS = 60
+BLOCKS, FAN = 32, 64
 #: Distinct words that a task sums before it sends them on.
 HELD_WORDS = 1 << 20
+NONE = np.float32(-1e4)  # bias of a place in a class that no symbol has
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word without regard to A-Z or a-z, first word of each row and the end)."""
-    low = c.LOWER[raw]
+def words(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its first byte, byte after the last, first word of each row and the end) of lower-case bytes."""
     start, end, first = c.spans(~c.SPACE[low], off)
-    return c.span_hash(c.prefix_sums(low), start, end), first
+    return c.span_hash(c.prefix_sums(low), start, end), start, end, first
+
+
+def chunks(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, word, first byte, byte after the last) of the words' chunks. The last chunk of a word is told apart from others."""
+    n = -(-(end - start) // CHUNK)
+    word = np.repeat(np.arange(len(n)), n)
+    begin = start[word] + CHUNK * (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n))
+    stop = np.minimum(begin + CHUNK, end[word])
+    padded = np.append(low, np.zeros(CHUNK, np.uint8)).astype(np.uint64)
+    code = (stop == end[word]).astype(np.uint64)
+    for k in range(CHUNK):
+        code = code * np.uint64(257) + np.where(begin + k < stop, padded[begin + k] + np.uint64(1), np.uint64(0))
+    return c.mix(code), word, begin, stop
 
 
 def counted(batches):
+    """Counts of words, and of the chunks of words longer than one, summed in the task."""
     held: list = []
 
     def out():
@@ -46,7 +73,10 @@ def counted(batches):
 
     for batch in batches:
         for _, _, raw, off in c.slices(*c.texts_of(batch.column(0))):
-            held.append(np.unique(words(raw, off)[0], return_counts=True))
+            low = c.LOWER[raw]
+            key, start, end, _ = words(low, off)
+            long = end - start > CHUNK
+            held.append(np.unique(np.concatenate((key, chunks(low, start[long], end[long])[0])), return_counts=True))
             if sum(len(k) for k, _ in held) > HELD_WORDS:
                 held = [out()]
                 if len(held[0][0]) > HELD_WORDS // 2:
@@ -57,173 +87,288 @@ def counted(batches):
 
 @dataclass
 class Vocabulary:
-    """Symbols: known words by index, then RARE buckets of other words by hash, then one for what lies beyond a text."""
+    """Symbols: known words and chunks by index, then bytes (twice: inside and at the end of a word), then one for what lies
+    beyond a text. Each symbol but the last has a class and a place in it."""
 
-    keys: np.ndarray  # sorted hashes of known words
-    group: np.ndarray  # class of each symbol
-    share: np.ndarray  # log of a word's share of its class, by symbol
+    keys: np.ndarray  # sorted
+    count: np.ndarray  # of each symbol that is predicted
+    group: np.ndarray
+    place: np.ndarray
 
     @property
     def beyond(self) -> int:
-        return len(self.keys) + RARE
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        rare = len(self.keys) + (hashes % np.uint64(RARE)).astype(np.int64)
-        if not len(self.keys):
-            return rare
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, rare)
-
+        return len(self.count)
 
-def cutoff(counts: DataFrame, size: int) -> int:
-    """The largest of some steps of n that at least `size` words reach, so a top-k sort sees little more than k rows; the steps
-    are the numbers to 1024 and then eighths of a power of two."""
-    step = F.when(F.col("n") < 1024, F.col("n").cast("double")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 8) / 8)))
-    words = 0
-    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):  # some hundred rows
-        words += r["words"]
-        if words >= size:
-            return int(r["step"])
-    return 0
+    @property
+    def classes(self) -> int:
+        return 1 << max(1, round(np.log2(self.beyond) / 2))
 
+    @property
+    def width(self) -> int:
+        """Places of a class."""
+        return -(-self.beyond // self.classes)
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """From docs (text): the `size` most frequent words of all documents are known (the report's bound, not a sample)."""
+    def known(self, key: np.ndarray) -> np.ndarray:
+        """Index of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def symbols(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, first symbol of each row and the end)."""
+        low = c.LOWER[raw]
+        key, start, end, first = words(low, off)
+        whole = self.known(key)
+        rare = np.flatnonzero(whole < 0)
+        key, word, begin, stop = chunks(low, start[rare], end[rare])
+        part = self.known(key)
+        parts = np.where(part < 0, stop - begin, 1)
+        size = np.ones(len(whole), np.int64)
+        size[rare] = np.bincount(word, parts, len(rare)).astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(at[-1], np.int64)
+        out[at[:-1][whole >= 0]] = whole[whole >= 0]
+        own = size[rare]
+        before = np.cumsum(parts) - parts  # of a rare word's chunks, within all rare words
+        place = at[rare][word] + before - (np.cumsum(own) - own)[word]
+        out[place[part >= 0]] = part[part >= 0]
+        spelled = np.flatnonzero(part < 0)
+        n = (stop - begin)[spelled]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        byte = np.repeat(begin[spelled], n) + step
+        out[np.repeat(place[spelled], n) + step] = len(self.keys) + 2 * low[byte].astype(np.int64) + (byte + 1 == np.repeat(end[rare][word[spelled]], n))
+        return out, at[first]
+
+    def classed(self, vectors: np.ndarray) -> Vocabulary:
+        """Classes of equal size by halving the symbols along the direction in which their vectors differ most."""
+        group = np.zeros(self.beyond, np.int64)
+        x = vectors[: self.beyond].astype(np.float64)
+        bound = self.width * self.classes  # as if there were so many
+        parts = [(np.arange(self.beyond), bound)]
+        while parts[0][1] > self.width:
+            after = []
+            for at, room in parts:
+                y = x[at] - x[at].mean(axis=0) if len(at) else x[at]
+                axis = np.linalg.eigh(y.T @ y)[1][:, -1]
+                axis = axis * (1 if axis[np.argmax(np.abs(axis))] > 0 else -1)
+                order = at[np.argsort(np.round(y @ axis, 6), kind="stable")]
+                after += [(order[: min(room // 2, len(at) - len(at) // 2)], room // 2), (order[min(room // 2, len(at) - len(at) // 2) :], room // 2)]
+            parts = after
+        place = np.zeros(self.beyond, np.int64)
+        for k, (at, _) in enumerate(parts):
+            group[at], place[at] = k, np.arange(len(at))
+        return Vocabulary(self.keys, self.count, group, place)
+
+
+def cutoff(total: int) -> int:
+    return max(2, int(total ** (2 / 3) / KNOWN))
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """From docs (text), with the words and chunks of all of them; how many are known grows with the corpus as stated at KNOWN."""
     c.prepare(docs.sparkSession)
     counts = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
-    known = counts.where(F.col("n") >= cutoff(counts, size)).orderBy(F.desc("n"), "word").limit(size).toArrow()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    known = counts.where(F.col("n") >= cutoff(total)).toArrow()  # at most total / cutoff rows
     keys, n = known.column("word").to_numpy().view(np.uint64), known.column("n").to_numpy()
     order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    every = counts.groupBy(F.pmod(F.conv(F.hex("word"), 16, 10).cast("decimal(20,0)"), F.lit(RARE)).cast("int").alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()  # RARE rows
-    rare, distinct = np.zeros(RARE), np.zeros(RARE)
-    for r in every:
-        own = keys % np.uint64(RARE) == r["bucket"]
-        rare[r["bucket"]], distinct[r["bucket"]] = r["n"] - n[own].sum(), r["words"] - own.sum()
-    total = np.concatenate((n, rare)) + 1.0
-    order = np.argsort(-total, kind="stable")
-    mass = np.cumsum(np.sqrt(total[order]))
-    group = np.zeros(len(total), np.int64)
-    group[order] = np.minimum((mass / mass[-1] * CLASSES).astype(np.int64), CLASSES - 1)
-    in_class = np.bincount(group, total, CLASSES)
-    share = np.log(total / in_class[group])
-    share[len(keys) :] -= np.log(np.maximum(distinct, 1))  # words of a bucket are alike likely
-    return Vocabulary(keys, group, share)
+    rest = max(0, total - int(n.sum()))
+    count = np.concatenate((n[order].astype(np.float64), np.full(512, 1 + rest / 512)))
+    random = np.random.default_rng(3).standard_normal((len(count), 2))
+    return Vocabulary(keys[order], count, count, count).classed(random)
 
 
-class Network:
-    """window symbols -> sum of embeddings by place -> tanh -> classes; trained by Adagrad on batches."""
+def softmax(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, their exp, its sum by row). Values are taken as they are, less their maximum only where that overflows."""
+    e = np.exp(y)
+    total = e @ np.ones(y.shape[1], np.float32)
+    if not (np.isfinite(total) & (total > 1e-30)).all():
+        y = y - y.max(axis=1, keepdims=True)
+        e = np.exp(y)
+        total = e.sum(axis=1)
+    return y, e, total
 
-    def __init__(self, symbols: int, weights: list[np.ndarray] | None = None):
-        rng = np.random.default_rng(5)
-        self.shapes = [(len(WINDOW) * symbols, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,)]
-        self.weights = weights or [(rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for s in self.shapes]
-        self.symbols = symbols
+
+class Network:
+    """symbols of a window -> embeddings -> tanh of a sum by place -> classes, and symbols of a class; trained by Adagrad."""
+
+    def __init__(self, held: Vocabulary):
+        rng, self.held = np.random.default_rng(5), held
+        v, k, m = held.beyond, held.classes, held.width
+        self.shapes = [(v + 1, EMBEDDED), (len(WINDOW), EMBEDDED, HIDDEN), (HIDDEN,), (k, HIDDEN + 1), (k, m, HIDDEN + 1)]  # the last hidden value is 1
+        self.weights = [(rng.standard_normal(s) * s[-2] ** -0.5 if j < 2 else np.zeros(s)).astype(np.float32) for j, s in enumerate(self.shapes)]
+        self.weights[0] *= np.float32((v + 1) ** 0.5 * 0.3)
+        share = np.full((k, m), 0.0)
+        share[held.group, held.place] = held.count
+        self.weights[3][:, HIDDEN] = np.log(np.maximum(share.sum(axis=1), 1e-9) / share.sum())
+        self.weights[4][:, :, HIDDEN] = np.where(share > 0, np.log(np.maximum(share, 1e-9) / np.maximum(share.sum(axis=1, keepdims=True), 1e-9)), NONE)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.weights])
 
     @classmethod
-    def of(cls, symbols: int, flat: np.ndarray) -> Network:
-        net, at = cls(symbols), 0
+    def of(cls, held: Vocabulary, flat: np.ndarray) -> Network:
+        net, at = cls(held), 0
         for k, s in enumerate(net.shapes):
             net.weights[k] = flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
             at += int(np.prod(s))
         return net
 
-    def forward(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden values, log-probabilities of classes) for windows [place, word] of rows of the embeddings."""
-        e, b, u, d = self.weights
-        x = e[window[0]]
-        for places in window[1:]:
-            x += e[places]
-        h = np.tanh(x + b)
-        y = h @ u + d
-        y -= y.max(axis=1, keepdims=True)
-        y -= np.log(np.exp(y).sum(axis=1, keepdims=True))
-        return h, y
+    def classed(self) -> Network:
+        """With classes by the embeddings, and what predicts them at its start again."""
+        net = Network(self.held.classed(self.weights[0]))
+        net.weights[:3] = self.weights[:3]
+        return net
+
+    def hidden(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.weights[0][window]
+        y = x[0] @ self.weights[1][0]
+        for k in range(1, len(x)):
+            y += x[k] @ self.weights[1][k]
+        h = np.ones((len(y), HIDDEN + 1), np.float32)
+        np.tanh(y + self.weights[2], out=h[:, :HIDDEN])
+        return x, h
+
+    def runs(self, target: np.ndarray) -> tuple[np.ndarray, list]:
+        """(order of targets by class, (class, first, end) of each run)."""
+        group = self.held.group[target]
+        order = np.argsort(group.astype(np.uint16) if self.held.classes <= 1 << 16 else group, kind="stable")
+        group = group[order]
+        edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist()
+        return order, list(zip(group[edge].tolist(), edge, [*edge[1:], len(group)]))
+
+    def log_probability(self, window: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of each target in its window [place, target]."""
+        out = np.empty(len(target))
+        order, runs = self.runs(target)
+        target = target[order]
+        _, h = self.hidden(window[:, order])
+        y, _, total = softmax(h @ self.weights[3].T)
+        got = y[np.arange(len(target)), self.held.group[target]].astype(np.float64)
+        got -= np.log(total)
+        place = self.held.place[target]
+        for k, a, b in runs:
+            y, _, total = softmax(h[a:b] @ self.weights[4][k].T)
+            got[a:b] += y[np.arange(b - a), place[a:b]] - np.log(total)
+        out[order] = got
+        return out
 
     def train(self, window: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
-        h, y = self.forward(window)
-        n = len(target)
-        g = np.exp(y)
-        g[np.arange(n), target] -= 1
-        back = (g @ self.weights[2].T) * (1 - h * h)
+        def step(j, at, grad):
+            squares[j][at] += grad * grad
+            self.weights[j][at] -= np.float32(RATE) * grad / np.sqrt(squares[j][at])
+
+        order, runs = self.runs(target)
+        window, target = window[:, order], target[order]
+        n, place = len(target), self.held.place[target]
+        x, h = self.hidden(window)
+        _, g, total = softmax(h @ self.weights[3].T)
+        g *= (1 / total)[:, None]
+        g[np.arange(n), self.held.group[target]] -= 1
+        back = g @ self.weights[3]
+        for k, a, b in runs:
+            _, z, total = softmax(h[a:b] @ self.weights[4][k].T)
+            z *= (1 / total)[:, None]
+            z[np.arange(b - a), place[a:b]] -= 1
+            back[a:b] += z @ self.weights[4][k]
+            step(4, k, z.T @ h[a:b])
+        step(3, ..., g.T @ h)
+        back = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
         at = window.ravel()
-        used, inverse = np.unique(at, return_inverse=True)
-        # sums of the gradients of each embedding that the batch uses, one column at a time
-        wide = np.tile(back, (len(WINDOW), 1))
-        e = np.stack([np.bincount(inverse, wide[:, j], len(used)) for j in range(WIDTH)], 1).astype(np.float32)
-        for k, rows, grad in ((0, used, e), (1, ..., back.sum(axis=0)), (2, ..., h.T @ g), (3, ..., g.sum(axis=0))):
-            squares[k][rows] += grad * grad
-            self.weights[k][rows] -= RATE * grad / np.sqrt(squares[k][rows] + 1e-6)
-
-
-def windows(held: Vocabulary, raw: np.ndarray, off: np.ndarray):
-    """(rows of the embeddings for each place and word, symbol of each word, first word of each row and the end)."""
-    hashes, first = words(raw, off)
-    symbol = held.symbols(hashes)
+        used = np.flatnonzero(np.bincount(at, minlength=len(self.weights[0])))
+        wide = np.concatenate([back @ a.T for a in self.weights[1]])
+        step(1, ..., np.stack([y.T @ back for y in x]))
+        step(2, ..., back.sum(axis=0))
+        step(0, used, np.stack([np.bincount(at, wide[:, j], len(self.weights[0]))[used] for j in range(EMBEDDED)], 1).astype(np.float32))
+
+
+def windows(held: Vocabulary, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols of each window [place, symbol], symbol, first symbol of each row and the end)."""
+    symbol, first = held.symbols(raw, off)
     pad = max(map(abs, WINDOW))
     row = np.repeat(np.arange(len(off) - 1), np.diff(first))
     at = np.arange(len(symbol)) + pad * (row + 1)
     line = np.full(len(symbol) + pad * len(off), held.beyond)
     line[at] = symbol
-    return np.stack([line[at + p] + k * (held.beyond + 1) for k, p in enumerate(WINDOW)]), symbol, first
+    return np.stack([line[at + p] for p in WINDOW]), symbol, first
 
 
-def trained(shared):
-    def run(batches):
+def trained(shared, steps: int):
+    """The weights after a shard's texts, whose order is by their hashes, in BLOCKS parts."""
+
+    def run(table: pa.Table) -> pa.Table:
         held, flat = shared.value
-        net = Network.of(held.beyond + 1, flat)
-        squares, n = [np.full(w.shape, 0.1, np.float32) for w in net.weights], 0
-        for batch in batches:
-            for _, _, raw, off in c.slices(*c.texts_of(batch.column(0))):
-                window, symbol, _ = windows(held, raw, off)
-                for a in range(0, len(symbol), BATCH):
-                    net.train(window[:, a : a + BATCH], held.group[symbol[a : a + BATCH]], squares)
-                n += len(symbol)
-        if n:
-            parts = np.array_split(net.flat(), BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.list_(pa.float32())), pa.array([float(n)] * BLOCKS)], names=["block", "weights", "n"])
+        net = Network.of(held, flat)
+        squares = [np.full(w.shape, 0.1, np.float32) for w in net.weights]
+        table = table.sort_by([("hash", "ascending"), ("text", "ascending")])
+        parts = []
+        for _, _, raw, off in c.slices(*c.texts_of(table.column("text"))):
+            window, symbol, first = windows(held, raw, off)
+            place = np.arange(len(symbol)) - np.repeat(first[:-1], np.diff(first))
+            chosen = np.flatnonzero((place + np.repeat(np.arange(len(off) - 1), np.diff(first))) % MASKED == 0)
+            parts.append((window[:, chosen].astype(np.int32), symbol[chosen].astype(np.int32)))
+        window, symbol = np.concatenate([w for w, _ in parts], axis=1), np.concatenate([s for _, s in parts])
+        n, rng, done = len(symbol), np.random.default_rng(11), 0
+        batch = min(BATCH, max(128, n // 16))
+        while n and done < steps:
+            order = rng.permutation(n)
+            for a in range(0, n, batch):
+                at = order[a : a + batch]
+                net.train(window[:, at], symbol[at], squares)
+                done += 1
+        blocks = np.array_split(net.flat(), BLOCKS)
+        shard = table.column("shard")[0].as_py()
+        return pa.table({"block": pa.array(range(BLOCKS), pa.int32()), "shard": pa.array([shard] * BLOCKS, pa.int32()), "fan": pa.array([shard % FAN] * BLOCKS, pa.int32()), "weights": pa.array(blocks, pa.list_(pa.float32())), "n": [float(n)] * BLOCKS})
 
     return run
 
 
 def averaged(group: pa.Table) -> pa.Table:
+    group = group.sort_by([("fan", "ascending"), ("shard", "ascending")])
     n = group.column("n").to_numpy()
     w = np.zeros(len(group.column("weights")[0]))
     for part, k in zip(group.column("weights"), n):
-        w += part.values.to_numpy() * (k / n.sum())
-    return pa.table({"block": group.column("block")[:1], "weights": pa.array([w.astype(np.float32)], pa.list_(pa.float32())), "n": [n.sum()]})
+        w += part.values.to_numpy() * (k / max(1.0, n.sum()))
+    return pa.table({**{x: group.column(x)[:1] for x in ("block", "shard", "fan")}, "weights": pa.array([w.astype(np.float32)], pa.list_(pa.float32())), "n": [n.sum()]})
+
 
+def train(docs: DataFrame, held: Vocabulary, shard_bytes: int = SHARD_BYTES, steps: int = STEPS) -> Network:
+    """A network from docs (doc_id, text), each of which is in one of the rounds: two, and one more for each doubling of the
+    text over four shards. After the first round, classes are cut out of the embeddings.
 
-def train(docs: DataFrame, held: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """A network from docs (text), each of which is in one of the rounds. Weights are averaged in two steps of bounded
-    groups; the driver gets one copy, whose size depends on the vocabulary alone."""
-    spark, net, schema = docs.sparkSession, Network(held.beyond + 1), "block int, weights array<float>, n double"
+    Weights are averaged in two steps, of a shard's number modulo FAN and of these; the driver gets one copy, whose size
+    depends on the vocabulary alone. Without any text, the network gives the shares of symbols.
+    """
+    spark, net, schema = docs.sparkSession, Network(held), "block int, shard int, fan int, weights array<float>, n double"
+    rows = docs.where("text is not null").select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("hash"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rounds = 2 + int(np.log2(1 + total / (4 * shard_bytes)))
+    shards = 1 + total // (rounds * shard_bytes)
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((held, net.flat()))
-        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
-        rows = part.mapInArrow(trained(shared), schema).withColumn("fan", F.pmod(F.spark_partition_id(), F.lit(FAN)))
-        means = rows.groupBy("block", "fan").applyInArrow(lambda t: averaged(t), schema).groupBy("block").applyInArrow(lambda t: averaged(t), schema).toArrow()
-        if means.num_rows:
-            got = sorted(zip(means.column("block").to_pylist(), range(means.num_rows)))
-            net = Network.of(held.beyond + 1, np.concatenate([means.column("weights")[i].values.to_numpy() for _, i in got]))
+        shared = spark.sparkContext.broadcast((net.held, net.flat()))
+        part = rows.where(F.pmod("hash", F.lit(rounds)) == r).withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int"))
+        got = part.groupBy("shard").applyInArrow(trained(shared, steps), schema)
+        for keys in (["block", "fan"], ["block"]):
+            got = got.groupBy(*keys).applyInArrow(lambda t: averaged(t), schema)
+        got = got.toArrow().sort_by("block")
+        if got.num_rows and got.column("n")[0].as_py():
+            net = Network.of(net.held, np.concatenate([x.values.to_numpy() for x in got.column("weights")]))
+        if r == 0:
+            net = net.classed()
         shared.unpersist()
     return net
 
 
 def scored(shared):
     def run(batches):
-        held, flat = shared.value
-        net = Network.of(held.beyond + 1, flat)
+        net = Network.of(*shared.value)
         for batch in batches:
             for lo, hi, raw, off in c.slices(*c.texts_of(batch.column(1))):
-                window, symbol, first = windows(held, raw, off)
-                got = np.zeros(len(symbol) + 1)
-                for a in range(0, len(symbol), BATCH):
-                    s = symbol[a : a + BATCH]
-                    got[a : a + len(s)] = net.forward(window[:, a : a + BATCH])[1][np.arange(len(s)), held.group[s]] + held.share[s]
+                window, symbol, first = windows(net.held, raw, off)
+                got = np.zeros(len(symbol))
+                for a in range(0, len(symbol), SCORED):
+                    got[a : a + SCORED] = net.log_probability(window[:, a : a + SCORED], symbol[a : a + SCORED])
                 total = np.concatenate(([0], np.cumsum(got)))
                 total, n = total[first[1:]] - total[first[:-1]], np.diff(first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(total), pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0))], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
@@ -231,16 +376,17 @@ def scored(shared):
     return run
 
 
-def score(docs: DataFrame, held: Vocabulary, net: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for each row of docs (doc_id, text).
+def score(docs: DataFrame, net: Network) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for each row of docs (doc_id, text), a token being a symbol.
 
-    Null and empty texts have no tokens and zeros. Ids may be null or repeat. Other columns are not read.
+    Null and empty texts have no tokens and zeros. Words that the corpus does not have are scored by their chunks and bytes.
+    Ids may be null or repeat. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((held, net.flat()))
+    c.prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((net.held, net.flat()))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored(shared), "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = vocabulary(docs)
-    return score(docs, held, train(docs, held))
+    return score(docs, train(docs, vocabulary(docs)))
