@@ -349,11 +349,27 @@ def test_decontamination(spark, odd, block):
         rows.append((i, rng.choice([" ", ", "]).join(w), "en", "s"))
     df = documents(spark, rows).union(odd)
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id string, text string, doc_id int")
-    got = decontaminate.contamination(df, bench, block_bytes=block).collect()
+    got = decontaminate.contamination(df.orderBy(F.rand(1)), bench, block_bytes=block).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(set(r["items"])))) for r in got) == contaminated([tuple(r) for r in pairs(df)], items)
     assert decontaminate.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_items_that_share_a_prompt(spark):
+    """Each shared window is one, however many items have it."""
+    prompt = [f"p{i}" for i in range(12)]
+    items = [(f"i{k}", " ".join([*prompt, *(f"q{k}x{i}" for i in range(6))])) for k in range(20000)]
+    raw, off = fingerprint.joined([t for _, t in items])
+    index = decontaminate.Index([n for n, _ in items], *decontaminate.words(raw, off), 5, 10)
+    assert len(index.begin) - 1 == 3 + 6 * len(items)
+    hashes, first = decontaminate.words(*fingerprint.joined([t for _, t in items[:3000]]))
+    assert sum(len(begin) for begin, _, _ in index.hits(hashes, first)) == 9 * 3000
+    docs = documents(spark, [(1, "so " + " ".join(prompt) + " end", "en", "s"), (2, items[7][1], "en", "s"), (3, " ".join(prompt[3:]), "en", "s")])
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for block in (1 << 23, 1000):
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, bench, block_bytes=block).select("doc_id", "n_hit", F.size("items").alias("items")).collect()}
+        assert got == {1: (12, 20000), 2: (18, 20000), 3: (0, 0)}
+
+
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_clean_decides_by_row(spark, odd, block):
     items = [(f"i{k}", " ".join(f"v{k * 20 + i}" for i in range(12))) for k in range(5)]
