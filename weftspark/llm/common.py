@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; the arrays beside it take some 50 times as much.
 SLICE_BYTES = 1 << 20
+#: The largest share of all rows that one key takes into one task of spread_join().
+SHARE = 1024
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
@@ -24,7 +26,9 @@ def prepare(spark: SparkSession) -> None:
     """Bounds the Arrow batches by bytes, and sees that checkpoints have a folder that all executors share."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftspark-"))  # a session without a cluster, as in tests
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftspark-"))  # one machine, as in tests
 
 
 # ---------------------------------------------------------------- Arrow
@@ -129,6 +133,22 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
+# ---------------------------------------------------------------- joins on keys of which few may be hot
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+    """big left joined with small, which has one row a key and in `n` the number of big's rows with it; total is that of all.
+
+    Keys with over 1 / SHARE of all rows are dealt out in parts of about that size. There are fewer than SHARE of them, which
+    bounds the table that is broadcast. The parts go by the order of big's rows, so big has to come from a scan or a checkpoint.
+    """
+    parts = F.when(F.col("n") * SHARE > total, F.ceil(F.col("n") * SHARE / max(1, total))).otherwise(1).cast("int")
+    hot = F.broadcast(small.where(F.col("n") * SHARE > total).select(key, parts.alias("__parts")))
+    left = big.join(hot, key, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return left.join(right, [key, "__salt"], "left").drop("__salt")
+
+
 # ---------------------------------------------------------------- components
 
 

@@ -22,6 +22,8 @@ from . import common as c
 SEED = 42
 #: Rows of one key that are compared in one task; more are dealt out as pairs of parts.
 MAX_KEY = 1 << 16
+#: Rows that a task holds, besides those of one key.
+HELD = 1 << 16
 #: Texts of one proposed group whose shingles are compared in one task; more are dealt out as pairs of parts.
 MAX_PART = 2048
 #: Sets of so few shingles are also proposed by their least hashes, as fingerprints say little about them.
@@ -177,16 +179,27 @@ def forest(key: np.ndarray, f: list[np.ndarray], radius: int, step: int = 1 << 1
 
 
 def linked(radius: int, words: int):
-    def run(batches):
-        got = [(np.asarray(b.column("key")), np.asarray(b.column("node")), *(np.asarray(b.column(f"f{j}")).view(np.uint64) for j in range(words))) for b in batches]
-        if not got:
-            return
+    """Forests of rows that come sorted by key; a task holds whole keys of about HELD rows at a time."""
+
+    def links_of(got: list) -> pa.RecordBatch:
         key, node, *f = map(np.concatenate, zip(*got))
-        order = np.argsort(key, kind="stable")
-        node = node[order]
-        label = forest(key[order], [x[order] for x in f], radius)
+        label = forest(key, f, radius)
         child = np.flatnonzero(label != np.arange(len(label)))
-        yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[label[child]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[label[child]])], names=["a", "b"])
+
+    def run(batches):
+        got, rows = [], 0
+        for b in batches:
+            part = (np.asarray(b.column("key")), np.asarray(b.column("node")), *(np.asarray(b.column(f"f{j}")).view(np.uint64) for j in range(words)))
+            if rows + b.num_rows > HELD and b.num_rows:
+                last = int(np.searchsorted(part[0], part[0][-1]))  # the batch's last key may go on
+                if last or (got and got[-1][0][-1] != part[0][0]):
+                    yield links_of([*got, tuple(x[:last] for x in part)])
+                    got, rows, part = [], 0, tuple(x[last:] for x in part)
+            got.append(part)
+            rows += len(part[0])
+        if rows:
+            yield links_of(got)
 
     return run
 
@@ -201,14 +214,14 @@ def links(nodes: DataFrame, cols: list[str], radius: int, tables: list[list[int]
         part, other = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))), F.col("other")
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         rows = rows.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(part, other), F.greatest(part, other))).alias("key"), "node", *cols)
-    return rows.repartition(F.col("key")).mapInArrow(linked(radius, len(cols)), "a long, b long")
+    return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(linked(radius, len(cols)), "a long, b long")
 
 
 def groups(prints: DataFrame, radius: int = 3, tables: list[list[int]] | None = None, max_key: int = MAX_KEY) -> DataFrame:
     """(doc_id, f0 .., component_id): the smallest doc_id that each row reaches by fingerprints within the radius.
 
     With pigeonhole tables (the default, for one word) no link is missed. Rows with equal fingerprints are one node, so that
-    copies meet in an aggregate. A key of over max_key rows is dealt out as pairs of parts. Null ids are kept; they are
+    copies meet in an aggregate, and are told their component in parts. A key of over max_key rows is dealt out as pairs of parts. Null ids are kept; they are
     the component's id only where it has no other. Repeated ids are kept as rows.
     """
     c.prepare(prints.sparkSession)
@@ -216,12 +229,12 @@ def groups(prints: DataFrame, radius: int = 3, tables: list[list[int]] | None =
     tables = tables or pigeonhole(radius)
     node = F.col("f0") if len(cols) == 1 else F.xxhash64(*cols)
     prints = prints.withColumn("node", node).checkpoint()
-    nodes = prints.groupBy("node", *cols).agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("node", *cols).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     found = c.components(links(nodes, cols, radius, tables, max_key))
     merged = nodes.select("node", "least").join(found, "node")
     named = merged.join(merged.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
-    alone = nodes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(alone, "node", "left").select("doc_id", *cols, "component_id")
+    alone = nodes.select("node", "least", "n").join(named, "node", "left").select("node", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return c.spread_join(prints, alone, "node", prints.count()).select("doc_id", *cols, "component_id")
 
 
 def plan_for(similarity: float, words: int, rows: int, miss: float = 0.001, slack: float = 4) -> tuple[int, list[list[int]]]:
