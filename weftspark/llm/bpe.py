@@ -285,6 +285,9 @@ def chunk_bounds(batches):
 def chunks_encoded(path: str, margin: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("no")
+        no = group.column("no").to_numpy()
+        rows = int((no == 0).sum())  # equal rows come as one group
+        group = group.take(pa.array(np.unique(no, return_index=True)[1]))
         starts, texts = group.column("start").to_pylist(), group.column("part").to_pylist()
         parts = [(s, np.frombuffer(b, np.int64)) for s, b in zip(starts, group.column("bounds").to_pylist())]
         text = "".join([x[: s2 - s] for x, s, s2 in zip(texts, starts, [*starts[1:], 1 << 62])])
@@ -292,7 +295,8 @@ def chunks_encoded(path: str, margin: int):
         if (bounds := stitch(parts, margin)) is None:  # no shared boundary in some overlap: one run over the whole text
             bounds = boundaries(points, np.array([0, len(points)]))
         ids, _ = vocabulary(path).encode(data, at[bounds])
-        return pa.table({"doc_id": group.column("doc_id")[:1], "ids": pa.array([ids], pa.list_(pa.int32()))})
+        one = pa.table({"doc_id": group.column("doc_id")[:1], "ids": pa.array([ids], pa.list_(pa.int32()))})
+        return pa.concat_tables([one] * rows)
 
     return run
 
@@ -301,18 +305,19 @@ def encode(docs: DataFrame, ranks: str | None = None, chunk: int = 32768, overla
     """(doc_id, ids array<int>) for each row, as byte-level BPE by the ranks would encode its whole text.
 
     Null and empty texts have no ids. Ids may be null or repeat: each row gives one row. Columns other than the two are
-    not read. A text of any length is exact: chunks without a shared boundary are done again as one.
+    not read. A text of any length is exact: chunks without a shared boundary are done again as one. Chunks find each other by id
+    and hash of the text, so a recomputed task changes nothing.
     """
     c.prepare(docs.sparkSession)
     path, margin = ranks or default_ranks(), 8
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk).mapInArrow(encoded(path), "doc_id long, ids array<int>")
-    long = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    long = long.select("row", "doc_id", "text", F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))).alias("no", "start"))
-    long = long.select("row", "doc_id", "no", "start", F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("part"))
-    long = long.repartition(F.col("row"), F.col("no"))
-    long = long.mapInArrow(chunk_bounds, "row long, doc_id long, no int, start int, part string, bounds binary")
-    return short.union(long.groupBy("row").applyInArrow(chunks_encoded(path, margin), "doc_id long, ids array<int>"))
+    long = rows.where(F.length("text") > chunk).withColumn("hash", F.xxhash64("text"))
+    long = long.select("hash", "doc_id", "text", F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))).alias("no", "start"))
+    long = long.select("hash", "doc_id", "no", "start", F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("part"))
+    long = long.repartition("hash", "doc_id", "no")
+    long = long.mapInArrow(chunk_bounds, "hash long, doc_id long, no int, start int, part string, bounds binary")
+    return short.union(long.groupBy("doc_id", "hash").applyInArrow(chunks_encoded(path, margin), "doc_id long, ids array<int>"))
 
 
 def decode(tokens: DataFrame, ranks: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
