@@ -78,10 +78,10 @@ def frequencies(batches):
 
 def counted(batches):
     for batch in batches:
-        for lo, hi, counts in blocks(batch.column(1)):
+        for lo, hi, counts in blocks(batch.column(2)):
             row, term = np.nonzero(counts)
             off = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(off, pa.array(term, pa.int32())), pa.ListArray.from_arrays(off, pa.array(counts[row, term], pa.int32()))], names=["label", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(off, pa.array(term, pa.int32())), pa.ListArray.from_arrays(off, pa.array(counts[row, term], pa.int32()))], names=["label", "doc_id", "terms", "counts"])
 
 
 @dataclass
@@ -134,8 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     share = 2 * max_labelled / max(1, chosen.count())
     low = chosen.where(F.xxhash64("doc_id") < F.lit(int(-(2**63) + 2**64 * share))) if share < 0.9 else chosen
     chosen = low.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).checkpoint()
-    rows = docs.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("quality", "text").repartition(4)  # copies of an id don't pass the bound
-    got = rows.mapInArrow(counted, "label int, terms array<int>, counts array<int>").toArrow()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("quality", F.col("doc_id").cast("long"), "text").mapInArrow(counted, "label int, doc_id long, terms array<int>, counts array<int>")
+    # rows of terms are bounded in bytes, and so is the top-k sort; copies of an id don't pass the bound
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms", "counts")).limit(max_labelled).toArrow()
     y = np.asarray(got.column("label").to_pylist(), np.float64)
     x = np.zeros((len(y), TERMS), np.float32)
     for i, (t, k) in enumerate(zip(got.column("terms"), got.column("counts"))):
