@@ -22,7 +22,7 @@ from . import common as c
 #: has a bound that doesn't depend on the corpus: languages / RATE n-grams.
 RATE = 2e-5
 HASHES = 3
-#: Languages by number of labelled texts that one mask holds; a corpus with more is an error.
+#: Languages of one mask; more languages take more masks.
 MOST = 64
 NGRAM = 4
 LETTER = regex.compile(r"\p{L}")
@@ -87,24 +87,27 @@ def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    slots: np.ndarray  # mask of languages
+    slots: list[np.ndarray]  # masks of languages, MOST of them each
     false: np.ndarray  # share of absent n-grams that the filter takes for present, by language
     cover: np.ndarray  # share of a language's own n-grams that are in its filter
     prior: np.ndarray  # share of all n-grams counted; decides between equal shares
 
-    def masks(self, code: np.ndarray) -> np.ndarray:
-        out, shift = None, np.uint32(32 - int(np.log2(len(self.slots))))
-        for f in FACTORS[:HASHES]:
-            got = self.slots[(code ^ (code >> np.uint32(15))) * np.uint32(f) >> shift]
-            out = got if out is None else out & got
+    def masks(self, code: np.ndarray) -> list[np.ndarray]:
+        out, shift = [], np.uint32(32 - int(np.log2(len(self.slots[0]))))
+        at = [(code ^ (code >> np.uint32(15))) * np.uint32(f) >> shift for f in FACTORS[:HASHES]]
+        for slots in self.slots:
+            got = slots[at[0]]
+            for other in at[1:]:
+                got = got & slots[other]
+            out.append(got)
         return out
 
     def predict(self, raw: np.ndarray, off: np.ndarray, texts: list) -> tuple[list, np.ndarray]:
         n, k = len(off) - 1, len(self.languages)
         code, row = ngrams(raw, off)
-        mask = self.masks(code)
+        masks = self.masks(code)
         total = np.bincount(row, minlength=n)
-        hits = np.stack([np.bincount(row[(mask >> self.slots.dtype.type(j)) & self.slots.dtype.type(1) != 0], minlength=n) for j in range(k)], 1)
+        hits = np.stack([np.bincount(row[(m >> m.dtype.type(j % MOST)) & m.dtype.type(1) != 0], minlength=n) for j in range(k) for m in (masks[j // MOST],)], 1)
         true = np.maximum(hits - total[:, None] * self.false, 0) / (1 - self.false)
         share = true / np.maximum(total, 1)[:, None] / np.maximum(self.cover, 1e-9)
         best = np.argmax(share + 1e-9 * self.prior, axis=1)
@@ -119,26 +122,24 @@ def fit(docs: DataFrame, rate: float = RATE) -> Model:
     c.prepare(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
     counts = rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
-    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).limit(MOST + 1).collect()}
-    if len(totals) > MOST:
-        raise ValueError(f"more than {MOST} languages")
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row a language
     languages = sorted(totals)
     if not languages:
-        return Model([], np.zeros(2, np.uint8), np.zeros(0), np.zeros(0), np.zeros(0))
-    least = F.create_map(*(F.lit(x) for lang in languages for x in (lang, rate * totals[lang])))
-    got = counts.where(F.col("n") >= least[F.col("lang")]).toArrow()  # languages / rate rows at most
+        return Model([], [np.zeros(2, np.uint8)], np.zeros(0), np.zeros(0), np.zeros(0))
+    least = F.broadcast(docs.sparkSession.createDataFrame([(x, rate * totals[x]) for x in languages], "lang string, least double"))
+    got = counts.join(least, "lang").where("n >= least").select("gram", "lang", "n").toArrow()  # languages / rate rows at most
     gram, lang, n = (got.column(x).to_numpy() for x in ("gram", "lang", "n"))
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(languages))
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= min(MOST, len(languages)))
     size = 1 << max(16, int(np.ceil(np.log2(8 * max(1, len(np.unique(gram)))))))
-    model = Model(languages, np.zeros(size, kind), np.zeros(len(languages)), np.zeros(len(languages)), np.array([totals[x] for x in languages]) / max(1, sum(totals.values())))
+    model = Model(languages, [np.zeros(size, kind) for _ in range(0, len(languages), MOST)], np.zeros(len(languages)), np.zeros(len(languages)), np.array([totals[x] for x in languages]) / max(1, sum(totals.values())))
     shift = np.uint32(32 - int(np.log2(size)))
     for j, name in enumerate(languages):
         own = gram[lang == name].astype(np.uint32)
         for f in FACTORS[:HASHES]:
-            np.bitwise_or.at(model.slots, (own ^ (own >> np.uint32(15))) * np.uint32(f) >> shift, kind(1 << j))
+            np.bitwise_or.at(model.slots[j // MOST], (own ^ (own >> np.uint32(15))) * np.uint32(f) >> shift, kind(1 << j % MOST))
         model.cover[j] = n[lang == name].sum() / totals[name]
     for j in range(len(languages)):
-        model.false[j] = ((model.slots >> kind(j)) & kind(1)).mean() ** HASHES
+        model.false[j] = ((model.slots[j // MOST] >> kind(j % MOST)) & kind(1)).mean() ** HASHES
     return model
 
 
