@@ -14,8 +14,6 @@ from . import common as c
 RATIO, MIN_PAGES = 0.5, 4
 #: The same for the sources of documents. A source mixes unlike documents, so a line that one in a hundred texts repeats is boilerplate.
 SOURCE_RATIO, SOURCE_LEAST = 0.01, 4
-#: A host's pages meet its boilerplate in so many parts, so that a host with a third of all pages is no single task.
-SALTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -51,9 +49,9 @@ def marked(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, m
     rows = pages.withColumn("__line_host", F.coalesce(host, F.lit(""))).withColumn("__line_list", F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)))
     copy = [F.xxhash64("__line_list").alias("copy")] if copies_once else []
     bad = boilerplate(rows.select(F.col("__line_host").alias("host"), F.col("__line_list").alias("lines"), *copy), ratio, min_pages)
-    bad = bad.select(F.col("host").alias("__line_host"), F.col("bad").alias("__line_bad"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__line_salt"))
-    rows = rows.withColumn("__line_salt", F.pmod(F.xxhash64("__line_list"), F.lit(SALTS)).cast("int"))
-    rows = rows.join(bad, ["__line_host", "__line_salt"], "left").drop("__line_salt")
+    n = rows.groupBy(F.col("__line_host").alias("host")).agg(F.count("*").alias("n"))
+    bad = bad.join(n, "host").select(F.col("host").alias("__line_host"), F.col("bad").alias("__line_bad"), "n")
+    rows = c.spread_join(rows, bad, "__line_host", pages.count())
     return rows.withColumn("__line_bad", F.coalesce("__line_bad", F.array().cast("array<bigint>")))
 
 
