@@ -87,7 +87,7 @@ def test_bpe_of_long_pieces(reference_bpe):
 def test_bpe_chunks_are_stitched(spark, odd, reference_bpe):
     rng = random.Random(3)
     text = "".join(rng.choices(["don't", " ", "  ", "\n", "we'll", "x1y", "!!", "é", "aaa"], k=4000))
-    df = documents(spark, [(1, text, "en", "s"), (2, " " * 5000, "en", "s"), (3, "z" * 5000, "en", "s")]).union(odd)
+    df = documents(spark, [(1, text, "en", "s"), (1, text, "en", "s"), (None, text[:2000], "en", "s"), (2, " " * 5000, "en", "s"), (3, "z" * 5000, "en", "s")]).union(odd)
     got = Counter((r["doc_id"], tuple(r["ids"])) for r in bpe.encode(df, chunk=200, overlap=40).collect())
     assert got == Counter((r["doc_id"], tuple(reference_bpe.encode_ordinary(r["text"] or ""))) for r in pairs(df))
 
@@ -246,6 +246,20 @@ def test_simhash_groups(spark, odd):
         assert got == {(d, x, least[root(x)]) for d, f in prints.items() for x in f}
 
 
+def test_simhash_of_crowded_ids(spark):
+    """Many rows with a null id or one id, and a fingerprint that a third of all rows have."""
+    df = documents(spark, crowded() + [(i, "one text that many rows have", "en", "s") for i in range(1000, 1200)] + [(None, None, None, None)] * 50)
+    rows = simhash.groups(simhash.fingerprints(df), max_key=40).collect()
+    assert len(rows) == df.count()
+    by_print = {}
+    for r in rows:
+        by_print.setdefault(r["f0"], []).append(r)
+    for f, same in by_print.items():
+        assert len({r["component_id"] for r in same}) == 1
+        near = [r["doc_id"] for o, x in by_print.items() if ((f ^ o) & (1 << 64) - 1).bit_count() <= 3 for r in x if r["doc_id"] is not None]
+        assert not near or same[0]["component_id"] <= min(near)
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(1)
     f = [rng.integers(0, 1 << 64, 150, dtype=np.uint64) for _ in range(2)]
@@ -411,15 +425,22 @@ def test_hosts(spark):
 # ---------------------------------------------------------------- fingerprints
 
 
+def likeness(a, b):
+    """Common digests of two texts' paragraphs, by sets."""
+    left, right = (set(fingerprint.digests(*fingerprint.joined([t]))[0].tolist()) for t in (a, b))
+    return round(2 * len(left & right) / (len(left) + len(right)), 9) if left or right else 1.0
+
+
 def test_fingerprints_of_neighbours(spark, odd):
     df = documents(spark, planted()).union(odd)
     for bucket in (1 << 24, 2000):
-        got = [tuple(r)[:3] for r in fingerprint.edited_neighbours(df, bucket).collect()]
+        got = [(*tuple(r)[:3], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprint.edited_neighbours(df, bucket).collect()]
         rows = sorted((tuple(r) for r in pairs(df)), key=lambda r: (r[0] is not None, r[0] or 0, (r[1] is not None, (r[1] or "").encode())))
         want = []
         for (d, a), (_, b) in zip(rows, rows[1:] + rows[:1]):
             a, b = a or "", b or ""
-            want.append((d, len(a), hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()))
+            edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+            want.append((d, len(a), hashlib.sha256(edited.encode()).hexdigest(), likeness(a, edited), likeness(a, b)))
         assert Counter(got) == Counter(want)
 
 
@@ -453,10 +474,21 @@ def test_language_held_out(spark, odd):
 def test_language_filter_has_no_false_negative():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 1 << 32, 5000, dtype=np.uint32)
-    model = language.Model(["a", "b"], np.zeros(1 << 16, np.uint8), np.zeros(2), np.ones(2), np.ones(2) / 2)
+    model = language.Model(["a", "b"], [np.zeros(1 << 16, np.uint8)], np.zeros(2), np.ones(2), np.ones(2) / 2)
     for f in language.FACTORS[: language.HASHES]:
-        np.bitwise_or.at(model.slots, (grams ^ (grams >> np.uint32(15))) * np.uint32(f) >> np.uint32(16), np.uint8(2))
-    assert (model.masks(grams) == 2).all()
+        np.bitwise_or.at(model.slots[0], (grams ^ (grams >> np.uint32(15))) * np.uint32(f) >> np.uint32(16), np.uint8(2))
+    assert (model.masks(grams)[0] == 2).all()
+
+
+def test_more_languages_than_a_mask_holds(spark):
+    """130 languages, each with letters of its own."""
+    text = lambda k, rng: " ".join("".join(rng.choices([chr(0x4E00 + 50 * k + i) for i in range(5)], k=5)) for _ in range(60))
+    rng = random.Random(4)
+    docs = documents(spark, [(k * 3 + j, text(k, rng), f"l{k}", "s") for k in range(130) for j in range(3)])
+    model = language.fit(docs)
+    assert len(model.slots) == 3
+    got = language.predict(documents(spark, [(k, text(k, rng), f"l{k}", "s") for k in range(130)]), model)
+    assert got.where("lang = lang_pred").count() == 130
 
 
 def test_quality_held_out(spark, odd):
