@@ -182,3 +182,21 @@ def test_latest_prefers_scoped(spark):
 def test_identity(spark):
     df = spark.createDataFrame([("a", 0, "x"), ("b", 0, "x"), ("a", 1, "y"), ("b", 1, None)], "subject string, item int, text string")
     assert [r["item"] for r in rel.mismatches(df, "item", "text").collect()] == [1]
+
+
+def test_casts_and_stamps(spark):
+    df = spark.createDataFrame([("1.5",), ("x",), (None,)], "t string")
+    assert [r["t"] for r in pf.parsed(df, "t", "skip").collect()] == [1.5]
+    assert [r["t"] for r in pf.parsed(df, "t", "column").collect()] == [None] * 3
+    with pytest.raises(Exception, match="not a number"):
+        pf.parsed(df, "t", "abort").collect()
+    assert [one(spark, f.whole_number(F.lit(x))) for x in (" 12 ", "１２", "1a", "")] == [12, 12, None, None]
+    assert one(spark, f.utc_stamp(F.lit("2024-05-06 07:08:09").cast("timestamp"))) == "2024-05-06T07:08:09+00:00"
+    assert one(spark, f.local_stamp(F.lit("2024-05-06 07:08:09").cast("timestamp"))) == "20240506_070809"
+    assert len(one(spark, f.utc_stamp())) == 25 and one(spark, f.gib(F.lit(3 * 1024**3 // 2))) == 1.5
+
+
+def test_ranks_with_nulls(spark):
+    rows = [(g, v, float(i)) for i, (g, v) in enumerate([("a", None), ("a", 2.0), ("a", None), (None, 1.0), (None, 1.0), ("a", 5.0)])]
+    df = spark.createDataFrame(rows, "g string, v double, k double")
+    assert sorted((r["k"], r["r_v"]) for r in rk.ranked_wide(df, "g", "v", "k").collect()) == sorted((r["k"], r["r_v"]) for r in rk.ranked(df, "g", "v").collect())

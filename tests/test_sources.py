@@ -65,3 +65,50 @@ def test_sinks(spark, tmp_path):
     assert tables.csv(spark, str(tmp_path / "o")).count() == 4
     assert '"é"' in sinks.summary_json(spark.createDataFrame([("é", {"s": 1.0})], "name string, by map<string,double>"))
     assert sinks.markdown(df, "T", "rho", 1).count("|") == 12
+
+
+def test_inventory_reads_only_what_it_hashes(spark, tmp_path):
+    (tmp_path / "a.Json").write_text("{}")
+    (tmp_path / "b.eeg").write_bytes(b"x" * 10)
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "c.txt").write_text("no")
+    got = tables.inventory(spark, str(tmp_path))
+    assert {(r["extension"], bool(r["sha256"])) for r in got.collect()} == {(".json", True), (".eeg", False)}
+    assert {bool(r["sha256"]) for r in tables.inventory(spark, str(tmp_path), hash_all=True).collect()} == {True}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("content") == plan.split("LeftOuter", 1)[1].count("content")  # the listing has no content
+
+
+def test_slices_of_a_recording(spark, tmp_path):
+    head = "Brain Vision Data Exchange Header File Version 1.0\n[Common Infos]\nDataFile={0}.eeg\nDataOrientation={1}\nNumberOfChannels=2\nSamplingInterval=3906.25\n[Binary Infos]\nBinaryFormat=IEEE_FLOAT_32\n[Channel Infos]\nCh1=Fz,,0.5,uV\nCh2=Cz,,,uV\n"
+    x = np.arange(40, dtype="<f4").reshape(20, 2)
+    for name, order, data in (("m", "MULTIPLEXED", x), ("v", "VECTORIZED", x.T)):
+        (tmp_path / f"{name}.vhdr").write_text(head.format(name, order))
+        np.ascontiguousarray(data).tofile(tmp_path / f"{name}.eeg")
+    assert {(r["rate"], tuple(r["channels"])) for r in binary.headers(spark, str(tmp_path)).collect()} == {(256.0, ("Fz", "Cz"))}
+    for start, stop in ((0, None), (3, 11), (8, 9), (25, None)):
+        got = binary.as_signal(binary.brainvision(spark, str(tmp_path), 4, start, stop)).collect()
+        want = [(s, c, float(x[s, c] * (0.5, 1)[c])) for s in range(start, min(20, stop or 20)) for c in range(2)]
+        for stem in "mv":
+            assert sorted((r["sample"], r["channel"], r["value"]) for r in got if r["stem"].endswith(stem)) == want
+
+
+def test_lenient_tables(spark, tmp_path):
+    assert tables.lenient_tsv(spark, str(tmp_path / "none.tsv"), ["a", "b"]).count() == 0
+    (tmp_path / "e.tsv").write_bytes(b"a\tb\n1\t\xff\n")
+    assert tables.lenient_tsv(spark, str(tmp_path / "e.tsv"), ["a"]).first()["a"] == "1"
+    assert tables.lenient_tsv(spark, str(tmp_path / "e.tsv"), ["c"]).columns == ["c"]
+
+
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), -1.0], f"é{i}") for i in range(20)], "row long, v array<double>, t string")
+    parts = sorted(tuple(r) for r in sinks.npy(df, str(tmp_path / "m"), "row", "v", 3).collect())
+    files = sorted((tmp_path / "m").glob("*.npy"))
+    assert len(files) == len(parts) and sum(p[2] for p in parts) == 20
+    assert np.concatenate([np.load(x) for x in files]).tolist() == [[float(i), -1.0] for i in range(20)]
+    sinks.texts_json(df, str(tmp_path / "t"), "row", "t")
+    assert {r["t"] for r in spark.read.json(str(tmp_path / "t")).collect()} == {f"é{i}" for i in range(20)}
+    sinks.csv(df.select("row", "t"), str(tmp_path / "c"), bom=True)
+    assert next((tmp_path / "c").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbfrow,t")
+    text = sinks.report("R", df.selectExpr("count(*) as files"), spark.createDataFrame([("ok", "true")], "check string, value string"), {"First": (df.select("row", "t"), "row")}, 5)
+    assert "- files: 20" in text and "- ok: true" in text and text.count("| é") == 5

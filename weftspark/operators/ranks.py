@@ -13,7 +13,7 @@ from ..session import kept
 def ranked(df: DataFrame, group: str, *values: str) -> DataFrame:
     """df with the average rank of each value in its group as r_<value>: 1 for the least, ties share their mean.
 
-    For groups that one task can sort; ranked_wide() has no such bound.
+    By plain windows, for groups that one task can sort and for values of any type; ranked_wide() has no such bound.
     """
     for v in values:
         at, ties = Window.partitionBy(group).orderBy(v), Window.partitionBy(group, v)
@@ -21,31 +21,62 @@ def ranked(df: DataFrame, group: str, *values: str) -> DataFrame:
     return df
 
 
-def ranked_wide(df: DataFrame, group: str, value: str, parts: int = 64) -> DataFrame:
-    """The same for groups of any size: distinct values are counted before a range shuffle, ranges are numbered in parallel,
-    and only their totals (a row a range and group) are summed in order."""
-    counts = df.groupBy(group, value).agg(F.count("*").alias("n"))
-    counts = kept(counts.repartitionByRange(parts, group, value).withColumn("part", F.spark_partition_id()))
-    totals = counts.groupBy(group, "part").agg(F.sum("n").alias("total"))
-    before = totals.select(group, "part", (F.sum("total").over(Window.partitionBy(group).orderBy("part")) - F.col("total")).alias("before"))
-    upto = F.sum("n").over(Window.partitionBy(group, "part").orderBy(value))
-    ranks = counts.join(before, [group, "part"]).select(group, value, (F.col("before") + upto - (F.col("n") - 1) / 2.0).alias(f"r_{value}"))
-    return df.join(ranks, [group, value])
+def rank_table(df: DataFrame, group: str, *values: str, parts: int = 64) -> DataFrame:
+    """(group, name, value, n, rank) of the distinct values of number columns, for groups of any size: values are counted
+    before a range shuffle, ranges are numbered in parallel, and only their totals (a row a range and group) are summed in order."""
+    every = F.array(*(F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values))
+    counts = df.select(F.col(group).alias("grp"), F.explode(every).alias("x")).groupBy("grp", "x.name", "x.value").agg(F.count("*").alias("n"))
+    counts = kept(counts.repartitionByRange(parts, "grp", "name", "value").withColumn("part", F.spark_partition_id()))
+    totals = counts.groupBy("grp", "name", "part").agg(F.sum("n").alias("total"))
+    before = totals.select(F.col("grp").alias("g"), F.col("name").alias("v"), F.col("part").alias("p"), (F.sum("total").over(Window.partitionBy("grp", "name").orderBy("part")) - F.col("total")).alias("before"))
+    upto = F.sum("n").over(Window.partitionBy("grp", "name", "part").orderBy("value"))
+    own = F.col("grp").eqNullSafe(F.col("g")) & (F.col("name") == F.col("v")) & (F.col("part") == F.col("p"))
+    return counts.join(before, own).select("grp", "name", "value", "n", (F.col("before") + upto - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
+def with_ranks(df: DataFrame, group: str, table: DataFrame, value: str, **columns) -> DataFrame:
+    own = table.where(F.col("name") == value).select(F.col("grp").alias("__g"), F.col("value").alias("__v"), *(c.alias(n) for n, c in columns.items()))
+    return df.join(own, df[group].eqNullSafe(F.col("__g")) & df[value].cast("double").eqNullSafe(F.col("__v"))).drop("__g", "__v")
+
+
+def ranked_wide(df: DataFrame, group: str, *values: str, parts: int = 64) -> DataFrame:
+    """ranked() for number columns and groups of any size. Nulls are a value before all others.
+
+    df is kept once, as its values have to be the same bit by bit when ranks are joined to them.
+    """
+    df = kept(df)
+    table = rank_table(df, group, *values, parts=parts)
+    for v in values:
+        df = with_ranks(df, group, table, v, **{f"r_{v}": F.col("rank")})
+    return df
 
 
 def rank_z(df: DataFrame, group: str, *values: str) -> DataFrame:
-    """df with z_<value>: ranks less their mean, over their population deviation. A constant value is an error."""
-    df = ranked(df, group, *values)
-    w = Window.partitionBy(group)
+    """df with z_<value>: ranks less their mean, over their population deviation. A constant value is an error.
+
+    Mean and deviation come from the counts of distinct values, so no task holds a group. df is kept once, as in ranked_wide().
+    """
+    df = kept(df)
+    table = kept(rank_table(df, group, *values))
+    size = table.groupBy(F.col("grp").alias("g"), F.col("name").alias("v")).agg(((F.sum("n") + 1) / 2.0).alias("mean"))
+    both = table.join(size, F.col("grp").eqNullSafe(F.col("g")) & (F.col("name") == F.col("v")))
+    spread = both.groupBy("grp", "name", "mean").agg(F.sqrt(F.sum(F.col("n") * (F.col("rank") - F.col("mean")) ** 2) / F.sum("n")).alias("sd"))
     for v in values:
-        sd = F.stddev_pop(f"r_{v}").over(w)
-        df = df.withColumn(f"z_{v}", F.when(sd > 0, (F.col(f"r_{v}") - F.avg(f"r_{v}").over(w)) / sd).otherwise(F.raise_error(F.lit(f"{v} is constant in a group"))))
+        own = spread.where(F.col("name") == v).select(F.col("grp").alias("__gs"), "mean", F.col("sd").alias("__sd"))
+        df = with_ranks(df, group, table, v, **{f"r_{v}": F.col("rank")})
+        df = df.join(own, df[group].eqNullSafe(F.col("__gs"))).withColumn(f"z_{v}", F.when(F.col("__sd") > 0, (F.col(f"r_{v}") - F.col("mean")) / F.col("__sd")).otherwise(F.raise_error(F.lit(f"{v} is constant in a group")))).drop("__gs", "mean", "__sd")
     return df
 
 
 def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """(group, rho)."""
-    return ranked(df, group, x, y).groupBy(group).agg(F.corr(f"r_{x}", f"r_{y}").alias("rho"))
+    return ranked_wide(df, group, x, y).groupBy(group).agg(F.corr(f"r_{x}", f"r_{y}").alias("rho"))
+
+
+def associations(df: DataFrame, group: str, x: str, others: list[str]) -> DataFrame:
+    """(group, other, rho): the rank association of x with each of the others, nothing taken out. Ranks are taken once."""
+    rho = F.explode(F.array(*(F.struct(F.lit(o).alias("other"), F.col(f"rho_{o}").alias("rho")) for o in others))).alias("r")
+    return ranked_wide(df, group, x, *others).groupBy(group).agg(*(F.corr(f"r_{x}", f"r_{o}").alias(f"rho_{o}") for o in others)).select(group, rho).select(group, "r.other", "r.rho")
 
 
 def coefficients(df: DataFrame, group: str, targets: list[str], nuisances: list[str]) -> DataFrame:
@@ -75,12 +106,14 @@ def residualized(df: DataFrame, group: str, targets: list[str], nuisances: list[
     df = kept(rank_z(df, group, *targets, *nuisances))  # read twice: for the sums, and for what is left
     beta = coefficients(df, group, targets, nuisances).select(F.col("group").alias(group), F.concat(F.lit("b_"), "target").alias("name"), "beta")
     beta = beta.groupBy(group).pivot("name", [f"b_{t}" for t in targets]).agg(F.first("beta"))
-    df, w = df.join(beta, group), Window.partitionBy(group)
+    df = df.join(beta, group)
+    for t in targets:
+        df = df.withColumn(f"e_{t}", F.col(f"z_{t}") - sum((F.col(f"b_{t}")[i] * F.col(f"z_{v}") for i, v in enumerate(nuisances)), F.lit(0.0)))
+    scale = df.groupBy(group).agg(*(c.alias(n) for t in targets for n, c in ((f"m_{t}", F.avg(f"e_{t}")), (f"s_{t}", F.stddev_pop(f"e_{t}")))))
+    df = df.join(scale, group)
     for t in targets:
-        fit = sum((F.col(f"b_{t}")[i] * F.col(f"z_{v}") for i, v in enumerate(nuisances)), F.lit(0.0))
-        df = df.withColumn(f"e_{t}", F.col(f"z_{t}") - fit)
-        df = df.withColumn(f"e_{t}", F.try_divide(F.col(f"e_{t}") - F.avg(f"e_{t}").over(w), F.stddev_pop(f"e_{t}").over(w)))
-    return df.drop(*(f"b_{t}" for t in targets))
+        df = df.withColumn(f"e_{t}", F.try_divide(F.col(f"e_{t}") - F.col(f"m_{t}"), F.col(f"s_{t}")))
+    return df.drop(*(f"{x}_{t}" for t in targets for x in "bms"))
 
 
 def partial_spearman(df: DataFrame, group: str, x: str, y: str, nuisances: list[str]) -> DataFrame:

@@ -197,7 +197,22 @@ def spearman_matrix(spark, sf):
     return rounded(rel.subject_matrix(subject_pairs(spark, sf)), "rho")
 
 
-QUERIES["reliability_pairwise"], ORACLES["reliability_pairwise"] = QUERIES["spearman_matrix"], ORACLES["spearman_matrix"]
+@query(f"""WITH {SUBJECTS}, k AS ({ranks('d', ['subject'], ['d'])}),
+m AS (SELECT a.subject AS subject_a, b.subject AS subject_b, corr(a.r_d, b.r_d) AS rho FROM k a JOIN k b ON a.i = b.i AND a.j = b.j AND a.subject < b.subject GROUP BY 1, 2),
+s AS (SELECT unnest([subject_a, subject_b]) AS subject, rho FROM m)
+SELECT subject, {r('avg(rho)')} AS mean, {r('median(rho)')} AS median, {r('min(rho)')} AS min, {r('max(rho)')} AS max, count(*) AS n FROM s GROUP BY 1""")
+def reliability_pairwise(spark, sf):
+    """Each subject's agreement with every other one."""
+    pairs = rel.subject_matrix(subject_pairs(spark, sf))
+    each = pairs.select(F.explode(F.array("subject_a", "subject_b")).alias("subject"), "rho")
+    return rounded(rel.summary(each, "subject", "rho"), "mean", "median", "min", "max")
+
+
+@query(f"""WITH {GEOMETRY}, k AS ({ranks('g', ['label'], ['x', *NUISANCES])}),
+m AS (SELECT label, {', '.join(f'corr(r_x, r_{n}) AS {n}' for n in NUISANCES)} FROM k GROUP BY 1)
+SELECT label, other, {r('rho')} AS rho FROM (UNPIVOT m ON {', '.join(NUISANCES)} INTO NAME other VALUE rho)""")
+def nuisance_association(spark, sf):
+    return rounded(rk.associations(geometry(spark, sf), "label", "x", NUISANCES), "rho")
 
 
 @query(f"WITH {SUBJECTS}, {LOO} SELECT subject, {r('rho')} AS rho FROM loo")
@@ -548,3 +563,70 @@ def l2_normalize(spark, sf):
 @query("SELECT min(n) AS min_tokens, max(n) AS max_tokens, count(*) FILTER (n > 64) AS truncated FROM (SELECT CAST(len(string_split(text, ' ')) AS BIGINT) + 2 AS n FROM documents)")
 def truncation_count(spark, sf):
     return po.truncated(read(spark, sf, "documents"), F.size(F.split("text", " ")).cast("long"), 2, 64)
+
+
+# ---------------------------------------------------------------- reports and gates
+
+
+@query("""SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, count(DISTINCT source) AS subjects, count_if(lang = 'en') AS signal_files,
+  CAST(coalesce(sum(n_chars) FILTER (lang = 'en'), 0) AS BIGINT) AS signal_bytes, round(sum(n_chars) / 1073741824.0, 3) AS gib FROM documents""")
+def inventory_totals(spark, sf):
+    return pf.totals(read(spark, sf, "documents"), "n_chars", "source", F.coalesce(F.col("lang") == "en", F.lit(False)))
+
+
+@query("""WITH v AS (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE ELSE value END AS value FROM events)
+SELECT event_type, min(value) FILTER (NOT isnan(value)) AS min_value, max(value) FILTER (NOT isnan(value)) AS max_value FROM v GROUP BY 1""")
+def nan_ranges(spark, sf):
+    rows = read(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return pf.ranges(rows, "event_type", "value")
+
+
+@query(f"""WITH s AS (SELECT l_returnflag, l_linenumber, CASE WHEN l_linenumber = 3 THEN 1.0 WHEN l_partkey % 11 = 0 THEN NULL ELSE l_quantity END AS x FROM lineitem),
+c AS (SELECT l_returnflag, l_linenumber, count(*) AS n, count(x) AS good, stddev_pop(x) AS sd FROM s GROUP BY 1, 2)
+SELECT l_returnflag, count(*) AS n_channels, {r('sum(good) / sum(n)')} AS finite_share, count_if(sd = 0) AS n_flat, {r('median(sd)')} AS median_sd FROM c GROUP BY 1""")
+def signal_quality(spark, sf):
+    x = F.when(F.col("l_linenumber") == 3, F.lit(1.0)).when(F.col("l_partkey") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    return rounded(pf.signal_quality(read(spark, sf, "lineitem").withColumn("x", x), "l_returnflag", "l_linenumber", "x"), "finite_share", "median_sd")
+
+
+@query("SELECT s_nationkey, count(DISTINCT s_suppkey) AS n, array_to_string(list_sort(list(DISTINCT s_suppkey)), ',') AS ids FROM supplier GROUP BY 1")
+def seen_ids(spark, sf):
+    return pf.seen(read(spark, sf, "supplier"), "s_nationkey", "s_suppkey").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+MARKER = "CASE event_id % 5 WHEN 0 THEN 'CH' || (event_id % 13) WHEN 1 THEN 'CH' || lpad((event_id % 100)::VARCHAR, 2, '0') WHEN 2 THEN 'CHx' || event_id WHEN 3 THEN 'ch12' END"
+
+
+@query(f"""WITH m AS (SELECT event_type, {MARKER} AS t FROM events)
+SELECT event_type, count_if(coalesce(regexp_full_match(t, 'CH[0-9]+'), false)) AS n_any, count_if(coalesce(regexp_full_match(t, 'CH[0-9][0-9]+'), false)) AS n_long FROM m GROUP BY 1""")
+def marker_patterns(spark, sf):
+    e = F.col("event_id")
+    two = F.lpad((e % 100).cast("string"), 2, "0")
+    text = F.when(e % 5 == 0, F.concat(F.lit("CH"), e % 13)).when(e % 5 == 1, F.concat(F.lit("CH"), two)).when(e % 5 == 2, F.concat(F.lit("CHx"), e)).when(e % 5 == 3, F.lit("ch12"))
+    return read(spark, sf, "events").groupBy("event_type").agg(F.count_if(f.is_marker(text)).alias("n_any"), F.count_if(f.is_long_marker(text)).alias("n_long"))
+
+
+@query(f"""WITH t AS (SELECT l_returnflag, CASE WHEN l_partkey % 9 = 0 THEN 'n/a' ELSE CAST(l_quantity AS VARCHAR) END AS x, CAST(l_quantity AS VARCHAR) AS y FROM lineitem)
+SELECT 'skip' AS policy, l_returnflag, count(TRY_CAST(x AS DOUBLE)) AS n, {r('sum(TRY_CAST(x AS DOUBLE))')} AS total FROM t GROUP BY 2
+UNION ALL SELECT 'column', l_returnflag, 0, NULL FROM t GROUP BY 2
+UNION ALL SELECT 'abort', l_returnflag, count(y), {r('sum(CAST(y AS DOUBLE))')} FROM t GROUP BY 2""")
+def cast_policies(spark, sf):
+    y = F.col("l_quantity").cast("string")
+    rows = read(spark, sf, "lineitem").select("l_returnflag", F.when(F.col("l_partkey") % 9 == 0, F.lit("n/a")).otherwise(y).alias("x"), y.alias("y"))
+    out = None
+    for policy, name in (("skip", "x"), ("column", "x"), ("abort", "y")):
+        one = pf.parsed(rows, name, policy).groupBy("l_returnflag").agg(F.count(name).alias("n"), F.sum(name).alias("total")).select(F.lit(policy).alias("policy"), "l_returnflag", "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "total")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE 'none' END AS found FROM orders""")
+def fallback_keys(spark, sf):
+    k = F.col("o_orderkey") % 3
+    keys = F.when(k == 0, F.create_map(F.lit("mean_rho"), "o_orderpriority", F.lit("mean"), "o_orderstatus")).when(k == 1, F.create_map(F.lit("mean"), "o_orderstatus")).otherwise(F.create_map(F.lit("other"), "o_orderstatus"))
+    return read(spark, sf, "orders").select("o_orderkey", f.first_of(keys, ["mean_rho", "mean"], F.lit("none")).alias("found"))
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_id < 256 GROUP BY 1")
+def head_seconds(spark, sf):
+    return pf.head(read(spark, sf, "events"), "event_id", 128.0, 2.0).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))

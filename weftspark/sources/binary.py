@@ -75,33 +75,69 @@ def workbook(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path, "*.xlsx").mapInPandas(parse, "path string, excel_row int, value string, value_kind string")
 
 
-def brainvision(spark: SparkSession, path: str, block: int = 256) -> DataFrame:
-    """(stem, block, start_sample, rate, channels, data: array of samples of array of channels) of header and data files.
+HEADER = "stem string, data_file string, orientation string, format string, rate double, channels array<string>, resolution array<double>"
 
-    The header says the sample format, the order and each channel's resolution. Files of over 2 GB have to be split.
-    """
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, data_file, orientation, format, rate, channels, resolution) of header files; no data is read."""
     stem = F.regexp_replace("path", r"\.[^.]*$", "")
-    head = files(spark, path, "*.vhdr").select(stem.alias("stem"), F.col("content").alias("head"))
-    data = files(spark, path, "*.eeg").select(stem.alias("stem"), "content")
+    head = files(spark, path, "*.vhdr").select(stem.alias("stem"), "content")
 
     def parse(batches):
         for pdf in batches:
-            for name, header, content in zip(pdf["stem"], pdf["head"], pdf["content"]):
+            rows = []
+            for name, header in zip(pdf["stem"], pdf["content"]):
                 text = header.decode("utf-8-sig", "replace")
                 ini = configparser.ConfigParser(interpolation=None, strict=False, comment_prefixes=(";",), allow_no_value=True)
                 ini.optionxform = str
                 ini.read_string(text[text.index("[") :].split("[Comment]")[0])
-                n = int(ini["Common Infos"]["NumberOfChannels"])
-                parts = [ini["Channel Infos"][f"Ch{k + 1}"].split(",") for k in range(n)]
-                kind = {"INT_16": "<i2", "IEEE_FLOAT_32": "<f4", "INT_32": "<i4"}[ini["Binary Infos"]["BinaryFormat"]]
-                x = np.frombuffer(content, kind).astype(float)
-                x = x.reshape(-1, n) if ini["Common Infos"]["DataOrientation"] == "MULTIPLEXED" else x.reshape(n, -1).T
-                x = x * [float(p[2]) if len(p) > 2 and p[2] else 1.0 for p in parts]
-                rate, names = 1e6 / float(ini["Common Infos"]["SamplingInterval"]), [p[0] for p in parts]
-                for a in range(0, len(x), block):
-                    yield pd.DataFrame({"stem": [name], "block": [a // block], "start_sample": [a], "rate": [rate], "channels": [names], "data": [x[a : a + block].tolist()]})
-
-    return head.join(data, "stem").mapInPandas(parse, "stem string, block int, start_sample long, rate double, channels array<string>, data array<array<double>>")
+                common = ini["Common Infos"]
+                parts = [ini["Channel Infos"][f"Ch{k + 1}"].split(",") for k in range(int(common["NumberOfChannels"]))]
+                data = f"{name.rsplit('/', 1)[0]}/{common.get('DataFile') or name.rsplit('/', 1)[1] + '.eeg'}".replace("$b", name.rsplit("/", 1)[1])
+                rows.append((name, data, common["DataOrientation"], ini["Binary Infos"]["BinaryFormat"], 1e6 / float(common["SamplingInterval"]), [p[0] for p in parts], [float(p[2]) if len(p) > 2 and p[2] else 1.0 for p in parts]))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in HEADER.split(", ")])
+
+    return head.mapInPandas(parse, HEADER)
+
+
+def range_of(file: str, start: int, size: int) -> bytes:
+    """Bytes of a file in any store that Arrow knows."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(file if ":/" in file else f"file://{file}")
+    with store.open_input_file(at) as f:
+        f.seek(start)
+        return f.read(size)
+
+
+def brainvision(spark: SparkSession, path: str, block: int = 256, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(stem, block, start_sample, rate, channels, data: array of samples of array of channels) of header and data files, from
+    sample start up to stop.
+
+    Each task reads the byte ranges of its blocks and no more, so recordings may have any size, and a slice costs what it
+    holds. The header says the sample format, the order and each channel's resolution.
+    """
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.eeg").load(path).select(F.col("path").alias("data_file"), "length")
+    width = F.when(F.col("format") == "INT_16", 2).otherwise(4)
+    rows = headers(spark, path).join(sizes, "data_file").withColumn("samples", F.floor(F.col("length") / (width * F.size("channels"))))
+    end = F.col("samples") if stop is None else F.least("samples", F.lit(stop))
+    rows = rows.withColumn("end", end).where(F.col("end") > start)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(start // block).cast("long"), F.floor((F.col("end") - 1) / block))))
+    rows = rows.repartition(F.col("stem"), F.floor(F.col("block") / 64)).select("stem", "data_file", "orientation", "format", "rate", "channels", "resolution", "samples", "end", "block")
+
+    def parse(batches):
+        kinds = {"INT_16": np.dtype("<i2"), "IEEE_FLOAT_32": np.dtype("<f4"), "INT_32": np.dtype("<i4")}
+        for pdf in batches:
+            for row in pdf.itertuples():
+                kind, n = kinds[row.format], len(row.channels)
+                a, b = max(start, row.block * block), min(row.end, (row.block + 1) * block)
+                if row.orientation == "MULTIPLEXED":
+                    x = np.frombuffer(range_of(row.data_file, a * n * kind.itemsize, (b - a) * n * kind.itemsize), kind).reshape(-1, n)
+                else:
+                    x = np.stack([np.frombuffer(range_of(row.data_file, (k * row.samples + a) * kind.itemsize, (b - a) * kind.itemsize), kind) for k in range(n)], 1)
+                yield pd.DataFrame({"stem": [row.stem], "block": [row.block], "start_sample": [a], "rate": [row.rate], "channels": [list(row.channels)], "data": [(x * np.asarray(row.resolution)).tolist()]})
+
+    return rows.mapInPandas(parse, "stem string, block int, start_sample long, rate double, channels array<string>, data array<array<double>>")
 
 
 def as_signal(blocks: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,15 @@ def tsv(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     return df.select([F.coalesce(F.col(f"`{x}`"), F.lit("")).alias(x) for x in df.columns])
 
 
+def lenient_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns of tsv(), for reports that go on without a table: one that is missing, unreadable or without these
+    columns is empty."""
+    try:
+        return tsv(spark, path).select(*(f"`{x}`" for x in columns))
+    except AnalysisException:
+        return spark.createDataFrame([], ", ".join(f"`{x}` string" for x in columns))
+
+
 def indexed_tsv(spark: SparkSession, path: str, by: Column, name: str = "event_index") -> DataFrame:
     """tsv() with each file's rows numbered by an order of their own, as frames have none."""
     from pyspark.sql import Window
@@ -54,13 +64,17 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def inventory(spark: SparkSession, root: str, hash_all: bool = False) -> DataFrame:
     """(path, size_bytes, extension, is_signal, sha256) of the files below root; version-control files are left out.
 
-    Contents are read for files that are hashed: small texts, or all on request.
+    Names and sizes come from a listing that reads no content. Only files that are hashed (small texts, or all on request)
+    are read, by a second scan whose name pattern and size limit the reader applies before it opens a file.
     """
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    small = F.lower(F.element_at(F.split("path", "/"), -1)).rlike("(" + "|".join(x.replace(".", r"\.") for x in TEXT_SUFFIXES) + ")$") & (F.col("length") <= HASHED_BYTES)
-    files = names.where(~F.col("path").contains("/.git/"))
+    def listing(pattern: str = "*") -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).where(~F.col("path").contains("/.git/"))
+
     extension = suffix(F.col("path"))
-    return files.select("path", F.col("length").alias("size_bytes"), extension.alias("extension"), extension.isin(SIGNAL_SUFFIXES).alias("is_signal"), F.when(F.lit(hash_all) | small, F.sha2("content", 256)).otherwise(F.lit("")).alias("sha256"))
+    files = listing().select("path", F.col("length").alias("size_bytes"), extension.alias("extension"), extension.isin(SIGNAL_SUFFIXES).alias("is_signal"))
+    either = ",".join("".join(f"[{x}{x.upper()}]" for x in name[1:]) for name in TEXT_SUFFIXES)
+    read = listing() if hash_all else listing(f"*.{{{either}}}").where(F.col("length") <= HASHED_BYTES)
+    return files.join(read.select("path", F.sha2("content", 256).alias("sha256")), "path", "left").withColumn("sha256", F.coalesce("sha256", F.lit("")))
 
 
 def subjects(files: DataFrame) -> DataFrame:
