@@ -46,12 +46,12 @@ def marked(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, m
     carried along, whatever their names. With copies_once, equal lists of lines of a host count as one page.
     """
     c.prepare(pages.sparkSession)
-    rows = pages.withColumn("__line_host", F.coalesce(host, F.lit(""))).withColumn("__line_list", F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)))
-    copy = [F.xxhash64("__line_list").alias("copy")] if copies_once else []
-    bad = boilerplate(rows.select(F.col("__line_host").alias("host"), F.col("__line_list").alias("lines"), *copy), ratio, min_pages)
-    n = rows.groupBy(F.col("__line_host").alias("host")).agg(F.count("*").alias("n"))
-    bad = bad.join(n, "host").select(F.col("host").alias("__line_host"), F.col("bad").alias("__line_bad"), "n")
-    rows = c.spread_join(rows, bad, "__line_host", pages.count())
+    rows = pages.withColumn("__line_host", F.coalesce(host, F.lit("")))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
+    each = rows.select(F.col("__line_host").alias("host"), lines.alias("lines"))
+    bad = boilerplate(each.withColumn("copy", F.xxhash64("lines")) if copies_once else each, ratio, min_pages)
+    bad = bad.join(each.groupBy("host").agg(F.count("*").alias("n")), "host").select(F.col("host").alias("__line_host"), F.col("bad").alias("__line_bad"), "n")
+    rows = c.spread_join(rows, bad, "__line_host", pages.count()).withColumn("__line_list", lines)  # lines are cut anew rather than shuffled beside the text
     return rows.withColumn("__line_bad", F.coalesce("__line_bad", F.array().cast("array<bigint>")))
 
 
