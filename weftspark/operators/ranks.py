@@ -21,9 +21,11 @@ def ranked(df: DataFrame, group: str, *values: str) -> DataFrame:
     return df
 
 
-def rank_table(df: DataFrame, group: str, *values: str, parts: int = 64) -> DataFrame:
+def rank_table(df: DataFrame, group: str, *values: str, parts: int | None = None) -> DataFrame:
     """(group, name, value, n, rank) of the distinct values of number columns, for groups of any size: values are counted
-    before a range shuffle, ranges are numbered in parallel, and only their totals (a row a range and group) are summed in order."""
+    before a range shuffle, ranges are numbered in parallel, and only their totals (a row a range and group) are summed in order.
+    There are as many ranges as the session's shuffles have partitions."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = F.array(*(F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values))
     counts = df.select(F.col(group).alias("grp"), F.explode(every).alias("x")).groupBy("grp", "x.name", "x.value").agg(F.count("*").alias("n"))
     counts = kept(counts.repartitionByRange(parts, "grp", "name", "value").withColumn("part", F.spark_partition_id()))
@@ -39,7 +41,7 @@ def with_ranks(df: DataFrame, group: str, table: DataFrame, value: str, **column
     return df.join(own, df[group].eqNullSafe(F.col("__g")) & df[value].cast("double").eqNullSafe(F.col("__v"))).drop("__g", "__v")
 
 
-def ranked_wide(df: DataFrame, group: str, *values: str, parts: int = 64) -> DataFrame:
+def ranked_wide(df: DataFrame, group: str, *values: str, parts: int | None = None) -> DataFrame:
     """ranked() for number columns and groups of any size. Nulls are a value before all others.
 
     df is kept once, as its values have to be the same bit by bit when ranks are joined to them.
