@@ -200,3 +200,23 @@ def test_ranks_with_nulls(spark):
     rows = [(g, v, float(i)) for i, (g, v) in enumerate([("a", None), ("a", 2.0), ("a", None), (None, 1.0), (None, 1.0), ("a", 5.0)])]
     df = spark.createDataFrame(rows, "g string, v double, k double")
     assert sorted((r["k"], r["r_v"]) for r in rk.ranked_wide(df, "g", "v", "k").collect()) == sorted((r["k"], r["r_v"]) for r in rk.ranked(df, "g", "v").collect())
+
+
+def test_common_subjects(spark):
+    rows = [(1, 1, 0.5), (1, 2, 0.1), (2, 1, 0.3), (2, 3, 0.2), (1, 1, 0.7)]
+    got = inf.common_subjects(spark.createDataFrame(rows, "run long, subject long, effect double")).collect()
+    assert [(r["subject"], r["runs"], round(r["mean"], 6)) for r in got] == [(1, 2, 0.5)]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_numbered(spark, parts):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(40)]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, x long, i long").repartition(7)
+    got = {r["i"]: r["n"] for r in rk.numbered(df, "g", "n", "x", "i", parts=parts).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want |= {r[2]: n for n, r in enumerate(own)}
+    assert got == want
+    assert rk.numbered(df.where("false"), "g", "n", "x").count() == 0

@@ -41,6 +41,22 @@ def with_ranks(df: DataFrame, group: str, table: DataFrame, value: str, **column
     return df.join(own, df[group].eqNullSafe(F.col("__g")) & df[value].cast("double").eqNullSafe(F.col("__v"))).drop("__g", "__v")
 
 
+def numbered(df: DataFrame, group: str, name: str, *order: str, parts: int | None = None) -> DataFrame:
+    """df with name: a row's number from 0 in its group, in the order of the given columns, for groups of any size.
+
+    Rows go into ranges of (group, order), each range is numbered by itself, and the rows before it in its group, a sum a range,
+    are added. The ranges are kept once, so a retry gives the same numbers. Rows alike in all of these columns follow each other
+    in any order; nulls come first, and a null group is one of its own.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(df.repartitionByRange(parts, group, *order).withColumn("__part", F.spark_partition_id()))
+    totals = rows.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    before = totals.select("__g", "__p", (F.sum("__n").over(Window.partitionBy("__g").orderBy("__p")) - F.col("__n")).alias("__before"))
+    within = rows.withColumn("__at", F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)) - 1)
+    own = within[group].eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p"))
+    return within.join(before, own).withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__part", "__g", "__p", "__before", "__at")
+
+
 def ranked_wide(df: DataFrame, group: str, *values: str, parts: int | None = None) -> DataFrame:
     """ranked() for number columns and groups of any size. Nulls are a value before all others.
 
