@@ -136,15 +136,17 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
 # ---------------------------------------------------------------- joins on keys of which few may be hot
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, total: int) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, total: int, by: str | None = None) -> DataFrame:
     """big left joined with small, which has one row a key and in `n` the number of big's rows with it; total is that of all.
 
     Keys with over 1 / SHARE of all rows are dealt out in parts of about that size. There are fewer than SHARE of them, which
-    bounds the table that is broadcast. The parts go by the order of big's rows, so big has to come from a scan or a checkpoint.
+    bounds the table that is broadcast. The parts go by the hash of the column `by`, which tells a key's rows apart; without it
+    by the order of big's rows, so big has to come from a scan or a checkpoint then.
     """
     parts = F.when(F.col("n") * SHARE > total, F.ceil(F.col("n") * SHARE / max(1, total))).otherwise(1).cast("int")
     hot = F.broadcast(small.where(F.col("n") * SHARE > total).select(key, parts.alias("__parts")))
-    left = big.join(hot, key, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    dealt = F.monotonically_increasing_id() if by is None else F.xxhash64(by)
+    left = big.join(hot, key, "left").withColumn("__salt", F.pmod(dealt, F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
     return left.join(right, [key, "__salt"], "left").drop("__salt")
 
@@ -172,14 +174,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b: long) reaches.
 
     Large-star and small-star steps in turn; a step's links are no more than those before it, and each is
-    cut by checkpoint(). Nothing but two numbers a round comes to the driver. Nodes without an edge are left out.
+    cut by checkpoint(). Nothing but two numbers a round comes to the driver. A node with many links is dealt in parts. Nodes without an edge are left out.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    state = None
+    state, total = None, now.count()
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.where("v > u"), low, "u", total, by="v").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
@@ -187,5 +189,5 @@ def components(edges: DataFrame) -> DataFrame:
         after = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == state:
             break
-        state = after
+        state, total = after, after[0]
     return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

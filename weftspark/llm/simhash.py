@@ -231,10 +231,12 @@ def groups(prints: DataFrame, radius: int = 3, tables: list[list[int]] | None =
     prints = prints.withColumn("node", node).checkpoint()
     nodes = prints.groupBy("node", *cols).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     found = c.components(links(nodes, cols, radius, tables, max_key))
+    total = prints.count()
     merged = nodes.select("node", "least").join(found, "node")
-    named = merged.join(merged.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    least = merged.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = c.spread_join(merged, least, "component", total, by="node").select("node", "component_id")
     alone = nodes.select("node", "least", "n").join(named, "node", "left").select("node", "n", F.coalesce("component_id", "least").alias("component_id"))
-    return c.spread_join(prints, alone, "node", prints.count()).select("doc_id", *cols, "component_id")
+    return c.spread_join(prints, alone, "node", total).select("doc_id", *cols, "component_id")
 
 
 def plan_for(similarity: float, words: int, rows: int, miss: float = 0.001, slack: float = 4) -> tuple[int, list[list[int]]]:
@@ -353,7 +355,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     cols = [f"f{j}" for j in range(words)]
     prints = docs.mapInArrow(sketched(shingle, words, similarity), "key long, doc_id long, node long, " + "".join(f"{x} long, " for x in cols) + "least array<long>").checkpoint()
     nodes = prints.groupBy("node", *cols).agg(F.min("key").alias("key"))
-    radius, tables = plan_for(similarity, words, prints.count())
+    total = prints.count()
+    radius, tables = plan_for(similarity, words, total)
     few = prints.select("node", F.explode("least").alias("hash")).distinct()
     lead = few.groupBy("hash").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("hash", "b")
     proposed = c.components(links(nodes, cols, radius, tables).union(few.join(lead, "hash").where("node <> b").select("node", "b")))
@@ -366,8 +369,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least(part, other), F.greatest(part, other))).alias("block"), "node", "hashes")
     found = c.components(rows.groupBy("block").applyInArrow(confirmed(similarity), "a long, b long"))
-    named = prints.select("key", "doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "doc_id", "component").checkpoint()
-    return named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("key", "doc_id", "component_id", "component")
+    copies = prints.groupBy("node").agg(F.count("*").alias("n")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = c.spread_join(prints.select("key", "doc_id", "node"), copies, "node", total).select("key", "doc_id", "component").checkpoint()
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    return c.spread_join(named, least, "component", total).select("key", "doc_id", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
