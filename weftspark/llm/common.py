@@ -174,14 +174,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b: long) reaches.
 
     Large-star and small-star steps in turn; a step's links are no more than those before it, and each is
-    cut by checkpoint(). Nothing but two numbers a round comes to the driver. A node with many links is dealt in parts. Nodes without an edge are left out.
+    cut by checkpoint(). Nothing but two numbers a round comes to the driver. Nodes without an edge are left out.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    state, total = None, now.count()
+    state = None
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both.where("v > u"), low, "u", total, by="v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
@@ -189,5 +189,5 @@ def components(edges: DataFrame) -> DataFrame:
         after = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == state:
             break
-        state, total = after, after[0]
+        state = after
     return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
