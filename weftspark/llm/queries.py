@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, fm, language, lines, lm, quality, simhash, suffix
+from . import bpe, collocations, decontaminate, fingerprint, fm, language, lines, lm, negatives, quality, simhash, suffix, tokens
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -15,9 +15,14 @@ QUERIES = {
     "op10_lines": lines.op10_lines,
     "op4_suffix": suffix.op4_suffix,
     "op5_bpe": bpe.op5_bpe,
+    "op11_token_counts": tokens.op11_token_counts,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op7_fm_index": fm.ORACLE,
     "op10_lines": lines.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
