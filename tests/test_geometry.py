@@ -58,7 +58,7 @@ def test_association(spark):
     stat = lambda square: np.mean([np.mean(e * rest(ranks(square[i, j]), nuisances)) for e in neural])
     one = got.summary.first()
     assert one["observed"] == pytest.approx(stat(semantic), abs=1e-6) and one["n"] == 100
-    plan = {(r["perm"], r["grp"]): r["shift"] for r in pm.seeded_plan(spark, [(1, 6), (2, 7), (3, 1)], 100, 7).collect()}
+    plan = {(r["perm"], r["grp"]): r["shift"] for r in pm.seeded_plan(spark.createDataFrame([(1, 6), (2, 7), (3, 1)], "grp int, n long"), 100, 7).collect()}
     want = []
     for p in range(100):
         source = np.arange(ROWS)

@@ -69,6 +69,18 @@ def test_segment_features(spark):
     assert on[0]["mean"] == 251.5 and math.isnan(on[1]["mean"]) and not on[1]["available"]
 
 
+def test_scan_refuses_what_a_mean_would_hide(spark):
+    signal = spark.createDataFrame([("s", i, 0, float("nan") if i == 90 else float(i)) for i in range(100)], "stream string, sample long, channel int, value double")
+    spans = lambda *rows: sg.sampled(spark.createDataFrame([("s", k, a, b, 100) for k, (a, b) in enumerate(rows)], "stream string, segment long, start_sec double, end_sec double, n long"), 10.0, "n")
+    got = {r["segment"]: r for r in sg.scan(signal, spans((0.04, 1.0), (9.2, 12.0), (0.5, 0.7)), "stream", 2, 3).collect()}
+    assert (got[0]["n"], got[0]["mean"], got[0]["clipped"], got[0]["bin_means"], got[0]["onset_mean"]) == (10, 4.5, False, [2.0, 7.0], 1.0)
+    assert (got[1]["n"], got[1]["clipped"]) == (8, True) and math.isnan(got[2]["onset_mean"])
+    with pytest.raises(Exception, match="without a sample"):
+        sg.scan(signal, spans((0.0, 1.0), (11.0, 12.0)), "stream", 2, 3).collect()
+    with pytest.raises(Exception, match="not a finite value at sample 90"):
+        sg.scan(signal, spans((8.9, 9.5)), "stream", 2, 3).collect()
+
+
 def test_average_ranks(spark):
     df = spark.createDataFrame([("g", float(v)) for v in (3, 1, 2, 2, 5, 5, 5)], "g string, v double")
     for fn in (rk.ranked, lambda *a: rk.ranked_wide(*a, parts=3)):
@@ -128,9 +140,14 @@ def test_p_value(spark):
     assert got["p"] == pytest.approx(0.01) and got["percentile"] == pytest.approx(990 / 999)
 
 
-def test_seeded_plan_skips_single_rows(spark):
-    got = pm.seeded_plan(spark, [(0, 3), (1, 1), (2, 5)], 4, 20).collect()
-    assert {r["grp"] for r in got} == {0, 2} and all(1 <= r["shift"] < (3 if r["grp"] == 0 else 5) for r in got)
+def test_seeded_plan(spark):
+    """Groups of one row don't draw; a plan is the same however it is dealt, and its draws are even."""
+    sizes = spark.createDataFrame([(0, 3), (1, 1), (2, 5)], "grp int, n long")
+    plan = lambda parts, seed=20: sorted(map(tuple, pm.seeded_plan(sizes.repartition(parts), 400, seed).collect()))
+    got = plan(1)
+    assert {g for _, g, _ in got} == {0, 2} and all(1 <= s < (3 if g == 0 else 5) for _, g, s in got) and len(got) == 800
+    assert got == plan(8) and got != plan(8, 21)
+    assert all(60 < sum(s == k for _, g, s in got if g == 2) < 140 for k in range(1, 5))
 
 
 @pytest.mark.parametrize("values, p", [((0.0057, 0.0034, 0.0145, 0.0045, 0.0174, 0.0056), 0.015625), ((1.0, 2.0, 3.0, 4.0), 0.0625)])

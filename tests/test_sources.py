@@ -1,15 +1,14 @@
+import hashlib
 import zipfile
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from weftspark.sources import binary, sinks, tables
 
 
 def test_tsv(spark, tmp_path):
     (tmp_path / "e.tsv").write_bytes("﻿onset\ttrial_type\n1.0\tgo\n2.0\t\n3.0\tn/a\n".encode())
-    got = tables.indexed_tsv(spark, str(tmp_path / "e.tsv"), F.col("onset").try_cast("double")).orderBy("event_index").collect()
+    got = tables.indexed_tsv(spark, str(tmp_path / "e.tsv")).orderBy("event_index").collect()
     assert [(r["onset"], r["trial_type"], r["event_index"]) for r in got] == [("1.0", "go", 0), ("2.0", "", 1), ("3.0", "n/a", 2)]
 
 
@@ -112,3 +111,63 @@ def test_more_sinks(spark, tmp_path):
     assert next((tmp_path / "c").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbfrow,t")
     text = sinks.report("R", df.selectExpr("count(*) as files"), spark.createDataFrame([("ok", "true")], "check string, value string"), {"First": (df.select("row", "t"), "row")}, 5)
     assert "- files: 20" in text and "- ok: true" in text and text.count("| é") == 5
+
+
+@pytest.mark.parametrize("split", ["40", "97", "1000", "100000"])
+def test_rows_are_numbered_wherever_files_are_split(spark, tmp_path, split):
+    rng = np.random.default_rng(3)
+    want = {}
+    for k, n in enumerate((500, 1, 0, 37)):
+        rows = [b"\t".join((str(i).encode(), b"" if i % 7 == 0 else bytes(rng.choice([0x61, 0xFF, 0xC3, 0xE6, 0x20], int(rng.integers(1, 20))).astype(np.uint8).tolist()) + b"x")) for i in range(n)]
+        (tmp_path / f"{k}.tsv").write_bytes((b"\xef\xbb\xbf" if k % 2 == 0 else b"") + b"\n".join([b"onset\tvalue", *rows]) + b"\n" * (k % 2))
+        want |= {(f"{k}.tsv", i): str(i) for i in range(n)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = tables.indexed_tsv(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {(r["path"].rsplit("/", 1)[1], r["event_index"]): r["onset"] for r in got} == want and len(got) == len(want)
+
+
+def test_files_of_any_size_are_hashed(spark, tmp_path):
+    """Three sparse gigabytes, a block at a time."""
+    with open(tmp_path / "large one.bdf", "wb") as f:
+        f.truncate(3 << 30)
+    (tmp_path / "small.bdf").write_bytes(b"abc")
+    zeros, block = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(192):
+        zeros.update(block)
+    got = {r["path"].rsplit("/", 1)[1].replace("%20", " "): (r["size_bytes"], r["sha256"]) for r in tables.inventory(spark, str(tmp_path), hash_all=True).collect()}
+    assert got == {"large one.bdf": (3 << 30, zeros.hexdigest()), "small.bdf": (3, hashlib.sha256(b"abc").hexdigest())}
+
+
+def test_matrices_by_ranges(spark, tmp_path):
+    x = np.arange(2 * 3 * 50, dtype=np.int16).reshape(50, 3, 2)
+    np.save(tmp_path / "c.npy", x)
+    np.save(tmp_path / "f.npy", np.asfortranarray(x))
+    np.save(tmp_path / "one.npy", np.arange(5.0))
+    np.save(tmp_path / "none.npy", np.zeros((0, 4)))
+    got = {(r["path"].rsplit("/", 1)[1], r["row_index"]): r["values"] for r in binary.npy(spark, str(tmp_path), block=64).collect()}
+    flat = x.reshape(50, -1).tolist()
+    assert got == {(n, i): flat[i] for n in ("c.npy", "f.npy") for i in range(50)} | {("one.npy", i): [float(i)] for i in range(5)}
+    assert sorted(r["row_index"] for r in binary.npy(spark, str(tmp_path), "c.npy", 7, 12).collect()) == [7, 8, 9, 10, 11]
+
+
+def test_a_slice_of_a_matrix_over_two_gigabytes(spark, tmp_path):
+    n, width = 40_000, 8_192
+    with open(tmp_path / "large.npy", "wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f8", "fortran_order": False, "shape": (n, width)})
+        at = f.tell()
+        f.seek(at + (n - 2) * width * 8)
+        f.write(np.full(2 * width, 7.0).tobytes())
+    got = binary.npy(spark, str(tmp_path), start=n - 3).orderBy("row_index").collect()
+    assert [(r["row_index"], len(r["values"]), sum(r["values"])) for r in got] == [(n - 3, width, 0.0), (n - 2, width, 7.0 * width), (n - 1, width, 7.0 * width)]
+
+
+def test_objects_are_refused(spark, tmp_path):
+    np.save(tmp_path / "o.npy", np.array([{"a": 1}], object), allow_pickle=True)
+    with pytest.raises(Exception, match="matrix of numbers"):
+        binary.npy(spark, str(tmp_path)).collect()

@@ -2,13 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import kept
 
+#: Rows of a group that one task ranks as arrays. With a larger group, rows are ranked by ranges of values instead.
+SMALL = 1 << 20
+
+
+def small(df: DataFrame, group: str, most: int | None = None) -> bool:
+    """Whether no group has over SMALL rows. Both ways give the same rows, so this only chooses a plan."""
+    n = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (n or 0) <= (SMALL if most is None else most)
+
+
+def average_ranks(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """1 for the least, ties share their mean; nulls are a value before all others, NaN one after them."""
+    out = np.full(len(x), (missing.sum() + 1) / 2.0)
+    _, inverse, n = np.unique(x[~missing], return_inverse=True, return_counts=True)
+    out[~missing] = (missing.sum() + np.cumsum(n) - (n - 1) / 2.0)[inverse]
+    return out
+
+
+def by_group(df: DataFrame, group: str, values: list[str], added: list[str], fn: Callable[[dict[str, np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """df with columns that fn(ranks of each value) gives for a group, by one shuffle."""
+    schema = T.StructType([*df.schema.fields, *(T.StructField(x, T.DoubleType()) for x in added)])
+    own, names = [f"__v_{v}" for v in values], df.columns
+    rows = df.withColumns({x: F.col(v).cast("double") for x, v in zip(own, values)})
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = [table.column(x).combine_chunks() for x in own]
+        ranks = {v: average_ranks(np.asarray(x.fill_null(0.0)), np.asarray(x.is_null())) for v, x in zip(values, cols)}
+        return pa.Table.from_arrays([*(table.column(x) for x in names), *map(pa.array, fn(ranks))], names=schema.names)
+
+    return rows.groupBy(F.col(group).alias("__by")).applyInArrow(run, schema)
+
+
+def scores(name: str, rank: np.ndarray) -> np.ndarray:
+    sd = rank.std()
+    if not sd > 0:
+        raise ValueError(f"{name} is constant in a group")
+    return (rank - rank.mean()) / sd
+
 
 def ranked(df: DataFrame, group: str, *values: str) -> DataFrame:
     """df with the average rank of each value in its group as r_<value>: 1 for the least, ties share their mean.
@@ -46,8 +88,10 @@ def numbered(df: DataFrame, group: str, name: str, *order: str, parts: int | Non
 
     Rows go into ranges of (group, order), each range is numbered by itself, and the rows before it in its group, a sum a range,
     are added. The ranges are kept once, so a retry gives the same numbers. Rows alike in all of these columns follow each other
-    in any order; nulls come first, and a null group is one of its own.
+    in any order; nulls come first, and a null group is one of its own. Small groups are numbered by a plain window.
     """
+    if parts is None and small(df, group):
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = kept(df.repartitionByRange(parts, group, *order).withColumn("__part", F.spark_partition_id()))
     totals = rows.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
@@ -60,8 +104,11 @@ def numbered(df: DataFrame, group: str, name: str, *order: str, parts: int | Non
 def ranked_wide(df: DataFrame, group: str, *values: str, parts: int | None = None) -> DataFrame:
     """ranked() for number columns and groups of any size. Nulls are a value before all others.
 
-    df is kept once, as its values have to be the same bit by bit when ranks are joined to them.
+    Small groups are ranked as arrays, by one shuffle. Else df is kept once, as its values have to be the same bit by bit when
+    ranks are joined to them.
     """
+    if parts is None and small(df, group):
+        return by_group(df, group, list(values), [f"r_{v}" for v in values], lambda ranks: [ranks[v] for v in values])
     df = kept(df)
     table = rank_table(df, group, *values, parts=parts)
     for v in values:
@@ -69,13 +116,15 @@ def ranked_wide(df: DataFrame, group: str, *values: str, parts: int | None = Non
     return df
 
 
-def rank_z(df: DataFrame, group: str, *values: str) -> DataFrame:
+def rank_z(df: DataFrame, group: str, *values: str, parts: int | None = None) -> DataFrame:
     """df with z_<value>: ranks less their mean, over their population deviation. A constant value is an error.
 
-    Mean and deviation come from the counts of distinct values, so no task holds a group. df is kept once, as in ranked_wide().
+    With large groups, mean and deviation come from the counts of distinct values, so no task holds a group, and df is kept once, as in ranked_wide().
     """
+    if parts is None and small(df, group):
+        return by_group(df, group, list(values), [x for v in values for x in (f"r_{v}", f"z_{v}")], lambda ranks: [x for v in values for x in (ranks[v], scores(v, ranks[v]))])
     df = kept(df)
-    table = kept(rank_table(df, group, *values))
+    table = kept(rank_table(df, group, *values, parts=parts))
     size = table.groupBy(F.col("grp").alias("g"), F.col("name").alias("v")).agg(((F.sum("n") + 1) / 2.0).alias("mean"))
     both = table.join(size, F.col("grp").eqNullSafe(F.col("g")) & (F.col("name") == F.col("v")))
     spread = both.groupBy("grp", "name", "mean").agg(F.sqrt(F.sum(F.col("n") * (F.col("rank") - F.col("mean")) ** 2) / F.sum("n")).alias("sd"))
@@ -119,16 +168,36 @@ def coefficients(df: DataFrame, group: str, targets: list[str], nuisances: list[
     return gram.mapInPandas(solve, f"group {kind}, target string, beta array<double>")
 
 
-def residualized(df: DataFrame, group: str, targets: list[str], nuisances: list[str]) -> DataFrame:
-    """df with e_<target>: what is left of the rank-z target after least squares on the rank-z nuisances, over its deviation."""
-    df = kept(rank_z(df, group, *targets, *nuisances))  # read twice: for the sums, and for what is left
+def left_over(z: dict[str, np.ndarray], targets: list[str], nuisances: list[str]) -> list[np.ndarray]:
+    """What is left of each target's scores after least squares on the nuisances', over its deviation."""
+    n = np.array([z[v] for v in nuisances]).reshape(len(nuisances), -1)
+    inverse, out = np.linalg.pinv(n @ n.T), []
+    for t in targets:
+        e = z[t] - (inverse @ (n @ z[t])) @ n
+        sd = e.std()
+        out.append((e - e.mean()) / sd if sd > 0 else np.full(len(e), np.nan))
+    return out
+
+
+def residualized(df: DataFrame, group: str, targets: list[str], nuisances: list[str], parts: int | None = None) -> DataFrame:
+    """df with r_ and z_ of all values, and e_<target>: what is left of the rank-z target after least squares on the rank-z
+    nuisances, over its deviation. Small groups take one shuffle."""
+    if parts is None and small(df, group):
+        every = [*targets, *nuisances]
+
+        def fn(ranks: dict[str, np.ndarray]) -> list[np.ndarray]:
+            z = {v: scores(v, ranks[v]) for v in every}
+            return [*(x for v in every for x in (ranks[v], z[v])), *left_over(z, targets, nuisances)]
+
+        return by_group(df, group, every, [*(x for v in every for x in (f"r_{v}", f"z_{v}")), *(f"e_{t}" for t in targets)], fn)
+    df = kept(rank_z(df, group, *targets, *nuisances, parts=parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))  # read twice: for the sums, and for what is left
     beta = coefficients(df, group, targets, nuisances).select(F.col("group").alias(group), F.concat(F.lit("b_"), "target").alias("name"), "beta")
-    beta = beta.groupBy(group).pivot("name", [f"b_{t}" for t in targets]).agg(F.first("beta"))
-    df = df.join(beta, group)
+    beta = beta.groupBy(F.col(group).alias("__gb")).pivot("name", [f"b_{t}" for t in targets]).agg(F.first("beta"))
+    df = df.join(beta, df[group].eqNullSafe(F.col("__gb"))).drop("__gb")
     for t in targets:
         df = df.withColumn(f"e_{t}", F.col(f"z_{t}") - sum((F.col(f"b_{t}")[i] * F.col(f"z_{v}") for i, v in enumerate(nuisances)), F.lit(0.0)))
-    scale = df.groupBy(group).agg(*(c.alias(n) for t in targets for n, c in ((f"m_{t}", F.avg(f"e_{t}")), (f"s_{t}", F.stddev_pop(f"e_{t}")))))
-    df = df.join(scale, group)
+    scale = df.groupBy(F.col(group).alias("__gs")).agg(*(c.alias(n) for t in targets for n, c in ((f"m_{t}", F.avg(f"e_{t}")), (f"s_{t}", F.stddev_pop(f"e_{t}")))))
+    df = df.join(scale, df[group].eqNullSafe(F.col("__gs"))).drop("__gs")
     for t in targets:
         df = df.withColumn(f"e_{t}", F.try_divide(F.col(f"e_{t}") - F.col(f"m_{t}"), F.col(f"s_{t}")))
     return df.drop(*(f"{x}_{t}" for t in targets for x in "bms"))

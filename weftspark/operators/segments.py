@@ -5,6 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as f
+
+
+def sampled(spans: DataFrame, rate: float, samples: str) -> DataFrame:
+    """spans (start_sec, end_sec, and a column with the recording's number of samples) with start and stop by sample, rounded half to
+    even and cut to the recording, and clipped: whether the end lay beyond it. A span without a sample stops the query."""
+    cut = lambda x: F.greatest(F.lit(0), F.least(x, F.col(samples))).cast("long")
+    at = {x: F.rint(F.col(x) * rate).cast("long") for x in ("start_sec", "end_sec")}
+    rows = spans.withColumns({"start": cut(at["start_sec"]), "stop": cut(at["end_sec"]), "clipped": at["end_sec"] > F.col(samples)})
+    bad = F.raise_error(F.concat(F.lit("a segment without a sample: "), F.col("start"), F.lit(" to "), F.col("stop")))
+    return rows.withColumn("stop", F.when(F.coalesce(F.col("stop") > F.col("start"), F.lit(False)), F.col("stop")).otherwise(bad.cast("long")))
+
+
+def scan(signal: DataFrame, spans: DataFrame, stream: str, bins: int, onset: int) -> DataFrame:
+    """(stream, segment, channel, clipped, n, mean, sd, onset_mean, bin_means) of spans as sampled() gives them: all features by one
+    pass over the signal. A value that is null or not finite stops the query, as a mean would hide it; onset_mean is NaN in a
+    segment of fewer samples, and a bin without a sample is null.
+    """
+    bad = F.raise_error(F.concat(F.lit("not a finite value at sample "), F.col("sample"))).cast("double")
+    rows = in_segments(signal, spans, stream).withColumn("value", F.when(f.finite(F.col("value")), F.col("value")).otherwise(bad))
+    n = F.col("stop") - F.col("start")
+    edge = lambda k: F.rint(F.lit(float(k)) * n / F.lit(float(bins)))
+    high = lambda k: F.when(edge(k + 1) <= edge(k), F.greatest(edge(k + 1), F.least(n, edge(k) + 1))).otherwise(edge(k + 1))
+    means = [F.avg(F.when((F.col("offset") >= edge(k)) & (F.col("offset") < high(k)), F.col("value"))) for k in range(bins)]
+    first = F.when(F.max(n) >= onset, F.avg(F.when(F.col("offset") < onset, F.col("value")))).otherwise(F.lit(float("nan")))
+    return rows.groupBy(stream, "segment", "channel").agg(F.max("clipped").alias("clipped"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), first.alias("onset_mean"), F.array(*means).alias("bin_means"))
+
 
 def in_segments(signal: DataFrame, spans: DataFrame, stream: str, block: int = 256) -> DataFrame:
     """signal rows with the segment (stream, segment, start, stop) that holds their sample: start <= sample < stop.

@@ -38,24 +38,19 @@ def pair_table(features: DataFrame, vectors: DataFrame, targets: list[str]) -> D
 def semantic_association(features: DataFrame, vectors: DataFrame, targets: list[str], permutations: int, seed: int, nuisances: list[str] = NUISANCES) -> Result:
     """Partial Spearman of each subject's geometry with each target's, and its null from shifts within chapters.
 
-    Every subject has the same rows, numbered from 0. A permutation is shared by all subjects and targets; a chapter of one
-    row stays. Numbers of rows and chapters come to the driver, rows and pairs don't.
+    Every subject has the same rows, numbered from 0. A permutation's shifts depend on seed, permutation and chapter only, so all
+    subjects and targets share them; a chapter of one row stays.
     """
     checks.parameters(permutations=permutations)
     checks.at_least(features, "subject", 2)
-    spark, pairs, out, nulls = features.sparkSession, pair_table(features, vectors, targets), None, None
-    items = features.select("row", f.chapter_number(F.col("chapter")).alias("grp")).distinct()
-    sizes = sorted((r["grp"], r["n"]) for r in items.groupBy("grp").agg(F.count("*").alias("n")).collect())
-    plan = pm.seeded_plan(spark, sizes, permutations, seed)
-    moves = items.crossJoin(spark.range(permutations).withColumnRenamed("id", "perm")).join(F.broadcast(plan), ["perm", "grp"], "left")  # rows x permutations: the plan itself
-    moves = pm.shifted(moves, ["perm", "grp"], "row", F.coalesce("shift", F.lit(0)))
-    sources = moves.groupBy("perm").agg(F.array_sort(F.collect_list(F.struct("row", "source"))).alias("s")).select("perm", F.col("s.source").alias("sources"))
-    sources = sources.crossJoin(F.broadcast(features.select("subject").distinct()))
+    pairs, out, nulls = pair_table(features, vectors, targets), None, None
+    items = features.select("subject", "row", f.chapter_number(F.col("chapter")).alias("grp"))
+    moves = items.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))))  # the plan itself: an item's source in each permutation
+    moves = pm.shifted(moves, ["subject", "perm", "grp"], "row", pm.seeded_shift(seed, F.col("perm"), F.col("grp"), F.col("__n"))).withColumnRenamed("row", "item")
     for t in targets:
         both = rk.residualized(pairs, "subject", ["d_neural", f"d_{t}"], nuisances)
         rho = both.groupBy("subject").agg(F.avg(F.col("e_d_neural") * F.col(f"e_d_{t}")).alias("rho")).withColumn("target", F.lit(t))
-        ready = both.select("subject", "i", "j", F.col("e_d_neural").alias("e"), F.col(f"z_d_{t}").alias("y"), F.array(*(F.col(f"z_{n}") for n in nuisances)).alias("nuisances"))
-        null = pm.null_statistics(ready, sources, "subject").groupBy("perm").agg(F.avg("stat").alias("stat")).withColumn("target", F.lit(t))
+        null = pm.null_statistics(both, moves, "subject", "e_d_neural", f"z_d_{t}", [f"z_{n}" for n in nuisances]).groupBy("perm").agg(F.avg("stat").alias("stat")).withColumn("target", F.lit(t))
         out, nulls = (rho, null) if out is None else (out.unionByName(rho), nulls.unionByName(null))
     observed = out.groupBy("target").agg(F.avg("rho").alias("observed"))
     return Result(out, nulls, pm.null_summary(nulls, observed, "target"))

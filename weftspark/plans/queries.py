@@ -311,6 +311,24 @@ def segment_onset_mean(spark, sf):
     return rounded(got.withColumn("mean", F.when(F.col("available"), F.col("mean"))), "mean")
 
 
+@query(f"""WITH {SIGNAL}, t AS (SELECT user_id, count(*) - 1 AS samples FROM events GROUP BY 1),
+k AS (SELECT s.user_id, segment, start, least(stop + 1, samples) AS stop, stop + 1 > samples AS clipped FROM spans s JOIN t USING (user_id)),
+g AS (SELECT k.*, channel, sample - start AS o, value, stop - start AS n FROM k JOIN sig USING (user_id) WHERE sample >= start AND sample < stop),
+b AS (SELECT *, unnest(range(0, 2)) AS bin FROM g),
+w AS (SELECT *, CAST(round_even(bin * n / 2.0, 0) AS BIGINT) AS lo, CAST(round_even((bin + 1) * n / 2.0, 0) AS BIGINT) AS h FROM b),
+m AS (SELECT user_id, segment, channel, avg(value) FILTER (bin = 0 AND o >= lo AND o < CASE WHEN h <= lo THEN greatest(h, least(n, lo + 1)) ELSE h END) AS bin0, avg(value) FILTER (bin = 1 AND o >= lo AND o < CASE WHEN h <= lo THEN greatest(h, least(n, lo + 1)) ELSE h END) AS bin1 FROM w GROUP BY 1, 2, 3)
+SELECT user_id, segment, channel, bool_or(clipped) AS clipped, count(*) AS n, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS sd, CASE WHEN max(n) >= 3 THEN {r('avg(value) FILTER (o < 3)')} END AS onset_mean, {r('any_value(bin0)')} AS bin0, {r('any_value(bin1)')} AS bin1
+FROM g JOIN m USING (user_id, segment, channel) GROUP BY 1, 2, 3""")
+def segment_scan(spark, sf):
+    """All features of a segment by one pass; recordings end a sample early, so that some segments are clipped."""
+    rows, spans = signal(spark, sf)
+    samples = rows.groupBy("user_id").agg((F.max("sample")).alias("samples"))
+    spans = sg.sampled(spans.join(samples, "user_id").withColumns({"start_sec": F.col("start") / 256.0, "end_sec": (F.col("stop") + 1) / 256.0}), 256.0, "samples")
+    got = sg.scan(rows, spans.select("user_id", "segment", "start", "stop", "clipped"), "user_id", 2, 3)
+    got = got.select("user_id", "segment", "channel", "clipped", "n", "mean", "sd", F.nanvl("onset_mean", F.lit(None).cast("double")).alias("onset_mean"), F.col("bin_means")[0].alias("bin0"), F.col("bin_means")[1].alias("bin1"))
+    return rounded(got, "mean", "sd", "onset_mean", "bin0", "bin1")
+
+
 @query(f"""WITH {SIGNAL}, c AS (SELECT (SELECT count(*) FROM events WHERE event_type = 'signup') AS starts, (SELECT count(*) FROM events WHERE event_type = 'purchase') AS ends, (SELECT count(*) FROM spans) AS segments)
 SELECT 'starts_equal_ends' AS "check", CAST(starts = ends AS VARCHAR) AS value FROM c UNION ALL SELECT 'segments', CAST(segments AS VARCHAR) FROM c UNION ALL SELECT 'positive_durations', (SELECT CAST(bool_and(stop > start) AS VARCHAR) FROM spans)""")
 def checks_long(spark, sf):
@@ -414,13 +432,12 @@ PERMUTATIONS = 10
 
 
 def nulls(spark, sf) -> DataFrame:
-    g = rk.residualized(geometry(spark, sf), "label", ["x"], NUISANCES)
-    g = rk.rank_z(g, "label", "y").select("label", "i", "j", F.col("e_x").alias("e"), F.col("z_y").alias("y"), F.array(*(F.col(f"z_{n}") for n in NUISANCES)).alias("nuisances"))
-    items = read(spark, sf, "embeddings").select("label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("place"))
-    items = items.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PERMUTATIONS - 1).cast("long"))))
-    moved = pm.shifted(items, ["label", "perm"], "place", pm.arithmetic_shift(F.col("perm"), F.col("label"), F.col("__n")))
-    plan = moved.groupBy("label", "perm").agg(F.array_sort(F.collect_list(F.struct("place", "source"))).alias("s")).select("label", "perm", F.col("s.source").alias("sources"))
-    return pm.null_statistics(g, plan, "label")
+    g = rk.residualized(geometry(spark, sf), "label", ["x", "y"], NUISANCES)
+    items = read(spark, sf, "embeddings").select("label", "vec_id").join(read(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("m")), "label")
+    items = rk.numbered(items, "label", "item", "vec_id").withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PERMUTATIONS - 1).cast("long"))))
+    # places are the items themselves, so a shift is arithmetic
+    plan = items.withColumn("source", F.pmod(F.col("item") - pm.arithmetic_shift(F.col("perm"), F.col("label"), F.col("m")), F.col("m")))
+    return pm.null_statistics(g, plan, "label", "e_x", "z_y", [f"z_{n}" for n in NUISANCES])
 
 
 NULLS = f"""{GEOMETRY}, perms AS (SELECT unnest(range(0, {PERMUTATIONS})) AS perm), sizes AS (SELECT label, count(*) AS m FROM embeddings GROUP BY 1),
@@ -447,26 +464,72 @@ def perm_pvalue(spark, sf):
     return rounded(got, "observed", "null_mean", "null_sd", "q95", "q99", "p", "percentile")
 
 
-@query(f"""WITH {SUBJECTS}, perms AS (SELECT unnest(range(0, 5)) AS perm), m AS (SELECT max(j) + 1 AS m FROM d),
+def loo_null(source: str, value: str, start: str) -> str:
+    """The mean leave-one-out agreement of subjects whose items are shifted, for five permutations."""
+    return f"""WITH {start}, perms AS (SELECT unnest(range(0, 5)) AS perm), m AS (SELECT max(j) + 1 AS m FROM {source}),
 maps AS (SELECT DISTINCT label AS subject, perm, item, (((item - (perm * 7919 + label * 104729) % m) % m) + m) % m AS source FROM c, perms, m),
-q AS (SELECT d.subject, a.perm, d.i, d.j, h.d FROM d JOIN maps a ON a.subject = d.subject AND a.item = d.i JOIN maps b ON b.subject = d.subject AND b.perm = a.perm AND b.item = d.j
-  JOIN d h ON h.subject = d.subject AND h.i = least(a.source, b.source) AND h.j = greatest(a.source, b.source)),
+q AS (SELECT d.subject, a.perm, d.i, d.j, h.{value} AS d FROM {source} d JOIN maps a ON a.subject = d.subject AND a.item = d.i JOIN maps b ON b.subject = d.subject AND b.perm = a.perm AND b.item = d.j
+  JOIN {source} h ON h.subject = d.subject AND h.i = least(a.source, b.source) AND h.j = greatest(a.source, b.source)),
 t AS (SELECT *, (sum(d) OVER (PARTITION BY perm, i, j) - d) / (count(*) OVER (PARTITION BY perm, i, j) - 1) AS rest FROM q),
 loo AS (SELECT perm, subject, corr(r_d, r_rest) AS rho FROM ({ranks('t', ['perm', 'subject'], ['d', 'rest'])}) GROUP BY 1, 2)
-SELECT perm, {r('avg(rho)')} AS stat FROM loo GROUP BY 1""")
-def perm_null_loo(spark, sf):
-    d = subject_pairs(spark, sf)
-    items = rel.common_items(read(spark, sf, "embeddings"), "label", "vec_id").select(F.col("label").alias("subject"), "item")
-    items = items.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    maps = pm.shifted(items, ["subject", "perm"], "item", pm.arithmetic_shift(F.col("perm"), F.col("subject"), F.col("__n"), identity=True))
-    a, b = (maps.select("subject", "perm", F.col("item").alias(f"to_{k}"), F.col("source").alias(k)) for k in ("i", "j"))
-    # a pair's distance goes where its two items go
-    one = d.join(a, ["subject", "i"]).join(b, ["subject", "perm", "j"])
-    moved = one.select("perm", F.struct("perm", "subject").alias("subject"), F.least("to_i", "to_j").alias("i"), F.greatest("to_i", "to_j").alias("j"), "d")
-    loo = rel.leave_one_out(moved, "d", ("perm",)).select(F.col("subject.perm").alias("perm"), "rho")
+SELECT perm, {r('avg(rho)')} AS stat FROM loo GROUP BY 1"""
+
+
+def rotated_null(pairs: DataFrame, value: str) -> DataFrame:
+    """pairs (subject, i, j, value) of subjects with the same items: by lag, so that shifts rotate arrays."""
+    items = pairs.groupBy("subject").agg((F.max("j") + 1).alias("n"))
+    plan = items.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("perm", "subject", pm.arithmetic_shift(F.col("perm"), F.col("subject"), F.col("n"), identity=True).alias("shift"))
+    loo = pm.rotated_leave_one_out(pm.by_lag(pairs, items, "subject", value), plan, "subject")
     return rounded(loo.groupBy("perm").agg(F.avg("rho").alias("stat")), "stat")
 
 
+@query(loo_null("d", "d", SUBJECTS))
+def perm_null_loo(spark, sf):
+    return rotated_null(subject_pairs(spark, sf), "d")
+
+
+RESIDUAL_NUISANCES = ["position", "size", "kind"]
+
+
+def residual_pairs(spark, sf) -> DataFrame:
+    """(subject, i, j, d, e): subjects' distances, and what nuisances leave of them, to nine places so that ties are ties."""
+    items, v = rel.common_items(read(spark, sf, "embeddings"), "label", "vec_id"), F.col("embedding")
+    pairs = pr.distances(items, "label", "item", d=("correlation", v), position=("cityblock", F.col("item")), size=("cityblock", F.round(f.norm(f.doubles(F.slice(v, 1, 32))), 6)), kind=("hamming", F.col("vec_id") % 3))
+    rest = rk.residualized(pairs.withColumnRenamed("label", "subject"), "subject", ["d"], RESIDUAL_NUISANCES)
+    return rest.select("subject", "i", "j", "d", F.round("e_d", 9).alias("e"))
+
+
+RESIDUALS = f"""{SUBJECTS}, k0 AS (SELECT *, round(sqrt(list_inner_product(v[1:32], v[1:32])), 6) AS size FROM c),
+g AS (SELECT d.*, CAST(abs(d.i - d.j) AS DOUBLE) AS position, abs(a.size - b.size) AS size, CAST(CAST(a.vec_id % 3 <> b.vec_id % 3 AS INTEGER) AS DOUBLE) AS kind FROM d JOIN k0 a ON a.label = d.subject AND a.item = d.i JOIN k0 b ON b.label = d.subject AND b.item = d.j),
+{projected('g', ['subject'], ['d'], RESIDUAL_NUISANCES, ['i', 'j'])},
+res AS (SELECT subject, i, j, round(v_d / stddev_pop(v_d) OVER (PARTITION BY subject), 9) AS e FROM p_last)"""
+
+
+@query(f"""WITH {RESIDUALS}, t AS (SELECT *, (sum(e) OVER (PARTITION BY i, j) - e) / (count(*) OVER (PARTITION BY i, j) - 1) AS rest FROM res)
+SELECT subject, {r('corr(r_e, r_rest)')} AS rho FROM ({ranks('t', ['subject'], ['e', 'rest'])}) GROUP BY 1""")
+def residual_loo(spark, sf):
+    """Each subject's residual geometry against the mean of the others'."""
+    return rounded(rel.leave_one_out(residual_pairs(spark, sf), "e"), "rho")
+
+
+@query(loo_null("res", "e", RESIDUALS))
+def perm_null_residual_loo(spark, sf):
+    return rotated_null(residual_pairs(spark, sf), "e")
+
+
+@query(f"""WITH {RESIDUALS}, sides AS (SELECT 'raw' AS kind, subject, i, j, d AS x FROM d UNION ALL SELECT 'residual', subject, i, j, e FROM res),
+k AS ({ranks('sides', ['kind', 'subject'], ['x'])}),
+m AS (SELECT a.kind, a.subject AS sa, b.subject AS sb, corr(a.r_x, b.r_x) AS rho FROM k a JOIN k b ON a.kind = b.kind AND a.i = b.i AND a.j = b.j AND a.subject < b.subject GROUP BY 1, 2, 3)
+SELECT kind, count(*) AS n, {r('avg(rho)')} AS mean FROM m GROUP BY 1""")
+def pairwise_means(spark, sf):
+    """The mean agreement of pairs of subjects, of raw and of residual geometries side by side."""
+    pairs, out = residual_pairs(spark, sf), None
+    for kind, value in (("raw", "d"), ("residual", "e")):
+        one = rel.subject_matrix(pairs, value).agg(F.count("*").alias("n"), F.avg("rho").alias("mean")).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "mean")
+
+
 # ---------------------------------------------------------------- runs and subjects
 
 EFFECTS = "f AS (SELECT year(l_shipdate) AS run, l_suppkey % 8 AS subject, avg(l_discount) - 0.05 AS effect FROM lineitem GROUP BY 1, 2)"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import configparser
+import hashlib
 import io
 import xml.etree.ElementTree as ET
 import zipfile
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -20,18 +22,85 @@ def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def npy(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
-    """(path, row_index, values: array<double>) of matrices; more than two dimensions are flattened row by row."""
+def listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, length) of files, without their content."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+
+def opened(file: str):
+    """A file in any store that Arrow knows."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(quote(file if ":/" in file else f"file://{file}", safe=":/"))
+    return store.open_input_file(at)
+
+
+def range_of(file: str, start: int, size: int) -> bytes:
+    with opened(file) as f:
+        f.seek(start)
+        return f.read(size)
+
+
+def streamed(paths: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """(path, sha256) of files of any size, a block at a time; files are dealt over tasks."""
+
+    def run(batches):
+        for pdf in batches:
+            for name in pdf["path"]:
+                digest = hashlib.sha256()
+                with opened(name) as f:
+                    while data := f.read(block):
+                        digest.update(data)
+                yield pd.DataFrame({"path": [name], "sha256": [digest.hexdigest()]})
+
+    return paths.repartition("path").mapInPandas(run, "path string, sha256 string")
+
+
+def matrix_header(head: bytes) -> tuple[tuple[int, ...], bool, np.dtype, int]:
+    """(shape, whether by columns, kind of number, first byte of the data) of a matrix file's first bytes."""
+    at = io.BytesIO(head)
+    version = np.lib.format.read_magic(at)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, by_columns, kind = read(at, max_header_size=len(head))
+    if kind.hasobject or kind.names or not shape:
+        raise ValueError("not a matrix of numbers")
+    return shape, by_columns, kind, at.tell()
+
+
+MATRIX = "path string, rows long, width long, by_columns boolean, kind string, data long, shape array<long>"
+
+
+def npy(spark: SparkSession, path: str, pattern: str = "*.npy", start: int = 0, stop: int | None = None, block: int = 8 << 20) -> DataFrame:
+    """(path, row_index, values: array<double>) of matrices, from row start up to stop; more than two dimensions are flattened row by row.
+
+    Headers are read first; then ranges of rows, of about `block` bytes, are dealt over tasks, each of which reads its own bytes.
+    So a file may have any size, and a slice costs what it holds.
+    """
+
+    def heads(batches):
+        for pdf in batches:
+            for name in pdf["path"]:
+                shape, by_columns, kind, at = matrix_header(range_of(name, 0, 1 << 20))
+                yield pd.DataFrame({"path": [name], "rows": shape[0], "width": int(np.prod(shape[1:], dtype=np.int64)), "by_columns": by_columns, "kind": kind.str, "data": at, "shape": [list(shape)]})
+
+    files = listed(spark, path, pattern).select("path").repartition("path").mapInPandas(heads, MATRIX)
+    size = F.greatest(F.lit(1), F.floor(F.lit(block) / F.greatest(F.lit(1), F.col("width") * F.substring("kind", 3, 9).cast("long")))).cast("long")
+    end = F.col("rows") if stop is None else F.least("rows", F.lit(stop))
+    ranges = files.withColumn("end", end.cast("long")).where(F.col("end") > start).withColumn("size", size)
+    ranges = ranges.withColumn("first", F.explode(F.sequence(F.lit(start).cast("long"), F.col("end") - 1, F.col("size")))).repartition("path", "first")
 
     def parse(batches):
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                x = np.load(io.BytesIO(content), allow_pickle=False)
-                x = x.reshape(len(x), -1).astype(float)
-                for a in range(0, len(x), 4096):
-                    yield pd.DataFrame({"path": name, "row_index": np.arange(a, min(a + 4096, len(x))), "values": list(x[a : a + 4096])})
+            for row in pdf.itertuples():
+                kind, n = np.dtype(row.kind), min(row.size, row.end - row.first)
+                if row.by_columns:  # every column has its rows side by side
+                    columns = np.arange(row.width).reshape(tuple(row.shape[1:]) or (1,), order="F").ravel()
+                    x = np.stack([np.frombuffer(range_of(row.path, row.data + (k * row.rows + row.first) * kind.itemsize, n * kind.itemsize), kind) for k in columns.tolist()], 1) if row.width else np.zeros((n, 0))
+                else:
+                    x = np.frombuffer(range_of(row.path, row.data + row.first * row.width * kind.itemsize, n * row.width * kind.itemsize), kind).reshape(n, row.width)
+                yield pd.DataFrame({"path": row.path, "row_index": np.arange(row.first, row.first + n), "values": list(x.astype(float))})
 
-    return files(spark, path, pattern).mapInPandas(parse, "path string, row_index long, values array<double>")
+    return ranges.mapInPandas(parse, "path string, row_index long, values array<double>")
 
 
 def workbook_rows(content: bytes) -> list[tuple[int, str, str]]:
@@ -100,16 +169,6 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     return head.mapInPandas(parse, HEADER)
 
 
-def range_of(file: str, start: int, size: int) -> bytes:
-    """Bytes of a file in any store that Arrow knows."""
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(file if ":/" in file else f"file://{file}")
-    with store.open_input_file(at) as f:
-        f.seek(start)
-        return f.read(size)
-
-
 def brainvision(spark: SparkSession, path: str, block: int = 256, start: int = 0, stop: int | None = None) -> DataFrame:
     """(stem, block, start_sample, rate, channels, data: array of samples of array of channels) of header and data files, from
     sample start up to stop.
@@ -117,7 +176,7 @@ def brainvision(spark: SparkSession, path: str, block: int = 256, start: int = 0
     Each task reads the byte ranges of its blocks and no more, so recordings may have any size, and a slice costs what it
     holds. The header says the sample format, the order and each channel's resolution.
     """
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.eeg").load(path).select(F.col("path").alias("data_file"), "length")
+    sizes = listed(spark, path, "*.eeg").withColumnRenamed("path", "data_file")
     width = F.when(F.col("format") == "INT_16", 2).otherwise(4)
     rows = headers(spark, path).join(sizes, "data_file").withColumn("samples", F.floor(F.col("length") / (width * F.size("channels"))))
     end = F.col("samples") if stop is None else F.least("samples", F.lit(stop))
