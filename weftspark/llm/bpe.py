@@ -99,16 +99,16 @@ def stitch(parts: list[tuple[int, np.ndarray]], margin: int) -> np.ndarray:
     `margin` characters of a chunk don't count, as its end may have changed them. Where two share none, returns None.
     """
     start, bounds = parts[0]
-    out = bounds + start
+    done, last = [], bounds + start
     for start, bounds in parts[1:]:
         here = bounds + start
-        common = np.intersect1d(out[out < out[-1] - margin], here, assume_unique=True)
-        common = common[common > start] if start else common
+        tail = last[np.searchsorted(last, start, "right") :]
+        common = np.intersect1d(tail[tail < last[-1] - margin], here, assume_unique=True)
         if not len(common):
             return None
-        at = common[0]
-        out = np.concatenate((out[out < at], here[here >= at]))
-    return out
+        done.append(last[: np.searchsorted(last, common[0])])
+        last = here[np.searchsorted(here, common[0]) :]
+    return np.concatenate([*done, last])
 
 
 class Pairs:
@@ -275,6 +275,21 @@ def encoded(path: str):
     return run
 
 
+def cut_up(chunk: int, overlap: int):
+    """Overlapping chunks of long texts, in one pass over each."""
+
+    def run(batches):
+        for batch in batches:
+            for hash_, doc, text in zip(*(x for x in batch.columns)):
+                text, step = text.as_py(), max(1, (4 << 20) // chunk)
+                starts = list(range(0, len(text), chunk))
+                for a in range(0, len(starts), step):
+                    part = starts[a : a + step]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * len(part), pa.int64()) for x in (hash_, doc)] + [pa.array([k // chunk for k in part], pa.int32()), pa.array(part, pa.int64()), c.strings([text[k : k + chunk + overlap] for k in part])], names=["hash", "doc_id", "no", "start", "part"])
+
+    return run
+
+
 def chunk_bounds(batches):
     """Pre-tokens of chunks: boundaries by code points, from the chunk's start."""
     for batch in batches:
@@ -285,9 +300,6 @@ def chunk_bounds(batches):
 def chunks_encoded(path: str, margin: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("no")
-        no = group.column("no").to_numpy()
-        rows = int((no == 0).sum())  # equal rows come as one group
-        group = group.take(pa.array(np.unique(no, return_index=True)[1]))
         starts, texts = group.column("start").to_pylist(), group.column("part").to_pylist()
         parts = [(s, np.frombuffer(b, np.int64)) for s, b in zip(starts, group.column("bounds").to_pylist())]
         text = "".join([x[: s2 - s] for x, s, s2 in zip(texts, starts, [*starts[1:], 1 << 62])])
@@ -295,8 +307,7 @@ def chunks_encoded(path: str, margin: int):
         if (bounds := stitch(parts, margin)) is None:  # no shared boundary in some overlap: one run over the whole text
             bounds = boundaries(points, np.array([0, len(points)]))
         ids, _ = vocabulary(path).encode(data, at[bounds])
-        one = pa.table({"doc_id": group.column("doc_id")[:1], "ids": pa.array([ids], pa.list_(pa.int32()))})
-        return pa.concat_tables([one] * rows)
+        return pa.table({"doc_id": group.column("doc_id")[:1], "ids": pa.array([ids], pa.list_(pa.int32())), "rows": group.column("rows")[:1]})
 
     return run
 
@@ -312,12 +323,12 @@ def encode(docs: DataFrame, ranks: str | None = None, chunk: int = 32768, overla
     path, margin = ranks or default_ranks(), 8
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= chunk).mapInArrow(encoded(path), "doc_id long, ids array<int>")
-    long = rows.where(F.length("text") > chunk).withColumn("hash", F.xxhash64("text"))
-    long = long.select("hash", "doc_id", "text", F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))).alias("no", "start"))
-    long = long.select("hash", "doc_id", "no", "start", F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("part"))
-    long = long.repartition("hash", "doc_id", "no")
-    long = long.mapInArrow(chunk_bounds, "hash long, doc_id long, no int, start int, part string, bounds binary")
-    return short.union(long.groupBy("doc_id", "hash").applyInArrow(chunks_encoded(path, margin), "doc_id long, ids array<int>"))
+    long = rows.where(F.length("text") > chunk).select(F.xxhash64("text").alias("hash"), "doc_id", "text").mapInArrow(cut_up(chunk, overlap), "hash long, doc_id long, no int, start long, part string")
+    # equal rows become one with their number, first within each task, so that no key has more than a task's rows
+    long = long.groupBy("hash", "doc_id", "no", "start").agg(F.first("part").alias("part"), F.count("*").alias("rows"))
+    long = long.mapInArrow(chunk_bounds, "hash long, doc_id long, no int, start long, part string, rows long, bounds binary")
+    long = long.groupBy("doc_id", "hash").applyInArrow(chunks_encoded(path, margin), "doc_id long, ids array<int>, rows long")
+    return short.union(long.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row")).drop("row"))
 
 
 def decode(tokens: DataFrame, ranks: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
