@@ -188,35 +188,38 @@ class Index:
         return low, high, matched
 
 
-def matches(code: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of distinct pieces of words (code, one after another; size of each) of documents, with the keys of their anchors: (first,
-    end, first run of each piece and the end) of the runs of windows, by the first one's place, that a smaller document has.
+def matches(code: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, copied: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of distinct pieces of words (code, one after another; size of each) of documents, with the keys of their anchors and whether
+    another document has the piece too: (first, end, first run of each piece and the end) of the runs of windows, by the first one's
+    place, that a document smaller than the piece's has; and the same for the copies, which may match the piece's document as well.
 
     Pieces with one window in common have one key. So of a key's pieces, those of the largest document need not be in the
-    index, and those of the smallest need not be searched for.
+    index, and those of the smallest need not be searched for, unless they have copies.
     """
     _, of = np.unique(key, return_inverse=True)
     least, most = np.full(len(of), np.iinfo(np.int64).max), np.full(len(of), x.LOWEST)
     np.minimum.at(least, of, doc)
     np.maximum.at(most, of, doc)
-    kept, asked = np.flatnonzero(doc < most[of]), np.flatnonzero(doc > least[of])
+    kept = np.flatnonzero((doc < most[of]) | copied)
     begin = np.cumsum(size) - size
     runs, none = np.zeros(len(size) + 1, np.int64), np.zeros(0, np.int64)
     if not len(kept):
-        return none, none, runs
+        return [(none, none, runs)] * 2
     _, number = np.unique(doc, return_inverse=True)
     edge = np.cumsum(size[kept] + 1)
     text = np.zeros(edge[-1], np.int64)
     text[np.arange(edge[-1] - len(kept)) + np.repeat(np.arange(len(kept)), size[kept])] = gathered(code, begin[kept], size[kept])
-    index = Index(text, np.repeat(number[kept], size[kept] + 1), WINDOW)
-    windows = size[asked] - WINDOW + 1
-    end = np.repeat(begin[asked] + WINDOW - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
-    below = np.repeat(number[asked], windows)
-    gone = np.zeros(len(code), bool)
-    for a in range(0, len(end), STEP):
-        e = end[a : a + STEP]
-        gone[e[index.search(code, e, WINDOW, below[a : a + STEP])[2] == WINDOW] - WINDOW] = True
-    return c.spans(gone, np.append(begin, len(code)))
+    index, out = Index(text, np.repeat(number[kept], size[kept] + 1), WINDOW), []
+    for asked, smaller in ((np.flatnonzero(doc > least[of]), number), (np.flatnonzero(copied), number + 1)):
+        windows = size[asked] - WINDOW + 1
+        end = np.repeat(begin[asked] + WINDOW - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+        below = np.repeat(smaller[asked], windows)
+        gone = np.zeros(len(code), bool)
+        for a in range(0, len(end), STEP):
+            e = end[a : a + STEP]
+            gone[e[index.search(code, e, WINDOW, below[a : a + STEP])[2] == WINDOW] - WINDOW] = True
+        out.append(c.spans(gone, np.append(begin, len(code))))
+    return out
 
 
 def resolve(table: pa.Table) -> pa.Table:
@@ -228,29 +231,29 @@ def resolve(table: pa.Table) -> pa.Table:
     _, code = np.unique(np.concatenate([word for word, *_ in found]), return_inverse=True)
     code += 1  # 0 ends a piece
     begin = np.cumsum(size) - size
-    # equal pieces are one, of its smallest document
+    # equal pieces are one, of its smallest document; copies in other documents have an answer of their own
     content = c.span_hash(c.prefix_sums(code), begin, begin + size)
     order = np.lexsort((col["id"], content))
     head = np.concatenate(([True], content[order][1:] != content[order][:-1]))
     own = np.empty(len(order), np.int64)
     own[order] = np.cumsum(head) - 1
     chosen = order[head]
-    s, e, first = matches(gathered(code, begin[chosen], size[chosen]), size[chosen], col["id"][chosen], col["key"][chosen])
-    base = np.cumsum(size[chosen]) - size[chosen]
-    n_runs = np.diff(first)
-    # runs of matched windows of these; all of an equal piece of another document is gone
-    follows = np.flatnonzero(col["id"] == col["id"][chosen][own])
-    others = np.flatnonzero(col["id"] != col["id"][chosen][own])
+    elsewhere = col["id"] != col["id"][chosen][own]
     extra = np.repeat(np.arange(len(order)), col["n_more"])
-    more, other = col["more"].astype(np.int64), col["other"] | (col["id"] != col["id"][chosen][own])[extra]
-    place = np.concatenate((col["at"][follows].astype(np.int64), more[~other]))
-    whose = np.concatenate((follows, extra[~other]))
-    n = n_runs[own[whose]]
-    run = np.repeat(first[:-1][own[whose]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    shift = np.repeat(place - base[own[whose]], n)
-    at = np.concatenate((col["at"][others].astype(np.int64), more[other]))
-    all_of = np.concatenate((others, extra[other]))
-    return x.by_chunk(np.concatenate((chunk[np.repeat(whose, n)], chunk[all_of])), np.concatenate((s[run] + shift, at)), np.concatenate((e[run] + shift + WINDOW - 1, at + size[all_of])))
+    more, other = col["more"].astype(np.int64), col["other"] | elsewhere[extra]
+    whose, place = np.concatenate((np.arange(len(order)), extra)), np.concatenate((col["at"].astype(np.int64), more))
+    copy = np.concatenate((elsewhere, other))
+    copied = np.zeros(len(chosen), bool)
+    copied[own[whose[copy]]] = True
+    base = np.cumsum(size[chosen]) - size[chosen]
+    out = []
+    for (s, e, first), mine in zip(matches(gathered(code, begin[chosen], size[chosen]), size[chosen], col["id"][chosen], col["key"][chosen], copied), (~copy, copy)):
+        piece, at = own[whose[mine]], place[mine]
+        n = np.diff(first)[piece]
+        run = np.repeat(first[:-1][piece], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        shift = np.repeat(at - base[piece], n)
+        out.append((chunk[np.repeat(whose[mine], n)], s[run] + shift, e[run] + shift + WINDOW - 1))
+    return x.by_chunk(*(np.concatenate(y) for y in zip(*out)))
 
 
 def finish(docs: pa.Table, spans: pa.Table) -> pa.Table:
