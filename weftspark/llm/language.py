@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 
 from . import common as c
 
-#: An n-gram is in a language's filter if it makes up at least this share of the language's n-grams, so a filter's size
-#: has a bound that doesn't depend on the corpus: languages / RATE n-grams.
-RATE = 2e-5
+#: Slots of a filter at least and at most, as powers of two. The filter holds every n-gram that was seen; with more than fit well, it takes
+#: more absent ones for present, which is known and corrected. So what is broadcast has a bound that doesn't depend on the corpus.
+LEAST_SLOTS, MOST_SLOTS = 16, 24
 HASHES = 3
 #: Languages of one mask; more languages take more masks.
 MOST = 64
@@ -84,17 +84,38 @@ def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(inverse, n, len(out)).astype(np.int64)
 
 
+def slots_of(code: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The slots of n-grams in a filter of 2**bits."""
+    return [(code ^ (code >> np.uint32(15))) * np.uint32(f) >> np.uint32(32 - bits) for f in FACTORS[:HASHES]]
+
+
+def masked(languages: list[str], bits: int):
+    """(word of masks, slot, mask) of n-grams (lang, gram), a row for each of their slots that a batch fills."""
+
+    def run(batches):
+        place = {x: j for j, x in enumerate(languages)}
+        for batch in batches:
+            j = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            at = np.concatenate(slots_of(np.asarray(batch.column(1)).astype(np.uint32), bits)).astype(np.int64)
+            word, mask = np.tile(j // MOST, HASHES), np.tile(np.uint64(1) << (j % MOST).astype(np.uint64), HASHES)
+            order = np.lexsort((at, word))
+            at, word, mask = at[order], word[order], mask[order]
+            first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (word[1:] != word[:-1])))) if len(at) else at
+            mask = np.bitwise_or.reduceat(mask, first) if len(at) else mask
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int32)), pa.array(at[first].astype(np.int32)), pa.array(mask.view(np.int64))], names=["word", "slot", "mask"])
+
+    return run
+
+
 @dataclass
 class Model:
     languages: list[str]
     slots: list[np.ndarray]  # masks of languages, MOST of them each
     false: np.ndarray  # share of absent n-grams that the filter takes for present, by language
-    cover: np.ndarray  # share of a language's own n-grams that are in its filter
     prior: np.ndarray  # share of all n-grams counted; decides between equal shares
 
     def masks(self, code: np.ndarray) -> list[np.ndarray]:
-        out, shift = [], np.uint32(32 - int(np.log2(len(self.slots[0]))))
-        at = [(code ^ (code >> np.uint32(15))) * np.uint32(f) >> shift for f in FACTORS[:HASHES]]
+        out, at = [], slots_of(code, int(np.log2(len(self.slots[0]))))
         for slots in self.slots:
             got = slots[at[0]]
             for other in at[1:]:
@@ -108,36 +129,32 @@ class Model:
         masks = self.masks(code)
         total = np.bincount(row, minlength=n)
         hits = np.stack([np.bincount(row[(m >> m.dtype.type(j % MOST)) & m.dtype.type(1) != 0], minlength=n) for j in range(k) for m in (masks[j // MOST],)], 1)
-        true = np.maximum(hits - total[:, None] * self.false, 0) / (1 - self.false)
-        share = true / np.maximum(total, 1)[:, None] / np.maximum(self.cover, 1e-9)
+        true = np.maximum(hits - total[:, None] * self.false, 0) / np.maximum(1 - self.false, 1e-9)
+        share = true / np.maximum(total, 1)[:, None]
         best = np.argmax(share + 1e-9 * self.prior, axis=1)
         names = [self.languages[b] if text and LETTER.search(text) else "und" for b, text in zip(best.tolist(), texts)]
         score = np.clip(share[np.arange(n), best], 0, 1)
         return names, np.where([x == "und" for x in names], 0.0, score)
 
 
-def fit(docs: DataFrame, rate: float = RATE) -> Model:
-    """A model from (text, lang); rows with a null in either are left out. A language's n-grams are counted over all its
-    texts. Without any labelled text, everything is "und"."""
+def fit(docs: DataFrame, most: int = MOST_SLOTS) -> Model:
+    """A model from (text, lang); rows with a null in either are left out. All n-grams of a language's texts are in its filter; masks
+    are put together in tasks, and the driver gets a row a slot, 2**most for each MOST languages at most. Without any labelled
+    text, everything is "und"."""
     c.prepare(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
     counts = rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
-    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row a language
+    totals = {r["lang"]: (r["total"], r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("n")).collect()}  # a row a language
     languages = sorted(totals)
     if not languages:
-        return Model([], [np.zeros(2, np.uint8)], np.zeros(0), np.zeros(0), np.zeros(0))
-    least = F.broadcast(docs.sparkSession.createDataFrame([(x, rate * totals[x]) for x in languages], "lang string, least double"))
-    got = counts.join(least, "lang").where("n >= least").select("gram", "lang", "n").toArrow()  # languages / rate rows at most
-    gram, lang, n = (got.column(x).to_numpy() for x in ("gram", "lang", "n"))
+        return Model([], [np.zeros(2, np.uint8)], np.zeros(0), np.zeros(0))
+    bits = min(most, max(LEAST_SLOTS, int(np.ceil(np.log2(8 * sum(n for _, n in totals.values()))))))
     kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= min(MOST, len(languages)))
-    size = 1 << max(16, int(np.ceil(np.log2(8 * max(1, len(np.unique(gram)))))))
-    model = Model(languages, [np.zeros(size, kind) for _ in range(0, len(languages), MOST)], np.zeros(len(languages)), np.zeros(len(languages)), np.array([totals[x] for x in languages]) / max(1, sum(totals.values())))
-    shift = np.uint32(32 - int(np.log2(size)))
-    for j, name in enumerate(languages):
-        own = gram[lang == name].astype(np.uint32)
-        for f in FACTORS[:HASHES]:
-            np.bitwise_or.at(model.slots[j // MOST], (own ^ (own >> np.uint32(15))) * np.uint32(f) >> shift, kind(1 << j % MOST))
-        model.cover[j] = n[lang == name].sum() / totals[name]
+    got = counts.select("lang", "gram").mapInArrow(masked(languages, bits), "word int, slot int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    model = Model(languages, [np.zeros(1 << bits, kind) for _ in range(0, len(languages), MOST)], np.zeros(len(languages)), np.array([totals[x][0] for x in languages]) / max(1, sum(t for t, _ in totals.values())))
+    word, slot, mask = (got.column(x).to_numpy() for x in ("word", "slot", "mask"))
+    for k, slots in enumerate(model.slots):
+        slots[slot[word == k]] = mask[word == k].view(np.uint64).astype(kind)
     for j in range(len(languages)):
         model.false[j] = ((model.slots[j // MOST] >> kind(j % MOST)) & kind(1)).mean() ** HASHES
     return model
