@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     share = 2 * max_labelled / max(1, chosen.count())
     low = chosen.where(F.xxhash64("doc_id") < F.lit(int(-(2**63) + 2**64 * share))) if share < 0.9 else chosen
     chosen = low.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).checkpoint()
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("quality", F.col("doc_id").cast("long"), "text").mapInArrow(counted, "label int, doc_id long, terms array<int>, counts array<int>")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", F.col("doc_id").cast("long"), "text").mapInArrow(counted, "label int, doc_id long, terms array<int>, counts array<int>")
     # rows of terms are bounded in bytes, and so is the top-k sort; copies of an id don't pass the bound
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms", "counts")).limit(max_labelled).toArrow()
     y = np.asarray(got.column("label").to_pylist(), np.float64)
