@@ -33,7 +33,8 @@ MASKED = 4
 BATCH, SCORED, RATE = 8192, 1 << 14, 0.1
 #: Rows of one softmax over all classes, which then stays in a processor's cache.
 ROWS = 256
-SHARD_BYTES = 8 << 20
+#: Text of a shard, at least; and at least so many times the weights, of which each shard returns a copy.
+SHARD_BYTES, PER_WEIGHT = 8 << 20, 2
 #: Steps that a shard makes at least, by going through a small one repeatedly.
 STEPS = 60
 BLOCKS, FAN = 32, 64
@@ -346,6 +347,7 @@ def train(docs: DataFrame, held: Vocabulary, shard_bytes: int = SHARD_BYTES, ste
     spark, net, schema = docs.sparkSession, Network(held), "block int, shard int, fan int, weights array<float>, n double"
     rows = docs.where("text is not null").select("text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("hash"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shard_bytes = max(shard_bytes, PER_WEIGHT * net.flat().nbytes)
     rounds = 2 + int(np.log2(1 + total / (4 * shard_bytes)))
     shards = 1 + total // (rounds * shard_bytes)
     for r in range(rounds):
