@@ -143,12 +143,20 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, total: int, by: str
     bounds the table that is broadcast. The parts go by the hash of the column `by`, which tells a key's rows apart; without it
     by the order of big's rows, so big has to come from a scan or a checkpoint then.
     """
+    own, salt = (fresh(x, big, small) for x in ("__parts", "__salt"))
     parts = F.when(F.col("n") * SHARE > total, F.ceil(F.col("n") * SHARE / max(1, total))).otherwise(1).cast("int")
-    hot = F.broadcast(small.where(F.col("n") * SHARE > total).select(key, parts.alias("__parts")))
+    hot = F.broadcast(small.where(F.col("n") * SHARE > total).select(key, parts.alias(own)))
     dealt = F.monotonically_increasing_id() if by is None else F.xxhash64(by)
-    left = big.join(hot, key, "left").withColumn("__salt", F.pmod(dealt, F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
-    return left.join(right, [key, "__salt"], "left").drop("__salt")
+    left = big.join(hot, key, "left").withColumn(salt, F.pmod(dealt, F.coalesce(own, F.lit(1))).cast("int")).drop(own)
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return left.join(right, [key, salt], "left").drop(salt)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A name that no column of the frames has."""
+    while any(name in df.columns for df in frames):
+        name += "_"
+    return name
 
 
 # ---------------------------------------------------------------- components

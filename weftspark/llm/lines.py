@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from . import common as c
 
 RATIO, MIN_PAGES = 0.5, 4
-#: The same for the sources of documents. A source mixes unlike documents, so a line that one in a hundred texts repeats is boilerplate.
-SOURCE_RATIO, SOURCE_LEAST = 0.01, 4
+#: The same for the sources of documents. A source mixes unlike documents, so a line that one in a hundred texts repeats is boilerplate,
+#: if these texts are their own for the rest: over OWN of their characters are on lines that are less frequent.
+SOURCE_RATIO, SOURCE_LEAST, OWN = 0.01, 4, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -26,20 +27,42 @@ def text_of(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]*>", "\n")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, bad: array of line hashes) for pages (host, lines) with lines on over `ratio` of the host's pages, and on
-    at least `min_pages` of them. A line counts once a page; blank lines never count. With a column copy, pages of one host
-    and one value of it count as one page."""
-    distinct = F.array_distinct(F.transform("lines", lambda x: F.when(x != "", F.xxhash64(x))))
-    copy = [x for x in pages.columns if x == "copy"]
-    count = F.count_distinct("copy") if copy else F.count("*")
-    lines = pages.select("host", *copy, F.explode(distinct).alias("line")).where("line is not null").groupBy("host", "line").agg(count.alias("n"))
-    hosts = pages.groupBy("host").agg(count.alias("pages"))
-    found = lines.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") > ratio * F.col("pages"))
+def frequent(lines: DataFrame, hosts: DataFrame, total: int, ratio: float, min_pages: int) -> DataFrame:
+    """(host, bad: array of line hashes) for rows (host, line, and copy if copies count once): lines on over `ratio` of the host's
+    pages (hosts: host, pages, n as spread_join() takes it) and on at least `min_pages`."""
+    n = F.count_distinct("copy") if "copy" in lines.columns else F.count("*")
+    found = lines.groupBy("host", "line").agg(n.alias("on")).where(F.col("on") >= min_pages)
+    found = c.spread_join(found, hosts, "host", total, by="line").where(F.col("on") > ratio * F.col("pages"))
     return found.groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 
-def marked(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, own: float | None = None) -> DataFrame:
+    """(host, bad, n) for pages (host, lines): the hashes of lines on over `ratio` of the host's pages, and on at least `min_pages`
+    of them, and the number of its rows. A line counts once a page; blank lines never count. With a column copy, pages of one
+    host and one value of it count as one page.
+
+    With `own`, lines are counted twice, the second time only on pages with over that share of characters on lines that the first
+    count did not find. Near copies are made of each other's lines, so they make none of them boilerplate.
+    """
+    copy = [x for x in pages.columns if x == "copy"]
+    distinct = F.array_distinct(F.transform("lines", lambda x: F.when(x != "", F.xxhash64(x))))
+    lines = pages.select("host", *copy, F.explode(distinct).alias("line")).where("line is not null")
+    hosts = pages.groupBy("host").agg((F.count_distinct("copy") if copy else F.count("*")).alias("pages"), F.count("*").alias("n"))
+    total = pages.count()
+    bad = frequent(lines, hosts, total, ratio, min_pages).join(hosts.select("host", "n"), "host")
+    if own is None:
+        return bad
+    some = F.filter("lines", lambda x: x != "")
+    each = pages.select("host", *copy, F.transform(some, lambda x: F.xxhash64(x)).alias("line"), F.transform(some, F.length).alias("size"))
+    each = c.spread_join(each, bad, "host", total).where("bad is not null")
+    chars = lambda x: F.aggregate(x, F.lit(0), lambda t, y: t + y)
+    free = F.zip_with("line", "size", lambda x, y: F.when(F.array_contains("bad", x), 0).otherwise(y))
+    each = each.where(chars(free) > own * chars(F.col("size")))
+    again = each.select("host", *copy, F.explode(F.array_distinct(F.filter("line", lambda x: F.array_contains("bad", x)))).alias("line"))
+    return frequent(again, hosts, total, ratio, min_pages).join(hosts.select("host", "n"), "host")
+
+
+def marked(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, own: float | None = None, copies_once: bool = False) -> DataFrame:
     """pages with __line_list (trimmed) and __line_bad (hashes of its host's boilerplate; empty without any).
 
     A null host counts as the empty one, a null text as no line. Every row stays, repeated ones too; other columns are
@@ -49,8 +72,8 @@ def marked(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, m
     rows = pages.withColumn("__line_host", F.coalesce(host, F.lit("")))
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
     each = rows.select(F.col("__line_host").alias("host"), lines.alias("lines"))
-    bad = boilerplate(each.withColumn("copy", F.xxhash64("lines")) if copies_once else each, ratio, min_pages)
-    bad = bad.join(each.groupBy("host").agg(F.count("*").alias("n")), "host").select(F.col("host").alias("__line_host"), F.col("bad").alias("__line_bad"), "n")
+    bad = boilerplate(each.withColumn("copy", F.xxhash64("lines")) if copies_once else each, ratio, min_pages, own)
+    bad = bad.select(F.col("host").alias("__line_host"), F.col("bad").alias("__line_bad"), "n")
     rows = c.spread_join(rows, bad, "__line_host", pages.count()).withColumn("__line_list", lines)  # lines are cut anew rather than shuffled beside the text
     return rows.withColumn("__line_bad", F.coalesce("__line_bad", F.array().cast("array<bigint>")))
 
@@ -60,19 +83,18 @@ def kept(lines: str = "__line_list", bad: str = "__line_bad") -> Column:
     return F.filter(lines, lambda x: ~F.array_contains(F.col(bad), F.xxhash64(x)))
 
 
-def dedup_documents(docs: DataFrame, ratio: float = SOURCE_RATIO, min_pages: int = SOURCE_LEAST) -> DataFrame:
-    """documents with the boilerplate lines of their source taken out of text, and n_chars as of the new text.
+def dedup_documents(docs: DataFrame, ratio: float = SOURCE_RATIO, min_pages: int = SOURCE_LEAST, own: float = OWN) -> DataFrame:
+    """documents with the boilerplate lines of their source taken out of text, and n_chars, if there, as of the new text.
 
-    Copies of a text count once. A text that would lose over half of its characters is a near copy of others rather than a
-    text with boilerplate, and taking its lines out would lose them with all copies: it stays whole for the near-dedup stage.
-    So do a text without such a line and a null one.
+    Copies of a text count once, and texts that are mostly made of frequent lines (near copies) don't count at all, so their lines
+    stay for the near-dedup stage unless other texts have them. A text without such a line and a null one stay as they are.
     """
-    rows = marked(docs, F.col("source"), F.col("text"), ratio, min_pages, copies_once=True)
+    rows = marked(docs, F.col("source"), F.col("text"), ratio, min_pages, own, copies_once=True)
     keep = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__line_bad"), F.xxhash64(F.trim(x))))
-    size = lambda lines: F.length(F.array_join(lines, ""))
-    cut = (F.size("__line_bad") > 0) & (2 * size(kept()) >= size(F.col("__line_list")))
-    rows = rows.withColumn("text", F.when(cut, F.array_join(keep, "\n")).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+    rows = rows.withColumn("text", F.when(F.size("__line_bad") > 0, F.array_join(keep, "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return rows.select(docs.columns)
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
