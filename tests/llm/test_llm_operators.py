@@ -92,6 +92,24 @@ def test_bpe_chunks_are_stitched(spark, odd, reference_bpe):
     assert got == Counter((r["doc_id"], tuple(reference_bpe.encode_ordinary(r["text"] or ""))) for r in pairs(df))
 
 
+def test_bpe_cuts_long_texts_in_time_that_grows_with_their_length():
+    """Cutting and stitching alone: four times the text takes some four times as long."""
+    import time
+
+    import pyarrow as pa
+
+    took = []
+    for n in (1 << 21, 1 << 23):
+        text = "ab c" * (n // 4)
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["hash", "doc_id", "text"])
+        began = time.perf_counter()
+        parts = [(s, len(p)) for b in bpe.cut_up(32768, 512)([batch]) for s, p in zip(b.column("start").to_pylist(), b.column("part").to_pylist())]
+        bounds = [(s, np.arange(0, k + 1, 2)) for s, k in parts]
+        assert len(bpe.stitch(bounds, 8)) == n // 2 + 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.2
+
+
 def test_bpe_round_trip(spark, odd):
     got = Counter((r["doc_id"], bytes(r["bytes"])) for r in bpe.decode(bpe.encode(odd)).collect())
     assert got == Counter((r["doc_id"], (r["text"] or "").encode()) for r in pairs(odd))
@@ -205,11 +223,26 @@ def test_fm_index_decides(monkeypatch):
     """Windows that the backward search does not report stay."""
     size, doc, key = np.array([40, 40]), np.array([3, 9]), np.array([1, 1], np.uint64)
     code = np.array([*range(1, 41), *range(1, 31), *range(60, 70)])
-    s, e, first = fm.matches(code, size, doc, key)
+    (s, e, first), (cs, ce, cfirst) = fm.matches(code, size, doc, key, np.array([False, True]))
     assert (s.tolist(), e.tolist(), first.tolist()) == ([40], [40 + 18], [0, 0, 1])
+    assert (cs.tolist(), ce.tolist(), cfirst.tolist()) == ([40], [40 + 28], [0, 0, 1])  # copies find the piece's own document
     search = fm.Index.search
     monkeypatch.setattr(fm.Index, "search", lambda *a: (*search(*a)[:2], np.minimum(search(*a)[2], 12)))
-    assert not len(fm.matches(code, size, doc, key)[0])
+    assert not any(len(s) for s, _, _ in fm.matches(code, size, doc, key, np.array([True, True])))
+
+
+def test_fm_index_decides_on_copies_too(monkeypatch):
+    """With a search that finds nothing, nothing goes: neither near copies nor exact ones, in one chunk or in several."""
+    monkeypatch.setattr(fm.Index, "search", lambda self, text, end, most, below: (np.zeros(len(end), np.int64),) * 3)
+    text = " ".join(f"w{i}" for i in range(60)).encode()
+    tables = {k: [] for k in fm.CUT.replace(" binary", "").replace(" int", "").split(", ")}
+    for chunk, doc, more in ((0, 4, 1), (1, 9, 0)):
+        row = dict(range=0, chunk=chunk, id=np.int64(doc), key=np.uint64(5), at=np.int32(3), bytes=np.int32(len(text)), text=text, n_more=np.int32(more), more=np.full(more, 90, np.int32), other=np.ones(more, bool))
+        for k, v in row.items():
+            tables[k].append(v if isinstance(v, int | bytes) else v.tobytes())
+    import pyarrow as pa
+
+    assert fm.resolve(pa.table(tables)).num_rows == 0
 
 
 # ---------------------------------------------------------------- near-duplicates
@@ -282,9 +315,9 @@ def test_one_of_each(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices([f"w{k}" for k in range(500)], k=150)) for _ in range(20)]
     near = [t.replace(t.split()[70], "changed", 1) for t in texts[:10]]
-    df = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts + near + texts[:5])] + [(3, texts[3], "en", "s"), (None, "x", None, None), (None, "x", None, None)])
+    df = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts + near + texts[:5])] + [(3, texts[3], "en", "s"), (None, "x", None, None), (None, "x", None, None), (None, texts[5], None, None), (None, "y", None, None)])
     got = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in simhash.one_of_each(df).collect())
-    assert got == [(False, 0), (False, 0)] + [(True, i) for i in range(20)]
+    assert got == [(False, 0), (False, 0)] + [(True, i) for i in range(20)]  # of rows without an id, one of each text that no other row has
 
 
 def test_one_of_each_decides_by_row(spark):
@@ -309,7 +342,7 @@ def jaccard_groups(rows, similarity=0.8, n=5):
             return least
 
 
-@pytest.mark.parametrize("max_part", [2048, 5])
+@pytest.mark.parametrize("max_part", [2048, 5, 2])
 def test_near_duplicates_by_jaccard(spark, max_part):
     rng = random.Random(9)
     words = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
@@ -422,6 +455,16 @@ def test_hosts(spark):
     assert [r["h"] for r in got] == ["www.example.org", "a.b", "", "", "h"]
 
 
+def test_line_dedup_without_an_over_half_rule(spark):
+    """Boilerplate goes from texts that are little else as well; near copies keep their lines though they are many."""
+    own = lambda i: "\n".join(f"line {k} of document {i}" for k in range(4))
+    rows = [(i, own(i) + "\nAll rights reserved by the owner", "en", "a") for i in range(40)]
+    rows += [(100, "short\nAll rights reserved by the owner", "en", "a"), (101, "All rights reserved by the owner", "en", "a")]
+    rows += [(200 + i, own(500) + f"\nedit {i}", "en", "a") for i in range(150)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_documents(documents(spark, rows)).collect()}
+    assert got == {d: t.replace("\nAll rights reserved by the owner", "").replace("All rights reserved by the owner", "") for d, t, *_ in rows}
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
@@ -474,12 +517,21 @@ def test_language_held_out(spark, odd):
 def test_language_filter_has_no_false_negative():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 1 << 32, 5000, dtype=np.uint32)
-    model = language.Model(["a", "b"], [np.zeros(1 << 16, np.uint8)], np.zeros(2), np.ones(2), np.ones(2) / 2)
+    model = language.Model(["a", "b"], [np.zeros(1 << 16, np.uint8)], np.zeros(2), np.ones(2) / 2)
     for f in language.FACTORS[: language.HASHES]:
         np.bitwise_or.at(model.slots[0], (grams ^ (grams >> np.uint32(15))) * np.uint32(f) >> np.uint32(16), np.uint8(2))
     assert (model.masks(grams)[0] == 2).all()
 
 
+def test_full_language_filters_still_tell_languages_apart(spark):
+    """With far more n-grams than slots, most absent n-grams count as present, and are corrected for; none is left out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs.where(~language.held_out()), most=16)
+    assert len(model.slots[0]) == 1 << 16
+    got = language.predict(docs.where(language.held_out()), model)
+    assert got.where("lang = lang_pred").count() >= 0.95 * got.where("lang is not null").count()
+
+
 def test_more_languages_than_a_mask_holds(spark):
     """130 languages, each with letters of its own."""
     text = lambda k, rng: " ".join("".join(rng.choices([chr(0x4E00 + 50 * k + i) for i in range(5)], k=5)) for _ in range(60))
@@ -620,16 +672,18 @@ def test_pipeline_by_brute_force(spark, reference_bpe):
         by_source.setdefault(r["source"], []).append([x.strip(" ") for x in r["text"].split("\n")])
     for d, r in rows[1].items():
         pages = by_source[r["source"]]
-        n = Counter(x for page in pages for x in set(page) if x)
-        bad = {x for x, k in n.items() if k >= lines.MIN_PAGES and k > lines.RATIO * len(pages)}
+        pages = {tuple(page) for page in pages}
+        bad = {x for x, k in Counter(x for page in pages for x in set(page) if x).items() if k >= lines.SOURCE_LEAST and k > lines.SOURCE_RATIO * len(pages)}
+        own = [page for page in pages if sum(len(x) for x in page if x not in bad) > lines.OWN * sum(map(len, page))]
+        bad = {x for x, k in Counter(x for page in own for x in set(page) & bad).items() if k >= lines.SOURCE_LEAST and k > lines.SOURCE_RATIO * len(pages)}
         assert rows[2][d]["text"] == "\n".join(x for x in r["text"].split("\n") if x.strip(" ") not in bad)
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
     sets = {d: shingles(r["text"]) for d, r in rows[2].items()}
     near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     ids = sorted(rows[3])
-    assert not [(a, b) for i, a in enumerate(ids) for b in ids[:i] if near(a, b) >= 0.85]
+    assert not [(a, b) for i, a in enumerate(ids) for b in ids[:i] if near(a, b) >= 0.8]
     for d in rows[2].keys() - rows[3].keys():
-        assert max(near(d, o) for o in rows[2] if o != d) >= 0.6
+        assert max(near(d, o) for o in rows[2] if o != d) >= 0.8
     hit = {d for (d, _, n, _) in contaminated([(d, r["text"]) for d, r in rows[3].items()], [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]) if n}
     assert rows[4].keys() == rows[3].keys() - hit
     assert {d: r["ids"] for d, r in rows[5].items()} == {d: reference_bpe.encode_ordinary(r["text"]) for d, r in rows[4].items()}

@@ -5,7 +5,8 @@ carry-save counters add up 64 distances at a time, and a query leaves a block on
 A task returns a spanning forest of the links it finds, never all pairs; star contraction joins the forests.
 
 Near-duplicates by Jaccard similarity take these groups, at a wider radius, as proposals only: the sets of shingles of each
-group's texts meet in a task (a large group's in pairs of parts), which joins those that are similar indeed.
+group's texts meet in a task, which joins those that are similar indeed. A large group is dealt in parts, each with the group's
+first text; only texts that this one does not reach within their part are then compared with the other parts.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ SEED = 42
 MAX_KEY = 1 << 16
 #: Rows that a task holds, besides those of one key.
 HELD = 1 << 16
-#: Texts of one proposed group whose shingles are compared in one task; more are dealt out as pairs of parts.
-MAX_PART = 2048
-#: Sets of so few shingles are also proposed by their least hashes, as fingerprints say little about them.
+#: Texts of one proposed group whose shingles are compared in one task; a larger group is dealt out in parts.
+MAX_PART = 512
+#: Sets of so few shingles are also proposed by their rarest shingles, as fingerprints say little about them.
 FEW = 64
 LANES = np.uint64(0x0101010101010101)
 
@@ -269,20 +270,20 @@ def sets_of(column: pa.Array, shingle: int):
         yield lo, hi, *distinct(*shingle_hashes([plain[a:b] for a, b in zip(at, at[1:])], shingle))
 
 
-def sketched(shingle: int, words: int, similarity: float):
+def sketched(shingle: int, words: int):
     def run(batches):
         for batch in batches:
             for lo, hi, hashes, first in sets_of(batch.column(2), shingle):
                 size = np.diff(first)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(c.mix(hashes), dtype=np.uint64)))
                 node = c.mix(total[first[1:]] - total[first[:-1]] + size.astype(np.uint64))
-                prefix = np.where((size > 0) & (size <= FEW), size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, 0)
-                edge = np.concatenate(([0], np.cumsum(prefix)))
-                least = hashes[np.repeat(first[:-1] - edge[:-1], prefix) + np.arange(edge[-1])]
+                own = np.where(size <= FEW, size, 0)
+                edge = np.concatenate(([0], np.cumsum(own)))
+                few = hashes[np.repeat(first[:-1] - edge[:-1], own) + np.arange(edge[-1])]
                 cols = [majority(c.mix(hashes + np.uint64(j)) if j else hashes, first).view(np.int64) for j in range(words)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(node.view(np.int64)), *map(pa.array, cols), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(least.view(np.int64)))],
-                    names=["key", "doc_id", "node", *(f"f{j}" for j in range(words)), "least"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(node.view(np.int64)), *map(pa.array, cols), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(few.view(np.int64)))],
+                    names=["key", "doc_id", "node", *(f"f{j}" for j in range(words)), "few"],
                 )
 
     return run
@@ -298,8 +299,9 @@ def shingled(shingle: int):
     return run
 
 
-def alike(hashes: np.ndarray, first: np.ndarray, similarity: float) -> np.ndarray:
-    """For rows of distinct hashes, the first row that each reaches by links of at least this Jaccard similarity."""
+def alike(hashes: np.ndarray, first: np.ndarray, similarity: float, rows_asked: np.ndarray | None = None) -> np.ndarray:
+    """For rows of distinct hashes, the first row that each reaches by links of at least this Jaccard similarity. With rows_asked,
+    only their links count."""
     n, size = len(first) - 1, np.diff(first)
     label, asked = np.arange(n), np.zeros(n, bool)
     _, ids = np.unique(hashes, return_inverse=True)
@@ -314,6 +316,10 @@ def alike(hashes: np.ndarray, first: np.ndarray, similarity: float) -> np.ndarra
         near = np.flatnonzero(common >= similarity * (size[i] + size - common) - 1e-9)
         c.merge_labels(label, np.full(len(near), i), near)
 
+    if rows_asked is not None:
+        for i in rows_asked.tolist():
+            ask(i)
+        return label
     for i in range(n):
         if label[i] == i:
             ask(i)
@@ -324,17 +330,86 @@ def alike(hashes: np.ndarray, first: np.ndarray, similarity: float) -> np.ndarra
     return label
 
 
+def distinct_sets(table: pa.Table, *flags: str) -> tuple:
+    """(nodes in order, hashes, first of each and the end, each flag's any) of the rows of one group, a node once."""
+    every = np.asarray(table.column("node"))
+    node, at, inverse = np.unique(every, return_index=True, return_inverse=True)
+    lists = table.column("hashes").combine_chunks().take(pa.array(at))
+    marks = [np.bincount(inverse, np.asarray(table.column(x)), len(node)) > 0 for x in flags]
+    return node, np.asarray(lists.flatten()), np.asarray(lists.offsets).astype(np.int64), *marks
+
+
+def forest_of(node: np.ndarray, label: np.ndarray) -> pa.Table:
+    child = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"a": node[child], "b": node[label[child]]})
+
+
 def confirmed(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        node, at = np.unique(np.asarray(table.column("node")), return_index=True)
-        lists = table.column("hashes").combine_chunks().take(pa.array(at))
-        label = alike(np.asarray(lists.flatten()), np.asarray(lists.offsets).astype(np.int64), similarity)
-        child = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table({"a": node[child], "b": node[label[child]]})
+        node, hashes, first = distinct_sets(table)
+        return forest_of(node, alike(hashes, first, similarity))
+
+    return run
+
+
+def confirmed_by_part(similarity: float):
+    """(node, root, left) of one part of a large group, which has the group's first text as well: root is the first that a node
+    reaches in its part, left those that don't reach the first text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, hashes, first = distinct_sets(table)
+        label = alike(hashes, first, similarity)
+        lead = int(np.searchsorted(node, table.column("block")[0].as_py()))
+        rest = np.flatnonzero(np.arange(len(node)) != lead)
+        return pa.table({"block": pa.repeat(table.column("block")[0], len(rest)), "node": node[rest], "root": node[label[rest]], "left": label[rest] != label[lead]})
+
+    return run
+
+
+def confirmed_across(similarity: float):
+    """The links between a part of a large group and some of the texts left."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, hashes, first, asks = distinct_sets(table, "asks")
+        return forest_of(node, alike(hashes, first, similarity, np.flatnonzero(asks)))
 
     return run
 
 
+def across_parts(sets: DataFrame, similarity: float, max_part: int) -> DataFrame:
+    """(a, b): links that join what is alike in groups over max_part, for sets (node, block, parts, hashes), block being the group's
+    least node. A group of copies of one text costs its own size; only texts that don't reach the first one are sent to all parts."""
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    lead = sets.where("node = block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = sets.where("node <> block").withColumn("part", part).unionByName(lead)
+    local = rows.groupBy("block", "part").applyInArrow(confirmed_by_part(similarity), "block long, node long, root long, left boolean").checkpoint()
+    left = local.where("left").select("node", "block")
+    asking = left.groupBy("block").agg(F.ceil(F.count("*") / max_part).cast("int").alias("turns"))
+    every = sets.join(asking, "block").withColumn("part", part)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = every.withColumn("turn", upto("turns")).withColumn("asks", F.lit(0)).select("block", "part", "turn", "node", "hashes", "asks")
+    asks = every.join(left.select("node"), "node", "left_semi").withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).cast("int")).withColumn("part", upto("parts"))
+    cells = asked.unionByName(asks.withColumn("asks", F.lit(1)).select(asked.columns))
+    cross = cells.groupBy("block", "part", "turn").applyInArrow(confirmed_across(similarity), "a long, b long")
+    return local.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(cross)
+
+
+def rarest(prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): proposals for sets of few shingles (node, few: array of hashes). Two sets of the similarity share one of the first
+    size - ceil(similarity * size) + 1 shingles of each, in any order that is common to all; in that of their numbers, rarest first,
+    a passage that many texts have proposes only texts that are little else. Each is linked to the least node of a shingle."""
+    sets = prints.where(F.size("few") > 0).select("node", "few").dropDuplicates(["node"]).checkpoint()
+    total = sets.agg(F.sum(F.size("few"))).first()[0] or 0
+    each = sets.select("node", F.size("few").alias("size"), F.explode("few").alias("hash"))
+    number = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").withColumn("on", F.col("n"))
+    shared = c.spread_join(each, number, "hash", total, by="node").where("on is not null")
+    shared = shared.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("on", "hash"))).alias("s"))  # FEW at most
+    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("s"))  # those of one text come first
+    keys = shared.select("node", F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("node", "x.hash")
+    lead = keys.groupBy("hash").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return c.spread_join(keys, lead, "hash", total, by="node").where("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A row of documents by its id and text."""
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
@@ -345,7 +420,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     with its smallest doc_id and a number of its own (ids may repeat, so two groups can have one smallest id). A link is a
     Jaccard similarity of at least `similarity` of two texts' sets of word shingles.
 
-    Fingerprints of the distinct shingles propose groups, and sets of few shingles also by a common one of their least; each
+    Fingerprints of the distinct shingles propose groups, and for sets of few shingles also a common one of their rarest; each
     group's sets are then compared (by 64-bit hashes of shingles), so no group has a text without such a link. A link at the
     threshold is missed with probability 0.001, one over it still less, one of few shingles never. Equal sets always meet.
     Null and empty texts are one group. Null ids are a component's id only where it has no other.
@@ -353,22 +428,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     c.prepare(docs.sparkSession)
     docs = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     cols = [f"f{j}" for j in range(words)]
-    prints = docs.mapInArrow(sketched(shingle, words, similarity), "key long, doc_id long, node long, " + "".join(f"{x} long, " for x in cols) + "least array<long>").checkpoint()
+    prints = docs.mapInArrow(sketched(shingle, words), "key long, doc_id long, node long, " + "".join(f"{x} long, " for x in cols) + "few array<long>").checkpoint()
     nodes = prints.groupBy("node", *cols).agg(F.min("key").alias("key"))
     total = prints.count()
     radius, tables = plan_for(similarity, words, total)
-    few = prints.select("node", F.explode("least").alias("hash")).distinct()
-    lead = few.groupBy("hash").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("hash", "b")
-    proposed = c.components(links(nodes, cols, radius, tables).union(few.join(lead, "hash").where("node <> b").select("node", "b")))
+    proposed = c.components(links(nodes, cols, radius, tables).union(rarest(prints, similarity)))
     proposed = proposed.select("node", F.col("component").alias("block")).checkpoint()
-    parts = proposed.groupBy("block").agg(F.ceil(F.count("*") / max_part).cast("int").alias("parts"))
-    rows = nodes.select("node", "key").join(proposed, "node").join(parts, "block").select("key", "node", "block", "parts")
-    rows = docs.select("key", "text").join(rows, "key").select("text", "node", "block", "parts")
-    rows = rows.mapInArrow(shingled(shingle), "node long, block long, parts int, hashes array<long>")
-    part, other = F.pmod(F.xxhash64("node"), F.col("parts")), F.col("other")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.when(F.col("parts") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least(part, other), F.greatest(part, other))).alias("block"), "node", "hashes")
-    found = c.components(rows.groupBy("block").applyInArrow(confirmed(similarity), "a long, b long"))
+    parts = proposed.groupBy("block").agg(F.ceil(F.count("*") / max_part).cast("int").alias("parts"), F.count("*").alias("n"))
+    rows = c.spread_join(proposed, parts, "block", total, by="node")
+    rows = docs.select("key", "text").join(nodes.select("node", "key").join(rows, "node"), "key").select("text", "node", "block", "parts")
+    sets = rows.mapInArrow(shingled(shingle), "node long, block long, parts int, hashes array<long>")
+    if not parts.where("parts > 1").isEmpty():
+        sets = sets.checkpoint()
+        found = sets.where("parts = 1").groupBy("block").applyInArrow(confirmed(similarity), "a long, b long").union(across_parts(sets.where("parts > 1"), similarity, max_part))
+    else:
+        found = sets.groupBy("block").applyInArrow(confirmed(similarity), "a long, b long")
+    found = c.components(found)
     copies = prints.groupBy("node").agg(F.count("*").alias("n")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = c.spread_join(prints.select("key", "doc_id", "node"), copies, "node", total).select("key", "doc_id", "component").checkpoint()
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
@@ -377,12 +452,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays, of rows with that id one, and of
-    equal rows one. Rows of one id with unlike texts are in several groups, so each stays. Rows with a null id stay, as
-    nothing tells them apart."""
-    found = near_duplicates(docs, similarity).where("doc_id is not null")
-    keep = found.groupBy("component_id", "component").agg(F.min(F.struct("doc_id", "key"))["key"].alias("__row_key")).select("__row_key").distinct()
-    rows = docs.where("doc_id is not null").withColumn("__row_key", row_key())
-    return rows.join(keep, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(docs.columns).union(docs.where("doc_id is null"))
+    equal rows one. A null id comes after all others. Rows of one id with unlike texts are in several groups, so each stays."""
+    found = near_duplicates(docs, similarity)
+    keep = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("__row_key")).select("__row_key")
+    rows = docs.withColumn("__row_key", row_key())
+    return rows.join(keep, "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
