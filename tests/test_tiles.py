@@ -187,3 +187,42 @@ def test_large_and_small_groups_are_ranked_alike(spark, monkeypatch):
     one = [plain(f) for f in steps]
     monkeypatch.setattr(rk, "SMALL", 3)
     assert [plain(f) for f in steps] == one
+
+
+def test_ten_thousand_permutations(spark):
+    """As many draws as a run's own report has, against numpy."""
+    rng, n, draws = np.random.default_rng(11), 11, 10_000
+    i, j = np.triu_indices(n, 1)
+    scores = lambda x: (x - x.mean()) / x.std()
+    y = square(n, rng)
+    z, other = scores(y[i, j]), scores(square(n, rng)[i, j])
+    e = scores(rng.normal(size=len(i)))
+    e = scores(e - (e @ other) / (other @ other) * other)
+    df = spark.createDataFrame([("g", int(a), int(b), float(p), float(q), float(r)) for a, b, p, q, r in zip(i, j, e, z, other)], "g string, i int, j int, e double, y double, n0 double")
+    items = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("item")).withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    plan = items.withColumn("source", F.pmod(F.col("item") - pm.seeded_shift(5, F.col("perm"), F.lit(0), F.lit(n), identity=True), F.lit(n)))
+    got = {r["perm"]: r["stat"] for r in pm.null_statistics(df, plan, "g", "e", "y", ["n0"]).collect()}
+    full = np.zeros((n, n))
+    full[i, j] = full[j, i] = z
+    by_shift = []
+    for s in range(n):
+        source = (np.arange(n) - s) % n
+        moved = full[source][:, source][i, j]
+        left = moved - (moved @ other) / (other @ other) * other
+        by_shift.append(np.mean(e * left) / np.sqrt(np.mean(left * left)))
+    shifts = {r["perm"]: r["s"] for r in plan.where("item = 0").select("perm", F.pmod(-F.col("source"), F.lit(n)).alias("s")).collect()}
+    assert len(got) == draws and all(abs(got[p] - by_shift[shifts[p]]) < 1e-9 for p in got)
+    nulls = spark.createDataFrame([("t", v) for v in got.values()], "t string, stat double")
+    one = pm.null_summary(nulls, spark.createDataFrame([("t", float(by_shift[3]))], "t string, observed double"), "t").first()
+    least, most = ((1 + sum(v >= by_shift[3] + gap for v in got.values())) / (draws + 1) for gap in (1e-9, -1e-9))
+    assert one["n"] == draws and least <= one["p"] <= most
+
+
+def test_hundred_thousand_draws(spark):
+    rng = random.Random(9)
+    v = {(r, p): rng.gauss(0, 1) for r in range(3) for p in range(1000)}
+    nulls = spark.createDataFrame([(r, p, x) for (r, p), x in v.items()], "run long, perm long, stat double")
+    got = {r["draw"]: r["mean"] for r in inf.crossrun_null(nulls, 100_000, pm.seeded_shift(4, F.col("draw"), F.col("run"), F.col("n"), identity=True)).collect()}
+    assert len(got) == 100_000
+    spread = np.std(list(got.values()))
+    assert abs(np.mean(list(got.values())) - np.mean([np.mean([v[r, p] for p in range(1000)]) for r in range(3)])) < 0.01 and 0.5 < spread < 0.65

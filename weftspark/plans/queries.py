@@ -17,6 +17,7 @@ from ..operators import profile as pf
 from ..operators import ranks as rk
 from ..operators import reliability as rel
 from ..operators import segments as sg
+from . import geometry as gm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,6 +125,47 @@ def pca_euclidean(spark, sf):
     return rounded(pr.principal_distances(read(spark, sf, "embeddings"), "label", "vec_id", "embedding", 16), "d")
 
 
+def features(spark, sf) -> DataFrame:
+    """Features of a recording's rows: labels as subjects, 8 bins of 8 channels, their means and deviations over bins."""
+    rows = read(spark, sf, "embeddings").withColumn("relative", f.bins(f.doubles(F.col("embedding")), 8)).withColumnsRenamed({"label": "subject", "vec_id": "row"})
+    channel = lambda fold: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: fold(F.transform("relative", lambda b: F.get(b, c))))
+    mean = lambda v: f.total(v) / F.size(v)
+    spread = lambda v: F.sqrt(f.total(F.transform(f.centered(v), lambda x: x * x)) / F.size(v))
+    return rows.select("subject", "row", "relative", channel(mean).alias("row_mean"), channel(spread).alias("row_std"))
+
+
+@query(f"""WITH {EMB}, k AS (SELECT label, vec_id, v, unnest(range(0, 64)) AS k FROM e), x AS (SELECT label, vec_id, k, v[k + 1] AS x FROM k),
+m AS (SELECT label, vec_id, k % 8 AS k, avg(x) AS mean, stddev_pop(x) AS sd FROM x GROUP BY 1, 2, 3),
+u AS (SELECT 'flat' AS name, * FROM x UNION ALL SELECT 'row_mean', label, vec_id, k, mean FROM m UNION ALL SELECT 'row_std', label, vec_id, k, sd FROM m),
+z AS (SELECT name, label, vec_id, k, (x - avg(x) OVER w) / coalesce(nullif(stddev_pop(x) OVER w, 0), 1) AS z FROM u WINDOW w AS (PARTITION BY name, label, k)),
+s AS (SELECT name, label, vec_id, 0 AS bin, list(z ORDER BY k) AS v FROM z GROUP BY 1, 2, 3 UNION ALL SELECT 'bin', label, vec_id, k // 8, list(z ORDER BY k) FROM z WHERE name = 'flat' GROUP BY 2, 3, 4),
+d AS (SELECT a.name, a.label, a.vec_id AS i, b.vec_id AS j, avg(1 - list_cosine_similarity({centered('a.v')}, {centered('b.v')})) AS d FROM s a JOIN s b ON a.name = b.name AND a.label = b.label AND a.bin = b.bin AND a.vec_id < b.vec_id GROUP BY 1, 2, 3, 4)
+SELECT CASE name WHEN 'bin' THEN 'binwise_correlation_mean' ELSE name || '_correlation' END AS variant, label AS subject, i, j, {r('d')} AS d FROM d""")
+def representation_variants(spark, sf):
+    """The representations of a row side by side; the principal components' own query is pca_euclidean."""
+    return rounded(gm.variants(features(spark, sf), ()), "d")
+
+
+def spectrum(texts: list[str]):
+    """A stand-in for a model: the shares of vowels, of other ASCII letters, and of the rest."""
+    import numpy as np
+
+    out = np.zeros((len(texts), 3), np.float32)
+    for row, text in zip(out, texts):
+        vowels, letters = sum(text.count(c) for c in "aeiou"), sum("a" <= c <= "z" for c in text)
+        row[:] = np.array([vowels, letters - vowels, len(text) - letters]) / max(1, len(text))
+    return out
+
+
+@query("""WITH t AS (SELECT conv_id, turn, 'query: ' || coalesce(text, '') AS t FROM conversations),
+c AS (SELECT *, length(t) - length(translate(t, 'aeiou', '')) AS vowels, length(t) - length(translate(t, 'abcdefghijklmnopqrstuvwxyz', '')) AS letters FROM t)
+SELECT conv_id, turn, round(vowels / length(t), 5) + 0.0 AS vowels, round((letters - vowels) / length(t), 5) + 0.0 AS consonants, round((length(t) - letters) / length(t), 5) + 0.0 AS other FROM c""")
+def batched_encoding(spark, sf):
+    """Texts with a prefix through an encoder, in batches; the encoder stands in for a model that counts the same characters."""
+    got = po.embedded(read(spark, sf, "conversations"), F.col("text"), lambda: spectrum, "query: ")
+    return got.select("conv_id", "turn", *((F.round(F.col("vector")[k].cast("double"), 5) + 0.0).alias(name) for k, name in enumerate(("vowels", "consonants", "other"))))
+
+
 # ---------------------------------------------------------------- ranks and association
 
 
@@ -690,6 +732,30 @@ def fallback_keys(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", f.first_of(keys, ["mean_rho", "mean"], F.lit("none")).alias("found"))
 
 
+@query("SELECT event_id, greatest(0, least(1000, CAST(round_even(value * 4.5, 0) AS BIGINT))) AS sample FROM events")
+def sample_indices(spark, sf):
+    """Seconds as sample numbers, half to even, within the recording."""
+    return read(spark, sf, "events").select("event_id", f.sample_index(F.col("value"), 4.5, 1000).alias("sample"))
+
+
+@query("""WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 7 > 1 THEN 'CH' || lpad(CAST(p_size AS VARCHAR), 2, '0') WHEN p_partkey % 7 = 1 THEN '' END AS marker FROM part)
+SELECT p_partkey, coalesce(marker, '<none>') AS marker, CASE WHEN coalesce(marker, '') = '' THEN 0 ELSE CAST(substr(marker, 3) AS INTEGER) END AS chapter FROM m""")
+def chapter_markers(spark, sf):
+    """Markers made of numbers and read again; none and an empty one are chapter 0."""
+    k = F.col("p_partkey") % 7
+    marker = F.when(k > 1, f.chapter_marker(F.col("p_size"))).when(k == 1, F.lit(""))
+    return read(spark, sf, "part").select("p_partkey", F.coalesce(marker, F.lit("<none>")).alias("marker"), f.chapter_number(marker).alias("chapter"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' ' || o_custkey || ' ' WHEN 1 THEN translate(CAST(o_custkey AS VARCHAR), '0123456789', '０１２３４５６７８９') WHEN 2 THEN o_custkey || '.0' END AS t FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN TRY_CAST(translate(trim(t), '０１２３４５６７８９', '0123456789') AS BIGINT) END AS number FROM t""")
+def whole_numbers(spark, sf):
+    """Digits of any script as numbers; other texts have none."""
+    key, k = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.concat(F.lit(" "), key, F.lit(" "))).when(k == 1, F.translate(key, "0123456789", "０１２３４５６７８９")).when(k == 2, F.concat(key, F.lit(".0")))
+    return read(spark, sf, "orders").select("o_orderkey", f.whole_number(text).alias("number"))
+
+
 @query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_id < 256 GROUP BY 1")
 def head_seconds(spark, sf):
     return pf.head(read(spark, sf, "events"), "event_id", 128.0, 2.0).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
