@@ -147,23 +147,23 @@ def representation_variants(spark, sf):
 
 
 def spectrum(texts: list[str]):
-    """A stand-in for a model: the shares of vowels, of other ASCII letters, and of the rest."""
+    """A stand-in for a model: the numbers of vowels, of other ASCII letters, and of the rest."""
     import numpy as np
 
     out = np.zeros((len(texts), 3), np.float32)
     for row, text in zip(out, texts):
         vowels, letters = sum(text.count(c) for c in "aeiou"), sum("a" <= c <= "z" for c in text)
-        row[:] = np.array([vowels, letters - vowels, len(text) - letters]) / max(1, len(text))
+        row[:] = vowels, letters - vowels, len(text) - letters
     return out
 
 
 @query("""WITH t AS (SELECT conv_id, turn, 'query: ' || coalesce(text, '') AS t FROM conversations),
 c AS (SELECT *, length(t) - length(translate(t, 'aeiou', '')) AS vowels, length(t) - length(translate(t, 'abcdefghijklmnopqrstuvwxyz', '')) AS letters FROM t)
-SELECT conv_id, turn, round(vowels / length(t), 5) + 0.0 AS vowels, round((letters - vowels) / length(t), 5) + 0.0 AS consonants, round((length(t) - letters) / length(t), 5) + 0.0 AS other FROM c""")
+SELECT conv_id, turn, vowels, letters - vowels AS consonants, length(t) - letters AS other FROM c""")
 def batched_encoding(spark, sf):
     """Texts with a prefix through an encoder, in batches; the encoder stands in for a model that counts the same characters."""
     got = po.embedded(read(spark, sf, "conversations"), F.col("text"), lambda: spectrum, "query: ")
-    return got.select("conv_id", "turn", *((F.round(F.col("vector")[k].cast("double"), 5) + 0.0).alias(name) for k, name in enumerate(("vowels", "consonants", "other"))))
+    return got.select("conv_id", "turn", *(F.col("vector")[k].cast("long").alias(name) for k, name in enumerate(("vowels", "consonants", "other"))))
 
 
 # ---------------------------------------------------------------- ranks and association
