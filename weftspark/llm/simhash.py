@@ -125,7 +125,7 @@ def planes_of(f: np.ndarray) -> np.ndarray:
     whole = np.zeros(64 * n, np.uint64)
     whole[: len(f)] = f
     bits = np.unpackbits(whole.view(np.uint8).reshape(n, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64).reshape(n, 64)
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64).reshape(n, 64)
 
 
 def near(f: list[np.ndarray], planes: list[np.ndarray], query: np.ndarray, block: np.ndarray, lanes: np.ndarray, radius: int):
