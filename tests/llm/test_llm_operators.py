@@ -643,6 +643,25 @@ def test_empty_tables(spark, odd):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_output_names_as_input_columns(spark):
+    """Documents may have columns of any name, those that operators give or use themselves among them."""
+    from weftspark.llm import collocations, tokens
+
+    names = "near only_left only_right cells fingerprint edited_fingerprint component component_id node block parts part few hash hashes n n_words n_hit n_items n_removed n_spans spans kept_sha256 n_tokens n_bytes ids bounds start rows deal over_limit lang_pred score quality predicted held_out word phrase rank vector terms counts page_id host line lines bad copy pages size __parts __salt".split()
+    df = spark.createDataFrame([(i, f"Menu\nsome words of text number {i % 3} for all", "en", "s", 40) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = df.withColumns({x: F.lit("x") for x in names})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    items = df.select(F.col("doc_id").alias("item_id"), "text", F.lit("x").alias("n"), F.lit("x").alias("key"))
+    assert simhash.one_of_each(wide).count() == 3 and simhash.groups(simhash.fingerprints(wide)).count() == 6
+    assert lines.dedup_documents(wide).columns == wide.columns and bpe.encode(wide).count() == tokens.count(wide).count() == 6
+    assert quality.score(wide, quality.fit(wide, labels), "__quality").count() == language.predict(wide, language.fit(wide)).count() == 6
+    assert fm.repeated_words(wide).count() == suffix.repeated_bytes(wide).count() == fingerprint.edited_neighbours(wide).count() == 6
+    assert decontaminate.contamination(wide, items).count() == 6 and decontaminate.clean(wide, items).columns == wide.columns
+    assert collocations.collocations(wide, least=2).count() > 0 and lm.score(wide, lm.train(wide, lm.vocabulary(wide))).count() == 6
+    versions = wide.select("*", F.col("text").alias("left"), F.col("text").alias("right"))
+    assert {r["near"] for r in fingerprint.compare(versions).collect()} == {1.0}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     import duckdb

@@ -171,12 +171,13 @@ def compared(batches):
 
 
 def compare(versions: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
-    """For two texts a row: (near, only_left, only_right: array<long> of paragraph digests, cells), after the other columns.
+    """For two texts a row: (near, only_left, only_right: array<long> of paragraph digests, cells), after the other columns, in place
+    of those of these names.
 
     Null texts count as empty; two empty ones have near = 1.
     """
     c.prepare(versions.sparkSession)
-    rest = [x for x in versions.columns if x not in (left, right)]
+    rest = [x for x in versions.columns if x not in (left, right, "near", "only_left", "only_right", "cells")]
     rows = versions.select(left, right, *rest)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
     return rows.mapInArrow(compared, schema + ", " * bool(schema) + "near double, only_left array<long>, only_right array<long>, cells long")
