@@ -23,9 +23,9 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A candidate goes if a longer one that holds it has at least this share of its occurrences, in percent.
 SHARE = 50
 #: Frequent phrases of a level that are broadcast, 8 bytes each.
-MOST = 1 << 22
+MOST = 1 << 21
 #: Distinct phrases that a task holds before it sends its counts on.
-HELD = 1 << 19
+HELD = 1 << 17
 BREAK, GAP = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP[[0x20, 0x09]] = True
@@ -125,27 +125,32 @@ def counted(k: int, seed: int, known: Callable[[], np.ndarray | None]):
 
 
 def level(rows: DataFrame, k: int, seed: int, known: np.ndarray | None) -> DataFrame:
-    """(lang, w1 .. wk, n) of rows (lang, text); for k = 1 also the word, and `other`, whether a second word has the same hash."""
+    """(lang, w1 .. wk, n) of rows (lang, text); for k = 1 also the word."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
     cols = [f"w{i + 1}" for i in range(k)]
     found = rows.mapInArrow(counted(k, seed, lambda: shared.value), "lang string, " + ", ".join(f"{x} long" for x in cols) + ", word string" * (k == 1) + ", n long")
-    if k > 1:
-        return found.groupBy("lang", *cols).agg(F.sum("n").alias("n"))
-    found = found.groupBy("lang", "w1").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.min(F.xxhash64("word")).alias("one"), F.max(F.xxhash64("word")).alias("two"))
-    return found.select("lang", "w1", "n", "word", (F.col("one") != F.col("two")).alias("other"))
+    return found.groupBy("lang", *cols, *["word"] * (k == 1)).agg(F.sum("n").alias("n"))
+
+
+def coded(k: int):
+    """The codes of phrases (lang, w1 .. wk), as counted() makes them."""
+
+    def run(batches):
+        for batch in batches:
+            lang = batch.column(0).dictionary_encode()
+            code = np.array([language_code(x) for x in lang.dictionary.to_pylist()], np.uint64)[np.asarray(lang.indices)]
+            out = reduce(together, [code + np.asarray(x).view(np.uint64) for x in batch.columns[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["code"])
+
+    return run
 
 
 def codes_of(table: DataFrame, k: int, most: int) -> np.ndarray | None:
     """Sorted codes of a level's phrases; None if they are over the bound."""
     if table.count() > most:
         return None
-    got = table.select("lang", *(f"w{i + 1}" for i in range(k))).toArrow()  # at most `most` rows
-    lang = got.column("lang").combine_chunks().dictionary_encode() if got.num_rows else None
-    if lang is None:
-        return np.zeros(0, np.uint64)
-    code = np.array([language_code(x) for x in lang.dictionary.to_pylist()], np.uint64)[lang.indices.to_numpy()]
-    word = [code + got.column(f"w{i + 1}").to_numpy().view(np.uint64) for i in range(k)]
-    return np.sort(reduce(together, word))
+    codes = table.select("lang", *(f"w{i + 1}" for i in range(k))).mapInArrow(coded(k), "code long").toArrow()  # at most `most` numbers
+    return np.sort(codes.column("code").to_numpy().view(np.uint64))
 
 
 def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST, text_col: str = "text", lang_col: str = "lang") -> tuple[list[DataFrame], DataFrame]:
@@ -156,8 +161,8 @@ def levels(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: in
     c.prepare(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for seed in range(1, 9):
-        every = level(rows, 1, seed, None).withColumn("word", F.when(F.col("n") >= least, F.col("word"))).checkpoint()
-        if every.where("other").isEmpty():
+        every = level(rows, 1, seed, None).select("lang", "w1", "n", F.when(F.col("n") >= least, F.col("word")).alias("word")).checkpoint()
+        if every.groupBy("lang", "w1").count().where("count > 1").isEmpty():
             break
     out = [every.where(F.col("n") >= least).select("lang", "w1", "n", "word")]
     for k in range(2, longest + 1):
@@ -198,13 +203,12 @@ def candidates(tables: list[DataFrame], totals: DataFrame, share: int = SHARE) -
 
 
 def ranked(found: DataFrame, top: int = TOP) -> DataFrame:
-    """found with rank, from 1, for the first `top` of each language. Languages are dealt in parts first, so a task gets `top` rows of a part at most."""
+    """found with rank, from 1, for the first `top` of each language. Languages are dealt in parts first, so the last task of one gets 8 times `top` rows at most."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
-    first = found.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
-    last = first.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-    return last.where(F.col("rank") <= top)
+    for parts in (int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8, 1):
+        part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    return found
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SHARE, top: int = TOP, most: int = MOST) -> DataFrame:
