@@ -15,7 +15,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on over one in a hundred of a source's texts go from the texts."""
+    """Lines on over one in a hundred of a source's texts go, if these texts are their own for the rest."""
     return lines.dedup_documents(docs)
 
 
@@ -31,7 +31,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each text."""
-    return bpe.digests(bpe.encode(docs), keep=True)
+    return bpe.encode(docs, digests_only=False)
 
 
 STAGES = [

@@ -265,12 +265,33 @@ def encode_rows(path: str, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray
     return ids, edge[np.searchsorted(bounds, rows)]
 
 
-def encoded(path: str):
+IDS, DIGESTS = "doc_id long, ids array<int>", "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digest(words: Vocabulary, batch: pa.RecordBatch, keep: bool) -> pa.RecordBatch:
+    """Of rows (doc_id, ids): DIGESTS, and if `keep`, the ids."""
+    column = batch.column(1)
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    count, one, two = [], [], []
+    for lo, hi, _, _ in c.slices(np.zeros(0, np.uint8), off - off[0], 1 << 19):
+        ids = np.asarray(column.values)[off[lo] : off[hi]]
+        raw, at = words.decode(ids)
+        at, edge = at.tolist(), (off[lo : hi + 1] - off[lo]).tolist()
+        data, plain = memoryview(ids.astype("<u4").tobytes()), memoryview(raw.tobytes())
+        for a, b in zip(edge, edge[1:]):
+            count.append(b - a)
+            one.append(hashlib.sha256(data[4 * a : 4 * b]).hexdigest())
+            two.append(hashlib.sha256(plain[at[a] : at[b]]).hexdigest())
+    cols = [batch.column(0), pa.array(count, pa.int64()), c.strings(one), c.strings(two), column]
+    return pa.RecordBatch.from_arrays(cols[: 4 + keep], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep])
+
+
+def encoded(path: str, finish):
     def run(batches):
         for batch in batches:
             for lo, hi, raw, off in c.slices(*c.texts_of(batch.column(1))):
                 ids, edge = encode_rows(path, raw, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
+                yield finish(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids))], names=["doc_id", "ids"]))
 
     return run
 
@@ -297,7 +318,7 @@ def chunk_bounds(batches):
         yield batch.append_column("bounds", pa.array(out, pa.binary()))
 
 
-def chunks_encoded(path: str, margin: int):
+def chunks_encoded(path: str, margin: int, finish):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("no")
         starts, texts = group.column("start").to_pylist(), group.column("part").to_pylist()
@@ -307,28 +328,31 @@ def chunks_encoded(path: str, margin: int):
         if (bounds := stitch(parts, margin)) is None:  # no shared boundary in some overlap: one run over the whole text
             bounds = boundaries(points, np.array([0, len(points)]))
         ids, _ = vocabulary(path).encode(data, at[bounds])
-        return pa.table({"doc_id": group.column("doc_id")[:1], "ids": pa.array([ids], pa.list_(pa.int32())), "rows": group.column("rows")[:1]})
+        one = pa.RecordBatch.from_arrays([group.column("doc_id")[:1].combine_chunks(), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        return pa.Table.from_batches([finish(one)]).append_column("rows", group.column("rows")[:1])
 
     return run
 
 
-def encode(docs: DataFrame, ranks: str | None = None, chunk: int = 32768, overlap: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) for each row, as byte-level BPE by the ranks would encode its whole text.
+def encode(docs: DataFrame, ranks: str | None = None, chunk: int = 32768, overlap: int = 512, id_col: str = "doc_id", text_col: str = "text", digests_only: bool | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) for each row, as byte-level BPE by the ranks would encode its whole text. With digests_only, the rows of
+    digests(): without the ids if true, with them if false; made in the same task as the ids, by one Python process.
 
     Null and empty texts have no ids. Ids may be null or repeat: each row gives one row. Columns other than the two are
     not read. A text of any length is exact: chunks without a shared boundary are done again as one. Chunks find each other by id
     and hash of the text, so a recomputed task changes nothing.
     """
     c.prepare(docs.sparkSession)
-    path, margin = ranks or default_ranks(), 8
+    path, margin, schema = ranks or default_ranks(), 8, IDS if digests_only is None else DIGESTS + ", ids array<int>" * (not digests_only)
+    finish = (lambda batch: batch) if digests_only is None else (lambda batch: digest(vocabulary(path), batch, not digests_only))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= chunk).mapInArrow(encoded(path), "doc_id long, ids array<int>")
+    short = rows.where(F.length("text") <= chunk).mapInArrow(encoded(path, finish), schema)
     long = rows.where(F.length("text") > chunk).select(F.xxhash64("text").alias("hash"), "doc_id", "text").mapInArrow(cut_up(chunk, overlap), "hash long, doc_id long, no int, start long, part string")
     # equal rows become one with their number, first within each task, so that no key has more than a task's rows
     long = long.groupBy("hash", "doc_id", "no", "start").agg(F.first("part").alias("part"), F.count("*").alias("rows"))
     long = long.mapInArrow(chunk_bounds, "hash long, doc_id long, no int, start long, part string, rows long, bounds binary")
-    long = long.groupBy("doc_id", "hash").applyInArrow(chunks_encoded(path, margin), "doc_id long, ids array<int>, rows long")
-    return short.union(long.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row")).drop("row"))
+    long = long.groupBy("doc_id", "hash").applyInArrow(chunks_encoded(path, margin, finish), schema + ", rows long")
+    return short.union(long.select(*short.columns, F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("row")).drop("row"))
 
 
 def decode(tokens: DataFrame, ranks: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -350,23 +374,10 @@ def digests(tokens: DataFrame, ranks: str | None = None, keep: bool = False) ->
 
     def run(batches):
         for batch in batches:
-            words, column = vocabulary(path), batch.column(1)
-            off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            count, one, two = [], [], []
-            for lo, hi, _, _ in c.slices(np.zeros(0, np.uint8), off - off[0], 1 << 19):
-                ids = np.asarray(column.values)[off[lo] : off[hi]]
-                raw, at = words.decode(ids)
-                at, edge = at.tolist(), (off[lo : hi + 1] - off[lo]).tolist()
-                data, plain = memoryview(ids.astype("<u4").tobytes()), memoryview(raw.tobytes())
-                for a, b in zip(edge, edge[1:]):
-                    count.append(b - a)
-                    one.append(hashlib.sha256(data[4 * a : 4 * b]).hexdigest())
-                    two.append(hashlib.sha256(plain[at[a] : at[b]]).hexdigest())
-            cols = [batch.column(0), pa.array(count, pa.int64()), c.strings(one), c.strings(two), column]
-            yield pa.RecordBatch.from_arrays(cols[: 4 + keep], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep])
-
-    return tokens.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep)
+            yield digest(vocabulary(path), batch, keep)
+
+    return tokens.mapInArrow(run, DIGESTS + ", ids array<int>" * keep)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(c.table(spark, sf_dir, "documents")))
+    return encode(c.table(spark, sf_dir, "documents"), digests_only=True)
