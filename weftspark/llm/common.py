@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; the arrays beside it take some 50 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: The largest share of all rows that one key takes into one task of spread_join().
 SHARE = 1024
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
