@@ -226,3 +226,18 @@ def test_hundred_thousand_draws(spark):
     assert len(got) == 100_000
     spread = np.std(list(got.values()))
     assert abs(np.mean(list(got.values())) - np.mean([np.mean([v[r, p] for p in range(1000)]) for r in range(3)])) < 0.01 and 0.5 < spread < 0.65
+
+
+@pytest.mark.parametrize("tile, parts", [(3, 6), (4096, 1)])
+def test_standard_scores_in_parts(spark, tile, parts):
+    """Nulls, unlike sizes, constants and large means, place by place."""
+    rng = random.Random(5)
+    rows = [(g, i, [7.0, rng.gauss(1e6, 1), None if rng.random() < 0.2 else rng.random()][: 2 if i == 4 else 3]) for g in "ab" for i in range(12)] + [("a", 99, None), (None, 1, [1.0]), ("c", 0, [])]
+    df = spark.createDataFrame(rows, "g string, k int, v array<double>").repartition(parts)
+    got = {(r["g"], r["k"]): r["v"] for r in pr.zscored_vectors(df, "g", "k", "v", tile).collect()}
+    want = {}
+    for g in "ab":
+        at = [[v[k] for h, _, v in rows if h == g and v is not None and len(v) > k and v[k] is not None] for k in range(3)]
+        mean, sd = [np.mean(x) for x in at], [np.std(x) or 1.0 for x in at]
+        want |= {(g, i): [None if x is None else pytest.approx((x - mean[k]) / sd[k], abs=1e-6) for k, x in enumerate(v)] for h, i, v in rows if h == g and v is not None}
+    assert got == want | {("c", 0): []}

@@ -11,9 +11,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import columns as f
 
@@ -185,25 +186,119 @@ def distances(items: DataFrame, group: str, item: str, tile: int = TILE, **metri
     return rows.drop("__parts", "__other").groupBy("__group", "__a", "__b").applyInArrow(cells({name: m for name, (m, _) in metrics.items()}, schema), schema)
 
 
-def zscored(items: DataFrame, group: str, item: str, vector: str) -> DataFrame:
-    """(group, item, dim, z): each dimension over a group's items, by the population deviation; 0 for a constant one."""
-    long = items.select(group, item, F.posexplode(f.doubles(F.col(vector))).alias("dim", "x"))
-    w = Window.partitionBy(group, "dim")
-    sd = F.stddev_pop("x").over(w)
-    return long.select(group, item, "dim", ((F.col("x") - F.avg("x").over(w)) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)).alias("z"))
+# ---------------------------------------------------------------- standard scores
+
+SPREADS = "n array<double>, mean array<double>, square array<double>"
+#: Groups of which a task holds moments before it sends them on, and parts that a group's are added up in first.
+HELD, FIRST = 256, 32
+
+
+def places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(values by row and place, where there is one, row and place of each value in turn)."""
+    off = np.asarray(column.offsets).astype(np.int64)
+    values = column.values.slice(off[0], off[-1] - off[0])
+    size = np.diff(off)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    x, there = (np.zeros((len(size), max(1, int(size.max(initial=0)))), kind) for kind in (float, bool))
+    x[row, at], there[row, at] = np.asarray(pc.fill_null(values.cast(pa.float64()), 0.0)), np.asarray(values.is_valid())
+    return x, there, row, at
+
+
+def widened(x: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(x, (0, width - len(x)))
+
+
+def spreads_together(one: tuple, other: tuple) -> tuple:
+    """Numbers, means and squares around the means of two sets of rows together, place by place."""
+    width = max(len(one[0]), len(other[0]))
+    (n, mean, square), (m, other_mean, other_square) = ([widened(x, width) for x in side] for side in (one, other))
+    both, gap = np.maximum(n + m, 1.0), other_mean - mean
+    return n + m, np.where(n > 0, mean + gap * (m / both), other_mean), square + other_square + np.where((n > 0) & (m > 0), gap * gap * (n * m / both), 0.0)
+
+
+def spreads(names: list[str], kind: pa.DataType):
+    """The spreads of the vectors of each group that a task sees."""
+
+    def rows(held: dict) -> pa.RecordBatch:
+        cols = [pa.array(list(held), kind), *(pa.array([v[k].tolist() for v in held.values()], pa.list_(pa.float64())) for k in range(3))]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            x, there, *_ = places(batch.column(1))
+            group = batch.column(0).dictionary_encode()
+            code = np.asarray(group.indices)
+            for k, name in enumerate(group.dictionary.to_pylist()):
+                own, here = x[code == k], there[code == k]
+                n = here.sum(axis=0).astype(float)
+                mean = own.sum(axis=0) / np.maximum(n, 1)
+                new = (n, mean, (np.where(here, own - mean, 0.0) ** 2).sum(axis=0))
+                held[name] = spreads_together(held[name], new) if name in held else new
+            if len(held) > HELD:
+                yield rows(held)
+                held = {}
+        if held:
+            yield rows(held)
+
+    return run
+
+
+def spreads_added(table: pa.Table) -> pa.Table:
+    total = None
+    for side in zip(*(table.column(x).to_pylist() for x in ("n", "mean", "square"))):
+        side = tuple(map(np.array, side))
+        total = side if total is None else spreads_together(total, side)
+    return pa.table({"__group": table.column("__group")[:1], **{x: [v.tolist()] for x, v in zip(("n", "mean", "square"), total)}})
+
+
+def standardised(rows: pa.Table, model: pa.Table) -> pa.Table:
+    column = rows.column("__vector").combine_chunks()
+    if rows.num_rows:
+        x, there, row, at = places(column)
+        n, mean, square = (np.array(model.column(k)[0].as_py()) for k in ("n", "mean", "square"))
+        sd = np.sqrt(square / np.maximum(n, 1))
+        z = (x - mean[: x.shape[1]]) / np.where(sd == 0, 1.0, sd)[: x.shape[1]]
+        off = pa.array(np.asarray(column.offsets) - column.offsets[0].as_py(), pa.int32())
+        column = pa.ListArray.from_arrays(off, pa.array(z[row, at], mask=~there[row, at]))
+    return pa.Table.from_arrays([rows.column("__group"), rows.column("__item"), column.cast(pa.list_(pa.float64()))], names=["__group", "__item", "__vector"])
+
+
+def dealt_with(rows: DataFrame, model: DataFrame, tile: int, fn) -> DataFrame:
+    """fn(rows, the group's one row of model) over parts of groups of rows (__group, __item, __vector)."""
+    rows = parted(rows, "__group", tile)
+    model = model.join(rows.groupBy(F.col("__group").alias("__g")).agg(F.max("__parts").alias("__parts")), F.col("__group") == F.col("__g")).drop("__g")
+    model = model.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__item"), F.col("__parts")).cast("int")).drop("__parts")
+    return rows.groupBy("__group", "__part").cogroup(model.groupBy("__group", "__part")).applyInArrow(fn, rows.drop("__part").schema)
+
+
+def vectors_of(items: DataFrame, group: str, item: str, vector: str) -> DataFrame:
+    return items.select(F.col(group).alias("__group"), F.col(item).alias("__item"), f.doubles(F.col(vector)).alias("__vector")).where("__group is not null and __item is not null and __vector is not null")
 
 
-def zscored_vectors(items: DataFrame, group: str, item: str, vector: str) -> DataFrame:
-    """(group, item, vector of z)."""
-    z = zscored(items, group, item, vector).groupBy(group, item).agg(F.array_sort(F.collect_list(F.struct("dim", "z"))).alias("v"))
-    return z.select(group, item, F.col("v.z").alias(vector))
+def zscored_vectors(items: DataFrame, group: str, item: str, vector: str, tile: int = 8 * TILE) -> DataFrame:
+    """(group, item, vector of z): each place over a group's items, by the population deviation; 0 for a constant one, null for a
+    null value. Tasks add up spreads, which merge in two steps, and items are scored in parts, each with its group's spreads. Rows
+    with a null group, item or vector take no part."""
+    rows = vectors_of(items, group, item, vector)
+    table = T.StructType([T.StructField("__group", rows.schema["__group"].dataType), *T._parse_datatype_string(SPREADS).fields])
+    sums = rows.select("__group", "__vector").mapInArrow(spreads(table.names, to_arrow_type(table["__group"].dataType)), table)
+    sums = sums.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(FIRST))).groupBy("__group", "__part").applyInArrow(spreads_added, table)
+    model = sums.groupBy("__group").applyInArrow(spreads_added, table)
+    scores = dealt_with(rows, model, tile, standardised)
+    return scores.select(F.col("__group").alias(group), F.col("__item").alias(item), F.col("__vector").alias(vector))
+
+
+def zscored(items: DataFrame, group: str, item: str, vector: str) -> DataFrame:
+    """(group, item, dim, z) of zscored_vectors()."""
+    return zscored_vectors(items, group, item, vector).select(group, item, F.posexplode(vector).alias("dim", "z"))
 
 
 # ---------------------------------------------------------------- principal components
 
 MOMENTS = "n long, mean array<double>, scatter array<double>"
-#: Groups of which a task holds moments before it sends them on, and parts that a group's are added up in first.
-HELD, FIRST = 256, 32
 
 
 def merged(one: tuple, other: tuple) -> tuple:
@@ -220,9 +315,7 @@ def moments(schema: T.StructType):
         cols = [list(held), *zip(*((n, mean.tolist(), scatter.ravel().tolist()) for n, mean, scatter in held.values()))]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=schema.names)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kinds = to_arrow_schema(schema).types
+    kinds = [to_arrow_type(x.dataType) for x in schema]
 
     def run(batches):
         held = {}
@@ -293,14 +386,10 @@ def principal_distances(items: DataFrame, group: str, item: str, vector: str, k:
     Tasks add up moments (count, mean, p x p scatter), which merge in two steps; one task a group solves the p x p problem, and
     items are projected in parts, each with its group's axes. Rows with a null group, item or vector take no part.
     """
-    rows = items.select(F.col(group).alias("__group"), F.col(item).alias("__item"), f.doubles(F.col(vector)).alias("__vector")).where("__group is not null and __item is not null and __vector is not null")
-    kind = rows.schema["__group"].dataType
-    table = T.StructType([T.StructField("__group", kind), *T._parse_datatype_string(MOMENTS).fields])
+    rows = vectors_of(items, group, item, vector)
+    table = T.StructType([T.StructField("__group", rows.schema["__group"].dataType), *T._parse_datatype_string(MOMENTS).fields])
     sums = rows.select("__group", "__vector").mapInArrow(moments(table), table)
     sums = sums.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(FIRST))).groupBy("__group", "__part").applyInArrow(added_up, table)
     model = sums.groupBy("__group").applyInArrow(axes(k), T.StructType([table["__group"], T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("axes", T.ArrayType(T.DoubleType()))]))
-    rows = parted(rows, "__group", tile)
-    model = model.join(rows.groupBy("__group").agg(F.max("__parts").alias("__parts")), "__group").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__item"), F.col("__parts")).cast("int")).drop("__parts")
-    scores = rows.groupBy("__group", "__part").cogroup(model.drop("__parts").groupBy("__group", "__part")).applyInArrow(projected(k), rows.drop("__part").schema)
+    scores = dealt_with(rows, model, tile, projected(k))
     return distances(scores.select(F.col("__group").alias(group), F.col("__item").alias(item), "__vector"), group, item, tile, d=("euclidean", F.col("__vector")))
