@@ -137,13 +137,13 @@ def rank_z(df: DataFrame, group: str, *values: str, parts: int | None = None) ->
 
 def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """(group, rho)."""
-    return ranked_wide(df, group, x, y).groupBy(group).agg(F.corr(f"r_{x}", f"r_{y}").alias("rho"))
+    return ranked_wide(df.select(group, x, y), group, x, y).groupBy(group).agg(F.corr(f"r_{x}", f"r_{y}").alias("rho"))
 
 
 def associations(df: DataFrame, group: str, x: str, others: list[str]) -> DataFrame:
     """(group, other, rho): the rank association of x with each of the others, nothing taken out. Ranks are taken once."""
     rho = F.explode(F.array(*(F.struct(F.lit(o).alias("other"), F.col(f"rho_{o}").alias("rho")) for o in others))).alias("r")
-    return ranked_wide(df, group, x, *others).groupBy(group).agg(*(F.corr(f"r_{x}", f"r_{o}").alias(f"rho_{o}") for o in others)).select(group, rho).select(group, "r.other", "r.rho")
+    return ranked_wide(df.select(group, x, *others), group, x, *others).groupBy(group).agg(*(F.corr(f"r_{x}", f"r_{o}").alias(f"rho_{o}") for o in others)).select(group, rho).select(group, "r.other", "r.rho")
 
 
 def coefficients(df: DataFrame, group: str, targets: list[str], nuisances: list[str]) -> DataFrame:
@@ -205,10 +205,10 @@ def residualized(df: DataFrame, group: str, targets: list[str], nuisances: list[
 
 def partial_spearman(df: DataFrame, group: str, x: str, y: str, nuisances: list[str]) -> DataFrame:
     """(group, rho): the mean product of the two standardised residuals."""
-    return residualized(df, group, [x, y], nuisances).groupBy(group).agg(F.avg(F.col(f"e_{x}") * F.col(f"e_{y}")).alias("rho"))
+    return residualized(df.select(group, x, y, *nuisances), group, [x, y], nuisances).groupBy(group).agg(F.avg(F.col(f"e_{x}") * F.col(f"e_{y}")).alias("rho"))
 
 
 def partial_spearman_of_residuals(df: DataFrame, group: str, x: str, y: str, nuisances: list[str]) -> DataFrame:
     """(group, rho): the residuals ranked again, then correlated. Another number than partial_spearman()."""
-    rest = residualized(df, group, [x, y], nuisances).select(group, F.round(f"e_{x}", 9).alias("x"), F.round(f"e_{y}", 9).alias("y"))
+    rest = residualized(df.select(group, x, y, *nuisances), group, [x, y], nuisances).select(group, F.round(f"e_{x}", 9).alias("x"), F.round(f"e_{y}", 9).alias("y"))
     return spearman(rest, group, "x", "y")

@@ -171,12 +171,14 @@ def batched_encoding(spark, sf):
 
 @query(f"SELECT l_orderkey, l_linenumber, r_l_extendedprice AS rank FROM ({ranks('lineitem', ['l_returnflag'], ['l_extendedprice'])})")
 def rank_average(spark, sf):
-    return rk.ranked_wide(read(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice").select("l_orderkey", "l_linenumber", F.col("r_l_extendedprice").alias("rank"))
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    return rk.ranked_wide(rows, "l_returnflag", "l_extendedprice").select("l_orderkey", "l_linenumber", F.col("r_l_extendedprice").alias("rank"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {r('(q - avg(q) OVER (PARTITION BY l_returnflag)) / stddev_pop(q) OVER (PARTITION BY l_returnflag)')} AS z FROM (SELECT *, r_l_quantity AS q FROM ({ranks('lineitem', ['l_returnflag'], ['l_quantity'])}))")
 def rank_z(spark, sf):
-    return rounded(rk.rank_z(read(spark, sf, "lineitem"), "l_returnflag", "l_quantity").select("l_orderkey", "l_linenumber", F.col("z_l_quantity").alias("z")), "z")
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return rounded(rk.rank_z(rows, "l_returnflag", "l_quantity").select("l_orderkey", "l_linenumber", F.col("z_l_quantity").alias("z")), "z")
 
 
 @query(f"SELECT l_returnflag, {r('corr(r_l_quantity, r_l_extendedprice)')} AS rho FROM ({ranks('lineitem', ['l_returnflag'], ['l_quantity', 'l_extendedprice'])}) GROUP BY 1")
