@@ -182,8 +182,8 @@ def looked_up(rows: DataFrame, table: DataFrame, words: list[int], name: str, va
     return rows.join(table.select("lang", *keys, F.col(value).alias(name)), ["lang", *(f"w{j}" for j in words)])
 
 
-def candidates(tables: list[DataFrame], totals: DataFrame, share: int = SHARE) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of the frequent phrases of two words or more that no longer one takes in."""
+def candidates(tables: list[DataFrame], share: int = SHARE) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of the frequent phrases of two words or more that no longer one takes in."""
     out = None
     for k in range(2, len(tables) + 1):
         rows = tables[k - 1].withColumnRenamed("n", "a")
@@ -199,7 +199,7 @@ def candidates(tables: list[DataFrame], totals: DataFrame, share: int = SHARE) -
             rows = looked_up(rows, tables[0], [i], f"text{i}", "word")
         rows = rows.select("lang", F.concat_ws(" ", *(f"text{i + 1}" for i in range(k))).alias("phrase"), "a", "best.l", "best.r", "best.score")
         out = rows if out is None else out.union(rows)
-    return out.join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+    return out
 
 
 def ranked(found: DataFrame, top: int = TOP) -> DataFrame:
@@ -217,7 +217,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sh
     Texts in small ASCII letters are cut into pieces at marks and line breaks, and pieces into words at spaces and tabs. A null lang is
     "und", a null or empty text has no words, equal rows count as often as they stand there, and other columns are not read.
     """
-    return ranked(candidates(*levels(docs, least, longest, most), share), top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    tables, totals = levels(docs, least, longest, most)
+    best = ranked(candidates(tables, share), top)  # languages meet their totals only now, `top` rows each
+    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
