@@ -237,3 +237,14 @@ def test_numbered(spark, parts):
         want |= {r[2]: n for n, r in enumerate(own)}
     assert got == want
     assert rk.numbered(df.where("false"), "g", "n", "x").count() == 0
+
+
+def test_few_keys_do_not_deal_the_rows(spark, monkeypatch):
+    """Two groups, three values: neither a group's nor a value's rows meet in one task."""
+    from weftspark.operators import ranks as rk
+
+    df = spark.range(400).select((F.col("id") % 2).alias("g"), F.rand(1).alias("x"), (F.col("id") % 3).alias("y"))
+    monkeypatch.setattr(rk, "SMALL", 3)
+    got = rk.residualized(df, "g", ["x"], ["y"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 400 and "hashpartitioning(g#" not in plan and "SortMergeJoin" not in plan
