@@ -8,6 +8,7 @@ whole window, and again only those that occur twice.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +21,12 @@ from . import common as c
 
 #: Text in a chunk, and in what one range of anchors gathers, about.
 CHUNK_BYTES = 4 << 20
-#: Unlike pieces that one anchor gathers in a range; those of an anchor with more are split.
+#: Unlike pieces that one anchor (or block) gathers in a range; those of one with more are split.
 HOT = 1024
 LOWEST = np.iinfo(np.int64).min
 KEYS = "key long, chunk int, n int"
-ONCE, SPLIT, WINDOW = range(3)  # kinds of known keys: of whole pieces, of pieces to be split, of single windows
+#: Kinds of known keys: of whole pieces, of pieces to be split, of blocks, of blocks to be split, of single windows.
+WHOLE, SPLIT, BLOCK, SPLIT_BLOCK, WINDOW = range(5)
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
@@ -74,7 +76,8 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pieces:
-    """Runs of windows: key and place of the anchor, first and last start; prefix sums of the bytes or words they are made of."""
+    """Runs of windows: key and place of the anchor, first and last start; prefix sums of the bytes or words they are made of;
+    the size of a window and the most windows that have one anchor."""
 
     key: np.ndarray
     at: np.ndarray
@@ -82,31 +85,42 @@ class Pieces:
     high: np.ndarray
     prefix: np.ndarray
     window: int
+    most: int
 
     def content(self) -> np.ndarray:
         return c.span_hash(self.prefix, self.low, self.high + self.window) + c.mix((self.at - self.low).astype(np.uint64))
 
-    def singles(self, keys: np.ndarray) -> Pieces:
-        """Each window of the pieces with these keys as a piece of its own, by its hash."""
-        of = np.flatnonzero(among(self.key, keys))
-        n = (self.high - self.low + 1)[of]
-        start = np.repeat(self.low[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return Pieces(c.span_hash(self.prefix, start, start + self.window), np.repeat(self.at[of], n), start, start, self.prefix, self.window)
+    def blocks(self) -> Pieces:
+        """The pieces cut into blocks of windows, the square root of what an anchor stands for at most."""
+        return self.cut(max(2, math.isqrt(self.most)))
+
+    def cut(self, width: int) -> Pieces:
+        """The pieces cut into runs of windows whose anchors are at places of one multiple of width, keyed by that multiple and
+        what all such windows share; so equal windows are in runs of one key."""
+        last = (self.at - self.low) // width
+        n = last - (self.at - self.high) // width + 1
+        of = np.repeat(np.arange(len(n)), n)
+        place = (last[of] - np.arange(len(of)) + (np.cumsum(n) - n)[of]) * width
+        at, end = self.at[of], self.at[of] - place
+        begin = end - width + 1
+        key = c.mix(c.span_hash(self.prefix, end, begin + self.window) + place.astype(np.uint64))
+        return Pieces(key, at, np.maximum(self.low[of], begin), np.minimum(self.high[of], end), self.prefix, self.window, self.most)
 
     def of(self, keys: np.ndarray) -> Pieces:
         there = among(self.key, keys)
-        return Pieces(self.key[there], self.at[there], self.low[there], self.high[there], self.prefix, self.window)
+        return Pieces(self.key[there], self.at[there], self.low[there], self.high[there], self.prefix, self.window, self.most)
 
     def known(self, keys: dict[int, np.ndarray]) -> Pieces:
         """The pieces that are exchanged, in order of their starts."""
-        a, b = self.of(keys[ONCE]), self.singles(keys[SPLIT]).of(keys[WINDOW])
-        order = np.argsort(np.concatenate((a.low, b.low)), kind="stable")
-        return Pieces(*(np.concatenate((getattr(a, x), getattr(b, x)))[order] for x in ("key", "at", "low", "high")), self.prefix, self.window)
+        blocks = self.of(keys[SPLIT]).blocks()
+        parts = [self.of(keys[WHOLE]), blocks.of(keys[BLOCK]), blocks.of(keys[SPLIT_BLOCK]).cut(1).of(keys[WINDOW])]
+        order = np.argsort(np.concatenate([p.low for p in parts]), kind="stable")
+        return Pieces(*(np.concatenate([getattr(p, x) for p in parts])[order] for x in ("key", "at", "low", "high")), self.prefix, self.window, self.most)
 
 
 def known_keys(table: pa.Table) -> dict[int, np.ndarray]:
     key, kind = table.column("key").to_numpy().view(np.uint64), table.column("kind").to_numpy()
-    return {k: np.sort(key[kind == k]) for k in (ONCE, SPLIT, WINDOW)}
+    return {k: np.sort(key[kind == k]) for k in (WHOLE, SPLIT, BLOCK, SPLIT_BLOCK, WINDOW)}
 
 
 def summed(found: list[Pieces], chunk: int) -> pa.Table:
@@ -128,21 +142,23 @@ def keys_of(pieces):
     return run
 
 
-def windows_of(pieces):
-    """The same of the single windows of a chunk's pieces whose keys are to be split; most chunks have none."""
+def parts_of(pieces, single: bool):
+    """The same of the blocks of a chunk's pieces whose keys are to be split, or of the single windows of blocks that are; most
+    chunks have none."""
 
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
         if not docs.num_rows or not keys.num_rows:
             return summed([], 0)
         _, _, _, raw, off = laid(docs)
-        split = known_keys(keys)[SPLIT]
-        return summed([pieces(r, o)[0].singles(split) for _, _, r, o in c.slices(raw, off)], docs.column("chunk")[0].as_py())
+        known = known_keys(keys)
+        found = [pieces(r, o)[0].of(known[SPLIT]).blocks() for _, _, r, o in c.slices(raw, off)]
+        return summed([p.of(known[SPLIT_BLOCK]).cut(1) for p in found] if single else found, docs.column("chunk")[0].as_py())
 
     return run
 
 
-def met(hot: int | None):
-    """(chunk, key, kind) of the keys of a partition that occur twice."""
+def met(hot: int | None, few: int, many: int):
+    """(chunk, key, kind) of the keys of a partition that occur twice; kind is many for those of over hot unlike pieces."""
 
     def run(batches):
         got = [tuple(np.asarray(b.column(x)) for x in ("key", "chunk", "n")) for b in batches]
@@ -154,7 +170,7 @@ def met(hot: int | None):
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         rows = np.diff(np.append(first, len(key)))
         twice = np.repeat((rows > 1) | np.logical_or.reduceat(chunk < 0, first), rows)
-        kind = np.full(len(first), WINDOW) if hot is None else np.where(np.add.reduceat(n.astype(np.int64), first) > hot, SPLIT, ONCE)
+        kind = np.full(len(first), few) if hot is None else np.where(np.add.reduceat(n.astype(np.int64), first) > hot, many, few)
         key, chunk, kind = key[twice], chunk[twice], np.repeat(kind, rows)[twice].astype(np.int32)
         chunk = np.where(chunk < 0, ~chunk, chunk)
         for a in range(0, len(key), 1 << 17):
@@ -167,17 +183,22 @@ def resolved(docs: DataFrame, chunks: int, pieces, cut, cut_schema: str, resolve
     """docs (chunk, doc_id, tie, text) -> finish(chunk, what resolve() says about it).
 
     cut(chunk, known keys) makes rows of cut_schema; resolve() turns their DataFrame into rows (chunk, start, end: binary). The
-    text is shuffled once: the four uses of docs share its exchange. A partition of keys has those of about 16 chunks.
+    text is shuffled once: the five uses of docs share its exchange. A partition of keys has those of about 16 chunks.
     """
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + chunks // 16)
 
-    def twice(keys: DataFrame, hot: int | None) -> DataFrame:
-        return keys.repartition(parts, "key").mapInArrow(met(hot), "chunk int, key long, kind int")
+    def twice(keys: DataFrame, hot: int | None, few: int, many: int) -> DataFrame:
+        return keys.repartition(parts, "key").mapInArrow(met(hot, few, many), "chunk int, key long, kind int")
+
+    def parted(keys: DataFrame, single: bool) -> DataFrame:
+        return by_chunk_.cogroup(keys.groupBy("chunk")).applyInArrow(parts_of(pieces, single), KEYS)
 
     by_chunk_ = docs.groupBy("chunk")
-    keys = twice(by_chunk_.applyInArrow(keys_of(pieces), KEYS), hot)
-    split = twice(by_chunk_.cogroup(keys.where(F.col("kind") == SPLIT).groupBy("chunk")).applyInArrow(windows_of(pieces), KEYS), None)
-    rows = by_chunk_.cogroup(keys.union(split).groupBy("chunk")).applyInArrow(cut, cut_schema)
+    keys = twice(by_chunk_.applyInArrow(keys_of(pieces), KEYS), hot, WHOLE, SPLIT)
+    split = keys.where(F.col("kind") == SPLIT)
+    blocks = twice(parted(split, False), hot, BLOCK, SPLIT_BLOCK)
+    single = twice(parted(split.union(blocks.where(F.col("kind") == SPLIT_BLOCK)), True), None, WINDOW, WINDOW)
+    rows = by_chunk_.cogroup(keys.union(blocks).union(single).groupBy("chunk")).applyInArrow(cut, cut_schema)
     return by_chunk_.cogroup(resolve(rows).groupBy("chunk")).applyInArrow(finish, finish_schema)
 
 

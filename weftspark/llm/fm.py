@@ -48,7 +48,7 @@ def pieces(raw: np.ndarray, off: np.ndarray) -> tuple:
     word, start, end, first = words(raw, off)
     gram = grams(word, K)
     at, low, high = x.anchors(gram, first, K, WINDOW)
-    return x.Pieces(c.mix(gram[at]) if len(at) else gram[:0], at, low, high, c.prefix_sums(word), WINDOW), start, end, first
+    return x.Pieces(c.mix(gram[at]) if len(at) else gram[:0], at, low, high, c.prefix_sums(word), WINDOW, WINDOW - K + 1), start, end, first
 
 
 def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:

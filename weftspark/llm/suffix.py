@@ -36,7 +36,7 @@ def pieces(raw: np.ndarray, off: np.ndarray) -> tuple[x.Pieces]:
     """The pieces of some rows, by byte."""
     if len(raw) < WINDOW:
         none = np.zeros(0, np.int64)
-        return (x.Pieces(none.astype(np.uint64), none, none, none, np.zeros(1, np.uint64), WINDOW),)
+        return (x.Pieces(none.astype(np.uint64), none, none, none, np.zeros(1, np.uint64), WINDOW, WINDOW - K + 1),)
     prefix = c.prefix_sums(raw)
     _, inverse = c.powers(len(prefix))
     gram = (prefix[K:] - prefix[:-K]) * inverse[: len(raw) - K + 1]
@@ -44,7 +44,7 @@ def pieces(raw: np.ndarray, off: np.ndarray) -> tuple[x.Pieces]:
     gram *= np.uint64(0xD6E8FEB86659FD93)
     gram ^= gram >> np.uint64(29)
     at, low, high = x.anchors(gram, off, K, WINDOW)
-    return (x.Pieces(c.mix(gram[at]), at, low, high, prefix, WINDOW),)
+    return (x.Pieces(c.mix(gram[at]), at, low, high, prefix, WINDOW, WINDOW - K + 1),)
 
 
 def common_prefixes(strings: list[bytes], most: int) -> np.ndarray:
