@@ -30,9 +30,9 @@ EMBEDDED, HIDDEN = 16, 24
 WINDOW = (-2, -1, 1, 2)
 #: Training masks one in so many symbols, by place; scoring masks every one in turn.
 MASKED = 4
-BATCH, SCORED, RATE = 8192, 1 << 14, 0.1
+BATCH, SCORED, RATE = 8192, 1 << 15, 0.1
 #: Rows of one softmax over all classes, which then stays in a processor's cache.
-ROWS = 256
+ROWS = 512
 #: Text of a shard, at least; and at least so many times the weights, of which each shard returns a copy.
 SHARD_BYTES, PER_WEIGHT = 8 << 20, 2
 #: Steps that a shard makes at least, by going through a small one repeatedly.
@@ -115,8 +115,16 @@ class Vocabulary:
         """Index of each key, or -1."""
         if not len(self.keys):
             return np.full(len(key), -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, -1)
+        if "starts" not in self.__dict__:  # keys are hashes: their leading bits lead near their places
+            self.shift = np.uint64(62 - len(self.keys).bit_length())
+            self.starts = np.searchsorted(self.keys, np.arange(4 << len(self.keys).bit_length(), dtype=np.uint64) << self.shift)
+            self.ended = np.append(self.keys, np.uint64(2**64 - 1))
+        at = self.starts[key >> self.shift]
+        less = np.flatnonzero(self.ended[at] < key)
+        while len(less):
+            at[less] += 1
+            less = less[self.ended[at[less]] < key[less]]
+        return np.where((self.ended[at] == key) & (at < len(self.keys)), at, -1)
 
     def symbols(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, first symbol of each row and the end)."""
@@ -224,13 +232,18 @@ class Network:
         net.weights[:3] = self.weights[:3]
         return net
 
-    def hidden(self, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.weights[0][window]
-        y = x[0] @ self.weights[1][0]
-        for k in range(1, len(x)):
-            y += x[k] @ self.weights[1][k]
+    def hidden(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(embeddings side by side, hidden values) of windows [target, place]; all places are one product."""
+        flat = self.weights[1].reshape(-1, HIDDEN)
+        x = self.weights[0].take(at, axis=0).reshape(-1, len(flat))
+        y = x @ flat
+        y += self.weights[2]
+        y *= 2
+        np.minimum(y, 80, out=y)
+        np.exp(y, out=y)
+        y += 1
         h = np.ones((len(y), HIDDEN + 1), np.float32)
-        np.tanh(y + self.weights[2], out=h[:, :HIDDEN])
+        h[:, :HIDDEN] -= 2 / y  # tanh
         return x, h
 
     def runs(self, target: np.ndarray) -> tuple[np.ndarray, list]:
@@ -246,16 +259,18 @@ class Network:
         out = np.empty(len(target))
         order, runs = self.runs(target)
         target = target[order]
-        _, h = self.hidden(window[:, order])
-        got, group = np.empty(len(target)), self.held.group[target]
+        group, place, at = self.held.group[target], self.held.place[target], window.T[order]
+        h, row = np.empty((len(target), HIDDEN + 1), np.float32), np.arange(max(ROWS, len(target)))
+        got, total = np.empty(len(target)), np.empty(len(target))
         for a in range(0, len(target), ROWS):
-            y, _, total = softmax(h[a : a + ROWS] @ self.weights[3].T)
-            got[a : a + ROWS] = y[np.arange(len(y)), group[a : a + ROWS]] - np.log(total)
-        place = self.held.place[target]
+            _, h[a : a + ROWS] = self.hidden(at[a : a + ROWS])
+            y, _, total[a : a + ROWS] = softmax(h[a : a + ROWS] @ self.weights[3].T)
+            got[a : a + ROWS] = y[row[: len(y)], group[a : a + ROWS]]
+        got -= np.log(total)
         for k, a, b in runs:
-            y, _, total = softmax(h[a:b] @ self.weights[4][k].T)
-            got[a:b] += y[np.arange(b - a), place[a:b]] - np.log(total)
-        out[order] = got
+            y, _, total[a:b] = softmax(h[a:b] @ self.weights[4][k].T)
+            got[a:b] += y[row[: b - a], place[a:b]]
+        out[order] = got - np.log(total)
         return out
 
     def train(self, window: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
@@ -264,7 +279,7 @@ class Network:
             self.weights[j][at] -= np.float32(RATE) * grad / np.sqrt(squares[j][at])
 
         order, runs = self.runs(target)
-        window, target = window[:, order], target[order]
+        window, target = window.T[order], target[order]
         n, place = len(target), self.held.place[target]
         x, h = self.hidden(window)
         _, g, total = softmax(h @ self.weights[3].T)
@@ -281,8 +296,8 @@ class Network:
         back = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
         at = window.ravel()
         used = np.flatnonzero(np.bincount(at, minlength=len(self.weights[0])))
-        wide = np.concatenate([back @ a.T for a in self.weights[1]])
-        step(1, ..., np.stack([y.T @ back for y in x]))
+        wide = (back @ self.weights[1].reshape(-1, HIDDEN).T).reshape(-1, EMBEDDED)
+        step(1, ..., (x.T @ back).reshape(self.shapes[1]))
         step(2, ..., back.sum(axis=0))
         step(0, used, np.stack([np.bincount(at, wide[:, j], len(self.weights[0]))[used] for j in range(EMBEDDED)], 1).astype(np.float32))
 
