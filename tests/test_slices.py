@@ -33,6 +33,21 @@ def test_groups(spark, unsent, monkeypatch):
     same(st.associations(strips(df), "x", ["y", "near"]), rk.associations(rows, "subject", "x", ["y", "near"]), "subject", "other")
 
 
+def test_residuals(spark, unsent, monkeypatch):
+    """A group in slices and one that a task ranks, with nulls and ties."""
+    monkeypatch.setattr(sl, "SLICE", 50_000)
+    monkeypatch.setattr(sl, "WHOLE", 100_000)
+    monkeypatch.setattr(sl, "BOUND", 1e-8)
+    df = items(spark, (("a", 530), ("b", 90)), nulls=True)
+    rows = pr.distances(df, "subject", "k", **metrics())
+    same(st.partial_spearman_of_residuals(strips(df), "x", "y", ["near", "kind"]), rk.partial_spearman_of_residuals(rows, "subject", "x", "y", ["near", "kind"]), "subject")
+
+
+def test_places_are_packed():
+    for x in (np.zeros(0, np.int64), np.array([2]), np.array([2, 255, 3]), np.array([70000, 2, 300])):
+        assert sl.unplaned(sl.planed(x)).tolist() == x.tolist()
+
+
 def test_subjects(spark, unsent):
     n = 30
     df = items(spark, [(s, n) for s in "abc"], nulls=True)
