@@ -248,3 +248,13 @@ def test_few_keys_do_not_deal_the_rows(spark, monkeypatch):
     got = rk.residualized(df, "g", ["x"], ["y"])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == 400 and "hashpartitioning(g#" not in plan and "SortMergeJoin" not in plan
+
+
+def test_rounding_is_that_of_sql(spark):
+    """By a product of doubles, not by decimals, which round 0.1283035 up."""
+    import duckdb
+
+    x = [0.1283035, -0.1283035, 2.0462195, 1 / 128, -1 / 128, 0.0, -0.0, -1e-9, float("inf"), 1e300, 5e9 + 0.25, None]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double").orderBy("k").select(f.r6(F.col("x"))).collect()]
+    assert got == [duckdb.execute("select round(cast(? as double), 6) + 0.0", [v]).fetchone()[0] for v in x]
+    assert math.isnan(spark.range(1).select(f.r6(F.lit(float("nan")))).first()[0])
