@@ -43,6 +43,20 @@ def test_residuals(spark, unsent, monkeypatch):
     same(st.partial_spearman_of_residuals(strips(df), "x", "y", ["near", "kind"]), rk.partial_spearman_of_residuals(rows, "subject", "x", "y", ["near", "kind"]), "subject")
 
 
+@pytest.mark.parametrize("whole", [0, 1 << 20])
+def test_agreement_of_residuals(spark, unsent, monkeypatch, whole):
+    """In slices, and where a task ranks a subject, with nulls and ties."""
+    monkeypatch.setattr(sl, "SLICE", 3_000)
+    monkeypatch.setattr(sl, "WHOLE", whole)
+    monkeypatch.setattr(sl, "BUCKETS", 256)
+    df = items(spark, [(s, 110) for s in "abc"], nulls=True)
+    rows = pr.distances(df, "subject", "k", **metrics())
+    got = st.agreement_of_residuals(strips(df), "x", ["near", "kind"])
+    same(got.where("kind = 'raw'").drop("kind"), rel.subject_matrix(rows, "x"), "subject_a", "subject_b")
+    rest = rk.residualized(rows, "subject", ["x"], ["near", "kind"]).select("subject", "i", "j", F.round("e_x", 9).alias("e"))
+    same(got.where("kind = 'residual'").drop("kind"), rel.subject_matrix(rest, "e"), "subject_a", "subject_b")
+
+
 def test_places_are_packed():
     for x in (np.zeros(0, np.int64), np.array([2]), np.array([2, 255, 3]), np.array([70000, 2, 300])):
         assert sl.unplaned(sl.planed(x)).tolist() == x.tolist()
