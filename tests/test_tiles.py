@@ -241,3 +241,9 @@ def test_standard_scores_in_parts(spark, tile, parts):
         mean, sd = [np.mean(x) for x in at], [np.std(x) or 1.0 for x in at]
         want |= {(g, i): [None if x is None else pytest.approx((x - mean[k]) / sd[k], abs=1e-6) for k, x in enumerate(v)] for h, i, v in rows if h == g and v is not None}
     assert got == want | {("c", 0): []}
+
+
+def test_cells_are_not_put_together(spark):
+    """Spark joins partitions by what they read, which was one task for all pairs of a small table."""
+    items = spark.createDataFrame([("g", k, float(k)) for k in range(300)], "g string, k long, x double")
+    assert pr.distances(items, "g", "k", 16, d=("cityblock", F.col("x"))).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
