@@ -114,3 +114,8 @@ def test_ranks_by_cells():
     assert np.abs(rank - exact).max() <= most and abs(rank.sum()) < 1e-9
     order = np.argsort(x, kind="stable")
     assert (np.diff(rank[order]) >= 0).all() and all(len(np.unique(rank[x == v])) == 1 for v in np.unique(x)[::50])
+
+
+def test_shifts_of_all_subjects_alike_are_taken_once():
+    by, alike = st.relative({"a": [0, 3, 9], "b": [1, 4, 1]}, 10)
+    assert by == {"a": [0, 0], "b": [1, 2]} and alike == [[0, 1], [2]]
