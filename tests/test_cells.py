@@ -119,3 +119,11 @@ def test_ranks_by_cells():
 def test_shifts_of_all_subjects_alike_are_taken_once():
     by, alike = st.relative({"a": [0, 3, 9], "b": [1, 4, 1]}, 10)
     assert by == {"a": [0, 0], "b": [1, 2]} and alike == [[0, 1], [2]]
+
+
+def test_items_are_sent_for_few_tiles(spark):
+    """A group of 13 blocks has 8 tiles, and its pairs are those of one tile."""
+    df = items(spark, (("a", 50), ("b", 3)), nulls=True)
+    got, want = ({(r["subject"], r["i"], r["j"]): (r["x"], r["kind"]) for r in pr.distances(df, "subject", "k", tile, x=("correlation", F.col("v")), kind=("hamming", F.col("k") % 3)).collect()} for tile in (4, 512))
+    assert got.keys() == want.keys() and len(got) == 50 * 49 // 2 + 3 and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-12) for k in got)
+    assert {r["__parts"] for r in pr.sided(df, "subject", 4).collect()} == {8, 1}
